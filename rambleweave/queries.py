@@ -1,14 +1,14 @@
-"""Queries of the core operators, and their SQL."""
+"""All queries of the core operators, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+from .catalog import records
+from .catalog.common import Query
+
+QUERIES: dict[str, Query] = {**records.QUERIES}
+SQL: dict[str, str] = {**records.SQL}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
