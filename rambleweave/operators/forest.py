@@ -181,10 +181,7 @@ def _solve(level: DataFrame, with_path: bool, depth: int, fragment_rows: int, so
         keyed = quotient.join(moving, "id", "left").withColumn("home", F.coalesce("home", "id"))
         placed = keyed.repartition(-(-size // fragment_rows), "home").drop("home")
     solved = _solve(placed, with_path, depth + 1, fragment_rows, solve_rows)
-    if size > solve_rows:
-        solved = cut(solved)
-    else:
-        solved = cut(solved)
+    solved = cut(solved)
     known = solved.select(F.col("id").alias("exit"), F.col("state").alias("e_state"), F.col("root").alias("e_root"), F.col("depth").alias("e_depth"), F.col("seg").alias("e_seg"))
     need = leaving.select("pid", "exit").distinct().join(known, "exit")
     opened = leaving.drop("state", "root", "depth", "on").join(need, ["pid", "exit"]).select(
@@ -200,7 +197,7 @@ def _solve(level: DataFrame, with_path: bool, depth: int, fragment_rows: int, so
     if on.isEmpty():
         return settled.unionByName(opened.select("id", "state", "root", "depth", F.lit(False).alias("on"), "seg"))
     # Walk from each entry of a cycle through its fragment: what lies on the way is on the cycle as well.
-    entries = frag.join(on, "id", "left_semi").select("id", "pid")
+    entries = frag.join(on, "id", "left_semi").select(F.col("id").alias("entry"), F.col("pid").alias("fragment"))
 
     def walk(rows: pa.Table, entry: pa.Table) -> pa.Table:
         ids = _column(rows, "id")
@@ -208,13 +205,14 @@ def _solve(level: DataFrame, with_path: bool, depth: int, fragment_rows: int, so
         ids, parent = ids[order], _column(rows, "parent", -(1 << 62))[order]
         found: set[int] = set()
         place = dict(zip(ids.tolist(), parent.tolist()))
-        for x in _column(entry, "id").tolist():
+        for x in _column(entry, "entry").tolist():
             while x in place and x not in found:
                 found.add(x)
                 x = place[x]
         return pa.table({"id": pa.array(sorted(found), pa.int64())})
 
-    marked = opened.where(F.col("state") == CYCLIC).select("id", "parent", "pid").groupBy("pid").cogroup(entries.groupBy("pid")).applyInArrow(walk, "id long").withColumn("on", F.lit(True))
+    met = opened.where(F.col("state") == CYCLIC).select(F.col("id").alias("id"), F.col("parent").alias("parent"), F.col("pid").alias("fragment"))
+    marked = met.groupBy("fragment").cogroup(entries.groupBy("fragment")).applyInArrow(walk, "id long").withColumn("on", F.lit(True))
     opened = opened.join(marked, "id", "left").select("id", "state", "root", "depth", F.coalesce("on", F.lit(False)).alias("on"), "seg")
     return settled.unionByName(opened)
 
