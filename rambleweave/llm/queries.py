@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .neardup import group_pairs, near_duplicates
 from .packing import pack_documents
 from .splitting import split_oversized
 from .tokens import decode, encode, token_counts
@@ -18,6 +19,15 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return group_pairs(near_duplicates(_read(spark, sf, "notes")))
+
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each note that has near-duplicates, with its group."""
+    return near_duplicates(_read(spark, sf, "notes"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode(_read(spark, sf, "documents"))
 
@@ -42,8 +52,21 @@ def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_oversized(_read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p6_ids, p6_round_trip, p6_counts, p7_bins, p8_pieces)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p2_found, p2_groups, p6_ids, p6_round_trip, p6_counts, p7_bins, p8_pieces)}
+
+#: Brute force over all pairs of contents whose sizes allow the similarity.
+_NEAR = """RECURSIVE c AS (SELECT DISTINCT id, trim(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS content FROM notes WHERE id IS NOT NULL),
+t AS (SELECT row_number() OVER () AS d, content FROM (SELECT DISTINCT content FROM c WHERE length(content) >= 200)),
+g AS (SELECT d, list_sort(list_distinct([content[i : i + 4] FOR i IN range(1, length(content) - 3)])) AS s FROM t),
+e AS (SELECT d, unnest(s) AS gram, len(s) AS n FROM g),
+q AS (SELECT x.d AS a, y.d AS b FROM e x JOIN e y ON x.gram = y.gram AND x.d < y.d AND x.n >= 0.7 * y.n AND y.n >= 0.7 * x.n GROUP BY x.d, y.d, x.n, y.n HAVING count(*) >= 0.7 * (x.n + y.n - count(*))),
+m AS (SELECT c.id, t.d FROM c JOIN t USING (content)),
+l AS (SELECT x.id AS a, y.id AS b FROM q JOIN m x ON x.d = q.a JOIN m y ON y.d = q.b UNION SELECT x.id, y.id FROM m x JOIN m y ON x.d = y.d AND x.id <> y.id),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)"""
 
 SQL: dict[str, str] = {
+    "p2_found": f"WITH {_NEAR} SELECT a AS id_a, b AS id_b FROM r WHERE a < b",
+    "p2_groups": f'WITH {_NEAR} SELECT a AS id, least(a, min(b)) AS "group" FROM r GROUP BY a',
     "p6_round_trip": "SELECT count(*) AS texts, CAST(0 AS BIGINT) AS differing FROM documents",
 }
