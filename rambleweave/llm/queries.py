@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .neardup import group_pairs, near_duplicates
 from .packing import pack_documents
+from .sets import clean_tags, link_counts, similar_between, similar_within
 from .splitting import split_oversized
 from .tokens import decode, encode, token_counts
 
@@ -28,6 +29,18 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_read(spark, sf, "notes"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    notes, shared = _read(spark, sf, "notes"), _read(spark, sf, "shared_note")
+    refs = similar_within(notes, "id", F.col("refs")).select(F.lit("refs").alias("field"), "id_a", "id_b")
+    tags = similar_between(notes, shared, "id", clean_tags(F.col("tags")), clean_tags(F.col("tags"))).where("left_id <> right_id")
+    return refs.unionByName(tags.select(F.lit("tags").alias("field"), F.least("left_id", "right_id").alias("id_a"), F.greatest("left_id", "right_id").alias("id_b")).distinct())
+
+
+def p3_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Each note with enough refs, with its class of equal sets and its number of links."""
+    return link_counts(_read(spark, sf, "notes"), "id", F.col("refs"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode(_read(spark, sf, "documents"))
 
@@ -52,7 +65,7 @@ def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_oversized(_read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p2_found, p2_groups, p6_ids, p6_round_trip, p6_counts, p7_bins, p8_pieces)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p2_found, p2_groups, p3_found, p3_links, p6_ids, p6_round_trip, p6_counts, p7_bins, p8_pieces)}
 
 #: Brute force over all pairs of contents whose sizes allow the similarity.
 _NEAR = """RECURSIVE c AS (SELECT DISTINCT id, trim(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS content FROM notes WHERE id IS NOT NULL),
@@ -65,7 +78,21 @@ l AS (SELECT x.id AS a, y.id AS b FROM q JOIN m x ON x.d = q.a JOIN m y ON y.d =
 u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)"""
 
+_SETS = """n AS (SELECT DISTINCT id, refs, tags FROM notes WHERE id IS NOT NULL),
+r AS (SELECT DISTINCT id, list_sort(list_distinct([x FOR x IN refs IF x <> ''])) AS s FROM n),
+t AS (SELECT DISTINCT id, list_sort(list_distinct([x FOR x IN [lower(regexp_replace(trim(x, ' '), '^#', '')) FOR x IN tags] IF x <> ''])) AS s FROM n),
+u AS (SELECT DISTINCT id, list_sort(list_distinct([x FOR x IN [lower(regexp_replace(trim(x, ' '), '^#', '')) FOR x IN tags] IF x <> ''])) AS s FROM shared_note),
+re AS (SELECT id, unnest(s) AS v, len(s) AS n FROM r WHERE len(s) >= 4),
+te AS (SELECT id, unnest(s) AS v, len(s) AS n FROM t WHERE len(s) >= 3),
+ue AS (SELECT id, unnest(s) AS v, len(s) AS n FROM u WHERE len(s) >= 3),
+found AS (
+SELECT 'refs' AS field, a.id AS id_a, b.id AS id_b FROM re a JOIN re b ON a.v = b.v AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*))
+UNION SELECT 'tags', least(a.id, b.id), greatest(a.id, b.id) FROM te a JOIN ue b ON a.v = b.v AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*)))"""
+
 SQL: dict[str, str] = {
+    "p3_found": f"WITH {_SETS} SELECT * FROM found",
+    "p3_links": f"""WITH {_SETS}, p AS (SELECT id_a AS a, id_b AS b FROM found WHERE field = 'refs'), l AS (SELECT a, count(*) AS n FROM (SELECT a FROM p UNION ALL SELECT b FROM p) GROUP BY a)
+ SELECT r.id, min(r.id) OVER (PARTITION BY r.s) AS class, coalesce(l.n, 0) AS links FROM r LEFT JOIN l ON l.a = r.id WHERE len(r.s) >= 4""",
     "p2_found": f"WITH {_NEAR} SELECT a AS id_a, b AS id_b FROM r WHERE a < b",
     "p2_groups": f'WITH {_NEAR} SELECT a AS id, least(a, min(b)) AS "group" FROM r GROUP BY a',
     "p6_round_trip": "SELECT count(*) AS texts, CAST(0 AS BIGINT) AS differing FROM documents",
