@@ -23,12 +23,12 @@ import numpy as np
 #: Slots of the table of frequencies: it has this fixed size for any corpus. Grams that share a slot count together, which only makes them seem more frequent.
 SLOTS = 1 << 23
 #: Up to so many texts a gram is indexed alone, up to the next bound in pairs, above in triples.
-BOUNDS, TAKEN = (24, 800), (1, 2, 3)
+BOUNDS, TAKEN = (24, 400), (1, 2, 3)
 #: Groups per gram of the smallest set of a size class, by k. Of the grams of a set, at most (k - 1) per group stay uncounted: 0.6 of them. So any set of a class from LEAST_CLASS on has the prefix it needs; smaller sets are indexed gram by gram.
 GROUPS = {2: 0.2, 3: 0.2}
 LEAST_CLASS = 7
-#: Signatures that a pair must share; the prefix is longer for it.
-SHARED = 12
+#: Signatures that a pair must share, per gram of the smallest set of the size class of its larger set; the prefix is longer for it. A set has at most 0.6 of its class's least size uncounted and may miss 0.3 of its own; this is what is left, less one for rounding.
+SHARED = 0.075
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,9 +77,9 @@ def allowed_missing(size: int, threshold: float, partner: int) -> int:
     return size - max(need, 0)
 
 
-def shared_needed(larger: int) -> int:
-    """Signatures that a similar pair shares at least, by the size of its larger set."""
-    return SHARED if size_class(larger) >= LEAST_CLASS else 1
+def shared_needed(scheme: int) -> int:
+    """Signatures that a similar pair shares at least, by the size class of its larger set."""
+    return int(SHARED * 2**scheme) if scheme >= LEAST_CLASS else 1
 
 
 def signatures(g: np.ndarray, frequency: np.ndarray, threshold: float, probe: bool) -> np.ndarray:
@@ -100,7 +100,7 @@ def signatures(g: np.ndarray, frequency: np.ndarray, threshold: float, probe: bo
         # As the smaller set: the partner is at least as large, and of the scheme's class. As the larger: it may be smaller by the threshold.
         missing = size - ceil(threshold * size - 1e-9) if probe else allowed_missing(size, threshold, size if home else 2**scheme)
         kind_ = kind if scheme >= LEAST_CLASS else np.zeros(size, np.int64)
-        shared = SHARED if scheme >= LEAST_CLASS else 1
+        shared = shared_needed(scheme)
         group = (mix(g + np.uint64(scheme)) >> np.uint64(20)).astype(np.int64)
         groups = {k: max(1, int(2**scheme * share)) for k, share in GROUPS.items()}
         where = np.where(kind_ == 0, -1, np.where(kind_ == 1, group % groups[2], groups[2] + group % groups[3]))
