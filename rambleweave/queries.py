@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import records
+from .catalog import notes, records
 from .catalog.common import Query
 
-QUERIES: dict[str, Query] = {**records.QUERIES}
-SQL: dict[str, str] = {**records.SQL}
+QUERIES: dict[str, Query] = {**records.QUERIES, **notes.QUERIES}
+SQL: dict[str, str] = {**records.SQL, **notes.SQL}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/notes.parquet").select("id")
+    return notes.g15_roam(spark, sf)
