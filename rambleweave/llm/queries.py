@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
 from .neardup import group_pairs, near_duplicates
 from .packing import pack_documents
 from .sets import clean_tags, link_counts, similar_between, similar_within
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
