@@ -55,7 +55,7 @@ def compare(pdf: pd.DataFrame, versions: list[int]) -> pd.DataFrame:
             got = pdf.iloc[rows].copy()
             got["later"], got["kind"] = after, kind
             out.append(got)
-    return pd.concat(out)[["later", "kind", "version", *_HASH]] if out else pd.DataFrame({c: [] for c in ("later", "kind", "version", *_HASH)})
+    return pd.concat(out)[["later", "kind", "version", *_HASH]]
 
 
 def snapshot_changes(df: DataFrame, version: str = "snap_no", key: str = "id", fields: tuple[str, ...] = FIELDS, path: str = "path", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -69,6 +69,8 @@ def snapshot_changes(df: DataFrame, version: str = "snap_no", key: str = "id", f
     """
     versions = sorted(r[0] for r in df.select(version).where(F.col(version).isNotNull()).distinct().collect())
     kinds = dict(df.dtypes)
+    if len(versions) < 2:
+        return df.sparkSession.createDataFrame([], f"`{version}` {kinds[version]}, `{key}` {kinds[key]}, kind string, detail string")
     lists = {f for f in fields if kinds[f].startswith("array")}
     values = [canonical(f, f in lists) for f in fields]
     rows = df.where(F.col(key).isNotNull() & F.col(version).isNotNull()).select(F.col(version).alias("version"), F.col(key).alias("key"), *values)
