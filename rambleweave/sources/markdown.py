@@ -7,18 +7,21 @@ expressions; only the YAML front matter, which no built-in function reads, goes
 from __future__ import annotations
 
 
+import dataclasses
+import os
 import re
 
 import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import INLINE_LIST, frontmatter_block, heading, links, none, strip_frontmatter
 from ..schema import COLUMNS
 from .profile import Profile
 
-_META = "struct<meta: map<string,string>, lists: map<string,array<string>>>"
+_META = T.StructType([T.StructField("meta", T.MapType(T.StringType(), T.StringType())), T.StructField("lists", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])
 _PLAIN_KEY = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
@@ -73,6 +76,28 @@ def title_of(meta: Column, body: Column, key: Column, profile: Profile) -> Colum
     return F.coalesce(*given, F.try_element_at(named, F.lit(1))["value"], heading(body), key)
 
 
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, modificationTime, length of the Markdown files without a byte, which Spark's listing passes over. They are found by a walk on the driver, as listings are."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    if fs.getUri().getScheme() == "file":
+        home = at.toUri().getPath()
+        for folder, _, names in os.walk(home):
+            for name in names:
+                full = os.path.join(folder, name)
+                if name.lower().endswith(".md") and os.path.getsize(full) == 0:
+                    found.append(("file://" + full, int(os.stat(full).st_mtime * 1e6)))
+    elif fs.exists(at):
+        each = fs.listFiles(at, True)
+        while each.hasNext():
+            s = each.next()
+            if s.getLen() == 0 and s.getPath().getName().lower().endswith(".md"):
+                found.append((s.getPath().toString(), s.getModificationTime() * 1000))
+    return spark.createDataFrame(found, "path string, t long").select("path", F.timestamp_micros("t").alias("modificationTime"), F.lit(0).cast("long").alias("length"))
+
+
 def vault_files(spark: SparkSession, root: str, profile: Profile) -> DataFrame:
     """path (relative), uri, mtime, size of the Markdown files that the profile doesn't leave out; contents are not read."""
     spark_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -80,6 +105,7 @@ def vault_files(spark: SparkSession, root: str, profile: Profile) -> DataFrame:
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     base = fs.makeQualified(at).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)
+    files = files.select("path", "modificationTime", "length").unionByName(_empty_files(spark, root))
     plain = F.regexp_replace(F.col("path"), "^file:/+", "file:/")
     rel = F.substring(plain, len(base.replace("file:///", "file:/")) + 2, 100_000)
     listed = files.select(F.col("path").alias("uri"), rel.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
@@ -118,7 +144,7 @@ def parse(files: DataFrame, profile: Profile) -> DataFrame:
 
 def _contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)
-    return files.join(raw.select(F.col("path").alias("uri"), F.decode("content", F.lit("UTF-8")).alias("raw")), "uri")
+    return files.join(raw.select(F.col("path").alias("uri"), F.decode("content", "UTF-8").alias("raw")), "uri", "left").withColumn("raw", F.coalesce("raw", F.lit("")))
 
 
 def read_vault(spark: SparkSession, root: str, profile: Profile = Profile()) -> DataFrame:
@@ -144,9 +170,6 @@ _DETECT_WORDS = ("章节", "大纲", "报告", "仪表盘", "dashboard", "chapte
 
 def detect_profile(spark: SparkSession, root: str) -> Profile:
     """A profile for a folder, from counts over its files: folders, prefixes and front matter keys that recur. Only the counts that reach their least number come to the driver."""
-    import dataclasses
-    import os
-
     plain = vault_files(spark, root, dataclasses.replace(Profile(), excluded_dirs=()))
     parts = F.split("path", "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)

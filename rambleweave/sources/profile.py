@@ -76,7 +76,8 @@ class Profile:
     def type_of(self, path: Column, meta: Column) -> Column:
         """A document's type: by the start of a front matter key, its type field, the start or a part of its file name, the start of its path, or the default."""
         base = F.element_at(F.split(path, "/"), -1)
-        rules: list[tuple[Column, Column]] = [(F.exists(F.map_keys(meta), lambda k, p=p: F.startswith(k, F.lit(p))), F.lit(t)) for p, t in self.type_by_key]
+        starts = lambda p: F.exists(F.map_keys(meta), lambda k: F.startswith(k, F.lit(p)))
+        rules: list[tuple[Column, Column]] = [(starts(p), F.lit(t)) for p, t in self.type_by_key]
         if self.type_field:
             own = F.trim(F.try_element_at(meta, F.lit(self.type_field)))
             rules.append((F.coalesce(own, F.lit("")) != "", own))

@@ -39,18 +39,18 @@ class Store:
     # -- facts -----------------------------------------------------------
     def facts(self) -> dict:
         """The sheet of facts; empty for a store that isn't there."""
-        at = self._path(f"{self.path}/_meta.json")
+        at = self._path(f"{self.path}/facts.json")
         if not self._fs.exists(at):
             return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/_meta.json", wholetext=True).collect()))
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/facts.json", wholetext=True).collect()))
 
     def put(self, **facts: object) -> None:
         text = json.dumps(self.facts() | facts, ensure_ascii=False)
-        out = self._fs.create(self._path(f"{self.path}/_meta.json.new"), True)
+        out = self._fs.create(self._path(f"{self.path}/facts.json.new"), True)
         out.write(bytearray(text.encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.path}/_meta.json"), False)
-        self._fs.rename(self._path(f"{self.path}/_meta.json.new"), self._path(f"{self.path}/_meta.json"))
+        self._fs.delete(self._path(f"{self.path}/facts.json"), False)
+        self._fs.rename(self._path(f"{self.path}/facts.json.new"), self._path(f"{self.path}/facts.json"))
 
     def stale(self, profile: Profile) -> bool:
         """Whether documents must be parsed anew: written by another parser or under another profile."""
