@@ -169,16 +169,17 @@ def _solve(items: DataFrame, capacity: int, seed: int, islands: int, epochs: int
     open_ = best.where("n_bins > bound").select("shard")
     if not open_.isEmpty():
         state = best.join(open_, "shard", "left_semi")
-        for epoch in range(epochs):
 
-            def run(key: tuple, pdf: pd.DataFrame, seeds: pd.DataFrame, epoch: int = epoch) -> pd.DataFrame:
-                if not len(pdf) or not len(seeds):
-                    return pd.DataFrame({c: [] for c in ("shard", "island", "place", "n_bins", "bound", "assigned")})
+        def evolving(epoch: int):  # noqa: ANN202
+            def run(key: tuple, pdf: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
                 sizes = table(pdf)["size"].to_numpy(np.int64)
                 rng = random.Random(f"{seed}/{key}/{epoch}")
                 pool = evolve(sizes, capacity, [np.asarray(x) for x in seeds.sort_values(["n_bins", "place"])["assigned"]], rng, generations, population)
                 return rows(key[0], key[1], pool[: 2 * elite], sizes)
 
+            return run
+
+        for epoch in range(epochs):
             numbers = F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))
             if epoch == 0:
                 seeds = state.drop("island").withColumn("island", numbers)
@@ -186,7 +187,7 @@ def _solve(items: DataFrame, capacity: int, seed: int, islands: int, epochs: int
                 moved = state.where(F.col("place") < elite).withColumn("island", (F.col("island") + 1) % islands)
                 seeds = state.unionByName(moved)
             work = items.join(open_, "shard", "left_semi").withColumn("island", numbers)
-            state = cut(work.groupBy("shard", "island").cogroup(seeds.groupBy("shard", "island")).applyInPandas(run, _STATE))
+            state = cut(work.groupBy("shard", "island").cogroup(seeds.groupBy("shard", "island")).applyInPandas(evolving(epoch), _STATE))
             open_ = state.groupBy("shard").agg(F.min(F.col("n_bins") - F.col("bound")).alias("over")).where("over > 0").select("shard")
             best = best.unionByName(state)
             if epoch + 1 < epochs:
