@@ -19,7 +19,7 @@ from .components import components
 
 
 def documents(df: DataFrame) -> DataFrame:
-    """Rows in the shape of documents: columns that are missing are added as null, null strings and lists become empty, lists lose null and empty elements, rows without id are dropped, and of several rows of an id the greatest is kept."""
+    """Rows in the shape of documents: columns that are missing are added as null, null strings and lists become empty, lists lose null and empty elements, rows without id are dropped, and of several rows of an id each column keeps its greatest value (repeated rows are equal anyway; column by column, so that columns nobody asks for are never read)."""
     kinds = {f.name: f.dataType for f in DOCUMENTS.fields}
     have = set(df.columns)
     column = lambda c: F.col(c) if c in have else F.lit(None)
@@ -33,7 +33,7 @@ def documents(df: DataFrame) -> DataFrame:
 
     rows = df.where(F.col("id").isNotNull()).select(*[value(c) for c in COLUMNS])
     rest = [c for c in COLUMNS if c != "id"]
-    return rows.groupBy("id").agg(F.max(F.struct(*rest)).alias("row")).select("id", *[F.col("row")[c].alias(c) for c in rest]).select(*COLUMNS)
+    return rows.groupBy("id").agg(*[F.max(c).alias(c) for c in rest]).select(*COLUMNS)
 
 
 def name_index(docs: DataFrame) -> DataFrame:

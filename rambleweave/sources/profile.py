@@ -100,7 +100,7 @@ EXAMPLE_WIKI = Profile(
     default_type="其他", structural_types=("章节", "大纲", "报告", "画布", "索引", "状态"),
 )
 BUILT_IN = {"default-obsidian": Profile(), "default": Profile(), "okf": Profile(), "llm-wiki": LLM_WIKI, "example-wiki": EXAMPLE_WIKI}
-FOLDER = ".serendipity"
+FOLDER = ".rambleweave"
 TEMPLATE = "# Conventions of this vault. Every line is a comment: the defaults hold until one is changed.\n" + "".join(f"# {line}\n" for line in Profile().dump().splitlines())
 
 

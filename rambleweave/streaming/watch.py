@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import LinkGraph
 from ..sources.markdown import vault_files
-from ..sources.profile import Profile
+from ..sources.profile import FOLDER, Profile
 
 POLL, THROTTLE = 10.0, 60.0
 #: Folders whose changes never count.
-QUIET_DIRS = [".serendipity", ".git", ".obsidian", ".trash", ".dsh", ".agents"]
+QUIET_DIRS = [FOLDER, ".git", ".obsidian", ".trash", ".dsh", ".agents"]
 
 
 def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -188,8 +188,8 @@ def test_profiles(spark, tmp_path):
     assert resolve_profile(name="okf") == Profile() and resolve_profile(name="llm-wiki").structural_types == () and BUILT_IN["example-wiki"].default_type == "其他"
     with pytest.raises(KeyError):
         resolve_profile(name="none")
-    assert resolve_profile(vault=str(tmp_path)) == Profile() and (tmp_path / ".serendipity/profile.yaml").exists()
-    (tmp_path / ".serendipity/profile.yaml").write_text("name: own\nstructural_types: [toc]\ntype_by_dir: [{pattern: w, type: W}]")
+    assert resolve_profile(vault=str(tmp_path)) == Profile() and (tmp_path / ".rambleweave/profile.yaml").exists()
+    (tmp_path / ".rambleweave/profile.yaml").write_text("name: own\nstructural_types: [toc]\ntype_by_dir: [{pattern: w, type: W}]")
     own = resolve_profile(vault=str(tmp_path))
     assert (own.name, own.structural_types, own.type_by_dir, own.title_keys) == ("own", ("toc",), (("w", "W"),), ("title",))
     assert Profile.parse(own.dump()) == own and own.signature() != Profile().signature()
