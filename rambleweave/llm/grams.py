@@ -82,12 +82,16 @@ def shared_needed(scheme: int) -> int:
     return int(SHARED * 2**scheme) if scheme >= LEAST_CLASS else 1
 
 
-def signatures(g: np.ndarray, frequency: np.ndarray, threshold: float, probe: bool) -> np.ndarray:
-    """Signatures of a set of grams as the larger (probe) or the smaller set of a pair. frequency: quantised, per slot."""
+def signatures(g: np.ndarray, frequency: np.ndarray, threshold: float, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of grams as the larger (probe) or the smaller set of a pair, and with each the greatest size of a partner for which it is still within the prefix. frequency: quantised, per slot.
+
+    The more alike two sizes are, the more a similar pair must share: what a set may miss falls with its partner's
+    size, and with it the prefix. So a signature that comes late counts for small partners only.
+    """
     size = len(g)
     own = size_class(size)
     if not size:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     schemes = [(own, True)]
     if not probe and size / threshold >= 2 ** (own + 1):
         schemes.append((own + 1, False))
@@ -95,7 +99,8 @@ def signatures(g: np.ndarray, frequency: np.ndarray, threshold: float, probe: bo
     kind = np.searchsorted(quantised(np.array(BOUNDS)), df, "left")  # 0 alone, 1 pairs, 2 triples
     order = np.lexsort((g, df, kind))
     g, df, kind = g[order], df[order], kind[order]
-    out = []
+    out, most = [], []
+    part_of = threshold / (1 + threshold)
     for scheme, home in schemes:
         # As the smaller set: the partner is at least as large, and of the scheme's class. As the larger: it may be smaller by the threshold.
         missing = size - ceil(threshold * size - 1e-9) if probe else allowed_missing(size, threshold, size if home else 2**scheme)
@@ -110,11 +115,15 @@ def signatures(g: np.ndarray, frequency: np.ndarray, threshold: float, probe: bo
         first = np.concatenate([[0], np.flatnonzero(np.diff(where[by])) + 1])
         within = np.empty(size, np.int64)
         within[by] = np.arange(size) - np.repeat(first, np.diff(np.append(first, size)))
-        missed = np.cumsum((kind_ == 0) | (within >= taken - 1))
+        counts = (kind_ == 0) | (within >= taken - 1)
+        missed = np.cumsum(counts)
+        # A gram is within the prefix while the grams before it do not yet make up for what may be missing.
+        reach = np.floor((size - (missed - counts - shared) - 1 + 1e-6) / part_of - size).astype(np.int64)
         tag = np.uint64(scheme * 8)
         part = np.arange(min(int(np.searchsorted(missed, missing + shared, "left")) + 1, size))
         alone = part[(kind_[part] == 0) & (df[part] > 1)]
         out.append(mix(g[alone] ^ mix(np.array([tag]))[0]))
+        most.append(reach[alone])
         for t, k in ((1, 2), (2, 3)):
             own_part = part[kind_[part] == t]
             if not len(own_part):
@@ -131,4 +140,5 @@ def signatures(g: np.ndarray, frequency: np.ndarray, threshold: float, probe: bo
                     for j in range(k):
                         h = mix(h * _MULTIPLIER + members[:, j])
                 out.append(h)
-    return np.concatenate(out)
+                most.append(reach[rows].min(axis=1))
+    return np.concatenate(out), np.concatenate(most)
