@@ -37,15 +37,15 @@ def references(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit("")
     exploded = lambda df: df.withColumn("ref", F.explode("refs"))
     when = block.groupBy("id").agg(F.max("modified").alias("modified"))
-    # Several blocks are referred from often: each f is joined once, with its targets.
-    by_f = ref.where("f is not null and t is not null").groupBy("f").agg(F.collect_set("t").alias("t"))
+    # when has each id once, so a block that refers very often is split by the adaptive skew join.
+    dated = ref.where("f is not null and t is not null").join(when, ref["f"] == when["id"], "left")
     return union_all(
         [
             exploded(notes.select("id", "mtime", "refs")).select(*row("notes", none, F.date_format("mtime", "yyyy-MM"), F.col("id"), F.col("ref"))),
             exploded(snaps.select("snap_no", "snap_at", "id", "refs")).select(*row("note_snap", F.col("snap_no").cast("string"), F.date_format("snap_at", "yyyy-MM-dd"), F.col("id"), F.col("ref"))),
             touch.select(*row("touch", none, month("ts"), F.col("seq"), F.col("target"))),
             block.select(*row("block", none, month("modified"), F.col("id"), F.col("parent"))),
-            by_f.join(when, by_f["f"] == when["id"], "left").select("f", "modified", F.explode("t").alias("t")).select(*row("block_ref", none, month("modified"), F.col("f"), F.col("t"))),
+            dated.select(*row("block_ref", none, month("modified"), F.col("f"), F.col("t"))),
         ]
     )
 
