@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from ..functions.text import heading, links, strip_code, strip_frontmatter
 from ..operators.graph import LinkGraph, documents
 from ..operators.reconcile import collapse, diff, merge_renames, rename_touches
 from ..operators.touches import accepted, append, digest, last_by_key, top_sources, top_targets, touch_count, touch_stats
-from ..plans.durable import cut
+from ..plans.durable import cut, ensure_checkpoint_dir
+from ..plans.ship import ship
+from ..schema import TOUCH
 from ..sources.blocks import block_documents
+from ..streaming.digests import OUTPUT, digest_stream
 from .common import Query, table
 from .notes import _renames, graph
 
@@ -86,6 +91,17 @@ def t5_digest(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("window_start", "since", "total", names("targets"), names("sources"))
 
 
+def t5_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests over all touches as a stream, at a fixed time: one for every 500."""
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    home = f"{ensure_checkpoint_dir(spark)}/digests-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(TOUCH).parquet(f"{sf}/touch.parque[t]")
+    made = digest_stream(stream, clock=1_700_000_000)
+    made.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(OUTPUT).parquet(f"{home}/out").select("digest_no", "total")
+
+
 def t9_accepted(spark: SparkSession, sf: str) -> DataFrame:
     return accepted(touches(spark, sf), ("Shared_Inbox.md",), ("archive/",))
 
@@ -107,7 +123,7 @@ def x_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.array_join(links(F.col("text")), "|").alias("links"), F.coalesce(heading(F.col("text")), F.lit("")).alias("heading"), F.char_length(strip_code(F.col("text"))).alias("plain"), F.char_length(strip_frontmatter(F.col("text"))).alias("body"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (r1_changes, r1_summary, r3_renames, r4_merged, r5_collapsed, r6_touches, t1_appended, t2_last, t3_stats, t3_targets, t3_sources, t4_count, t5_digest, t9_accepted, s8_block_documents, s8_block_graph, x_markdown)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (r1_changes, r1_summary, r3_renames, r4_merged, r5_collapsed, r6_touches, t1_appended, t2_last, t3_stats, t3_targets, t3_sources, t4_count, t5_digest, t5_stream, t9_accepted, s8_block_documents, s8_block_graph, x_markdown)}
 
 _FIELDS = ("title", "type", "path", "text", "tags", "aliases", "refs")
 _STATES = f"""s AS (SELECT DISTINCT snap_no, id, {", ".join(f"coalesce({c}, '') AS {c}" for c in _FIELDS[:4])}, {", ".join(f"[x FOR x IN coalesce({c}, []) IF x <> ''] AS {c}" for c in _FIELDS[4:])} FROM note_snap WHERE id IS NOT NULL AND snap_no IN (1, 2)),
@@ -156,6 +172,7 @@ SQL: dict[str, str] = {
     "t4_count": "SELECT count(*) AS n FROM (SELECT DISTINCT * FROM touch)",
     "t5_digest": f"""WITH {_TOPS.format(since=5000)} SELECT CAST(1704067200 AS BIGINT) AS window_start, '2024-01-01 00:00' AS since, (SELECT count(*) FROM t WHERE seq > 5000) AS total,
  coalesce((SELECT string_agg(id || '=' || count, '|' ORDER BY count DESC, id) FROM tg), '') AS targets, coalesce((SELECT string_agg(id || '=' || count, '|' ORDER BY count DESC, id) FROM sr), '') AS sources""",
+    "t5_stream": "SELECT i AS digest_no, CAST(500 AS BIGINT) AS total FROM range(1, (SELECT count(*) FROM touch) // 500 + 1) r(i)",
     "t9_accepted": "SELECT DISTINCT * FROM touch WHERE target <> '' AND lower(regexp_replace(target, '(\\.md|\\.MD)$', '')) <> 'shared_inbox' AND NOT starts_with(target, 'archive/')",
     "s8_block_documents": f"""WITH RECURSIVE {_BLOCKS} SELECT CAST(id AS VARCHAR) AS id, CASE WHEN text = '' AND len(aliases) = 0 THEN '容器#' || id ELSE coalesce(nullif(trim(aliases[1]), ''), {_TITLE.format("bare")}, kid, CASE WHEN page THEN '页面#' ELSE '块#' END || id) END AS title,
  array_to_string(aliases, '|') AS aliases, CASE WHEN text = '' AND len(aliases) = 0 THEN 'container' WHEN page THEN 'doc' ELSE 'block' END AS type, 'block/' || id AS path, CAST(strlen(text) AS BIGINT) AS size,
