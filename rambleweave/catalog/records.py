@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import utc
 from ..operators.forest import descendants, hierarchy, subtree_sizes
 from ..operators.orphans import named_keys, orphans, union_all
 from ..operators.snapshots import FIELDS, change_counts, snapshot_changes
@@ -32,7 +33,7 @@ def references(spark: SparkSession, sf: str) -> DataFrame:
     """All references of the tables: tbl, scope, period, src_key, target_key."""
     notes, snaps, touch = (table(spark, sf, t) for t in ("notes", "note_snap", "touch"))
     block, ref = table(spark, sf, "block"), table(spark, sf, "block_ref")
-    month = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM")
+    month = lambda c: F.date_format(utc(F.col(c)), "yyyy-MM")
     row = lambda tbl, scope, period, src, target: [F.lit(tbl).alias("tbl"), scope.alias("scope"), period.alias("period"), src.cast("string").alias("src_key"), target.cast("string").alias("target_key")]
     none = F.lit("")
     exploded = lambda df: df.withColumn("ref", F.explode("refs"))

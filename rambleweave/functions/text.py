@@ -29,6 +29,11 @@ def clean_list(c: Column) -> Column:
     return F.filter(F.coalesce(c, none()), lambda x: x.isNotNull() & (x != ""))
 
 
+def utc(seconds: Column) -> Column:
+    """The time in UTC that epoch seconds stand for, whatever the session's time zone."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def is_numeric(c: Column) -> Column:
     """Whether a name is all ASCII digits, and not empty."""
     return c.rlike("^[0-9]+$")

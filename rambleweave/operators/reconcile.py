@@ -136,6 +136,3 @@ def rename_touches(touches: DataFrame, renames: DataFrame) -> DataFrame:
     t, s = renames.select(F.col("old_id").alias("target"), F.col("new_id").alias("t2")), renames.select(F.col("old_id").alias("src"), F.col("new_id").alias("s2"))
     out = touches.join(t, "target", "left").join(s, "src", "left")
     return out.select(*[F.coalesce("t2", "target").alias("target") if c == "target" else F.coalesce("s2", "src").alias("src") if c == "src" else F.col(c) for c in touches.columns])
-
-
-__all__ = ["Reconciled", "collapse", "detect_renames", "diff", "final_names", "merge_renames", "redirected", "rename_touches", "summary"]

@@ -10,7 +10,6 @@ from math import floor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_numeric
 from ..plans.durable import cut
 from .activation import activate, pagerank
 from .anchors import decorate, resolve, text_search
@@ -177,10 +176,3 @@ class RandomWalks:
         self.recent.append(start)
         anchors = self.graph.nodes.where(F.col("id") == start).select("id", "title", "type", F.lit(5).alias("level"), "deg")
         return Outcome(anchors, cluster(self.graph, anchors, options), 0, no_hits, True)
-
-
-def numeric_query(query: str) -> bool:
-    return bool(query) and query.isascii() and query.isdigit()
-
-
-__all__ = ["Outcome", "RandomWalks", "RoamOptions", "cluster", "interleaved", "is_numeric", "numeric_query", "quota_plan", "rank", "roam", "roll_pool", "roll_seed"]

@@ -8,7 +8,7 @@ import yaml
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import title_or_id
+from ..functions.text import title_or_id, utc
 
 KEPT, TOP = 5000, 10
 
@@ -100,4 +100,4 @@ def digest(touches: DataFrame, docs: DataFrame, since_seq: int, window_start: in
     targets = top_targets(new, docs).agg(listed(None, "id", "title", "count").alias("targets"))
     sources = top_sources(new).agg(listed(None, "id", "count").alias("sources"))
     rows = one(total).join(one(targets), "_").join(one(sources), "_").drop("_")
-    return rows.select(F.lit(window_start).cast("long").alias("window_start"), F.date_format(F.timestamp_seconds(F.lit(window_start)), "yyyy-MM-dd HH:mm").alias("since"), "total", "targets", "sources")
+    return rows.select(F.lit(window_start).cast("long").alias("window_start"), F.date_format(utc(F.lit(window_start)), "yyyy-MM-dd HH:mm").alias("since"), "total", "targets", "sources")
