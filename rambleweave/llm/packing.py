@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import random
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
