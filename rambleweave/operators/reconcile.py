@@ -30,26 +30,31 @@ def differing(old: str = "old", new: str = "new") -> Column:
     return F.filter(F.array(*[F.when(~side(old, f).eqNullSafe(side(new, f)), f) for f in FIELDS]), lambda x: x.isNotNull())
 
 
-def diff(old: DataFrame, new: DataFrame) -> Reconciled:
-    """What changed between two sets of documents (each id once). Times and sizes don't count; a renamed document is neither added nor deleted."""
-    rows = lambda df, name: df.select("id", F.struct(*FIELDS).alias(name))
-    both = rows(old, "old").join(rows(new, "new"), "id", "full_outer")
+def diff(old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> Reconciled:
+    """What changed between two sets of documents (each id once). Times and sizes don't count; a renamed document is neither added nor deleted. by: columns that tell several such pairs of sets apart; all three results have them, and ids count within them."""
+    keys = [*by, "id"]
+    rows = lambda df, name: df.select(*keys, F.struct(*FIELDS).alias(name))
+    both = rows(old, "old").join(rows(new, "new"), keys, "full_outer")
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").when(F.size(differing()) > 0, "updated").otherwise("unchanged")
-    marked = both.withColumn("kind", kind)
-    renames = detect_renames(marked.where("kind = 'deleted'").select("id", "old.text", "old.path"), marked.where("kind = 'added'").select("id", "new.text", "new.path"))
-    ends = renames.select(F.explode(F.array("old_id", "new_id")).alias("id"))
-    kept = marked.where("kind <> 'unchanged'").join(ends, "id", "left_anti")
-    changed = F.when(F.col("kind") == "updated", differing()).otherwise(F.array().cast("array<string>"))
-    less = lambda a, b: F.when(F.col("kind") == "updated", F.array_sort(F.array_except(F.col(a)["refs"], F.col(b)["refs"]))).otherwise(F.array().cast("array<string>"))
-    changes = kept.select("id", "kind", changed.alias("fields"), less("new", "old").alias("refs_added"), less("old", "new").alias("refs_removed"))
-    return Reconciled(changes, renames, summary(marked, renames))
-
-
-def summary(marked: DataFrame, renames: DataFrame) -> DataFrame:
-    """One row: added, deleted, updated, unchanged, renamed; a rename is taken off added and deleted."""
+    none = F.array().cast("array<string>")
+    changed = F.when(F.col("kind") == "updated", differing()).otherwise(none)
+    less = lambda a, b: F.when(F.col("kind") == "updated", F.array_sort(F.array_except(F.col(a)["refs"], F.col(b)["refs"]))).otherwise(none)
+    lone = lambda c: F.when(F.col("kind") == "deleted", F.col("old")[c]).when(F.col("kind") == "added", F.col("new")[c]).alias(c)
+    # Cut, as it is read again and again; texts are kept of deleted and added documents only.
+    marked = cut(both.withColumn("kind", kind).select(*keys, "kind", changed.alias("fields"), less("new", "old").alias("refs_added"), less("old", "new").alias("refs_removed"), lone("text"), lone("path")))
+    renames = detect_renames(marked.where("kind = 'deleted'").select(*keys, "text", "path"), marked.where("kind = 'added'").select(*keys, "text", "path"), by)
+    ends = renames.select(*by, F.explode(F.array("old_id", "new_id")).alias("id"))
+    changes = marked.where("kind <> 'unchanged'").join(ends, keys, "left_anti").select(*keys, "kind", "fields", "refs_added", "refs_removed")
+    return Reconciled(changes, renames, summary(marked, renames, by))
+
+
+def summary(marked: DataFrame, renames: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of by): added, deleted, updated, unchanged, renamed; a rename is taken off added and deleted."""
     n = lambda k: F.count_if(F.col("kind") == k).alias(k)
-    counts = marked.agg(n("added"), n("deleted"), n("updated"), n("unchanged")).withColumn("_", F.lit(1))
-    one = counts.join(renames.agg(F.count("*").alias("renamed")).withColumn("_", F.lit(1)), "_").drop("_")
+    on = [*by, "_"]
+    counts = marked.groupBy(*by).agg(n("added"), n("deleted"), n("updated"), n("unchanged")).withColumn("_", F.lit(1))
+    renamed = renames.groupBy(*by).agg(F.count("*").alias("renamed")).withColumn("_", F.lit(1))
+    one = counts.join(renamed, on, "left").drop("_").withColumn("renamed", F.coalesce("renamed", F.lit(0).cast("long")))
     return one.withColumns({k: F.col(k) - F.col("renamed") for k in ("added", "deleted")})
 
 
@@ -79,17 +84,22 @@ def _claim(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["old_id", "new_id"])
 
 
-def detect_renames(deleted: DataFrame, added: DataFrame) -> DataFrame:
-    """old_id, new_id: a deleted and an added document (id, text, path) of the same text and directory.
+def detect_renames(deleted: DataFrame, added: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """old_id, new_id (after the columns by, within whose values pairs are sought): a deleted and an added document (id, text, path) of the same text and directory.
 
     Among several, new ids in order take the old one whose file name has the longest common start, unless that is a
     tie; ids that are all digits on both sides are never paired. Groups that only one side has are dropped before
     anything is grouped; what is grouped has ids and file names, no texts.
     """
-    side = lambda df, gone: df.select("id", F.sha2("text", 256).alias("sha"), directory(F.col("path")).alias("dir"), F.encode(basename(F.col("path")), "UTF-8").alias("name_bytes"), F.lit(gone).alias("gone"))
+    side = lambda df, gone: df.select(*by, "id", F.sha2("text", 256).alias("sha"), directory(F.col("path")).alias("dir"), F.encode(basename(F.col("path")), "UTF-8").alias("name_bytes"), F.lit(gone).alias("gone"))
     x, y = side(deleted, True), side(added, False)
-    both = x.join(y.select("sha", "dir").distinct(), ["sha", "dir"], "left_semi").unionByName(y.join(x.select("sha", "dir").distinct(), ["sha", "dir"], "left_semi"))
-    return both.groupBy("sha", "dir").applyInPandas(_claim, "old_id string, new_id string")
+    on = [*by, "sha", "dir"]
+    both = x.join(y.select(on).distinct(), on, "left_semi").unionByName(y.join(x.select(on).distinct(), on, "left_semi"))
+
+    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _claim(pdf).assign(**{c: pdf[c].iat[0] for c in by})[[*by, "old_id", "new_id"]]
+
+    return both.groupBy(on).applyInPandas(claim, ", ".join([*(f"{c} {kind}" for c, kind in x.dtypes if c in by), "old_id string", "new_id string"]))
 
 
 def final_names(renames: DataFrame) -> DataFrame:
