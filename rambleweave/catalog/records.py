@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import utc
-from ..operators.forest import descendants, hierarchy, subtree_sizes
+from ..operators.forest import around_cycles, cycle_places, cycle_sizes, descendants, hierarchy, subtree_sizes
 from ..operators.orphans import named_keys, orphans, union_all
 from ..operators.snapshots import FIELDS, change_counts, snapshot_changes
+from ..plans.durable import cut
 from .common import Query, table
 
 
@@ -29,6 +30,29 @@ def p1_subtrees(spark: SparkSession, sf: str) -> DataFrame:
     return subtree_sizes(hierarchy(table(spark, sf, "block"), with_path=True))
 
 
+def _everything(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All blocks with paths, also below cycles, and the places of those on cycles."""
+    block = table(spark, sf, "block")
+    placed = cut(hierarchy(block, with_path=True, below_cycles=True))
+    return placed, cut(cycle_places(block, placed))
+
+
+def p1_paths_all(spark: SparkSession, sf: str) -> DataFrame:
+    """p1_paths for every block: below a cycle from the cycle's node, on a cycle the block alone."""
+    placed = hierarchy(table(spark, sf, "block"), with_path=True, below_cycles=True)
+    return placed.select("id", "root_id", "depth", "kind", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+
+
+def p1_descendants_all(spark: SparkSession, sf: str) -> DataFrame:
+    placed, places = _everything(spark, sf)
+    return descendants(placed).unionByName(around_cycles(placed, places))
+
+
+def p1_subtrees_all(spark: SparkSession, sf: str) -> DataFrame:
+    placed, places = _everything(spark, sf)
+    return subtree_sizes(placed).unionByName(cycle_sizes(placed, places))
+
+
 def references(spark: SparkSession, sf: str) -> DataFrame:
     """All references of the tables: tbl, scope, period, src_key, target_key."""
     notes, snaps, touch = (table(spark, sf, t) for t in ("notes", "note_snap", "touch"))
@@ -83,7 +107,7 @@ def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
     return change_counts(p5_found(spark, sf))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_paths, p1_descendants, p1_subtrees, p4_found, p4_counts, p5_found, p5_counts)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_paths, p1_descendants, p1_subtrees, p1_paths_all, p1_descendants_all, p1_subtrees_all, p4_found, p4_counts, p5_found, p5_counts)}
 
 _TREE = """b AS (SELECT DISTINCT id, parent FROM block WHERE id IS NOT NULL),
 up AS (SELECT x.id, x.parent AS above FROM b x JOIN b y ON x.parent = y.id),
@@ -99,6 +123,9 @@ UNION ALL SELECT r.id, min(l.root_id), CAST(1 + (SELECT count(*) FROM reach q WH
 UNION ALL SELECT r.id, min(CASE WHEN k.id IS NOT NULL THEN r.anc END), CAST(count(*) AS INTEGER), 'tree'
   FROM reach r LEFT JOIN rooted k ON r.anc = k.id WHERE r.id NOT IN (SELECT q.id FROM reach q JOIN on_cycle c ON q.anc = c.id) GROUP BY r.id)"""
 
+_WALK = _TREE + """, walk(id, anc, k, seen) AS (SELECT id, above, 1, [id, above] FROM up WHERE above <> id
+ UNION ALL SELECT w.id, u.above, k + 1, list_append(seen, u.above) FROM walk w JOIN up u ON w.anc = u.id WHERE NOT list_contains(seen, u.above))"""
+
 _ORPHANS = """n AS (SELECT DISTINCT * FROM notes), s AS (SELECT DISTINCT * FROM note_snap),
 names AS (SELECT id AS k FROM shared_note UNION SELECT title FROM shared_note UNION SELECT unnest(aliases) FROM shared_note),
 nk AS (SELECT id AS k FROM n UNION SELECT title FROM n UNION SELECT unnest(aliases) FROM n UNION SELECT k FROM names),
@@ -136,6 +163,9 @@ SQL: dict[str, str] = {
     "p1_paths": f"""WITH RECURSIVE {_TREE}, t AS (SELECT * FROM found WHERE kind = 'tree'),
  steps AS (SELECT id, id AS anc FROM t UNION ALL SELECT r.id, r.anc FROM reach r JOIN t ON t.id = r.id)
  SELECT t.id, t.root_id, t.depth, string_agg(CAST(s.anc AS VARCHAR), '/' ORDER BY a.depth) AS path FROM t JOIN steps s ON s.id = t.id JOIN t a ON a.id = s.anc GROUP BY ALL""",
+    "p1_paths_all": f"WITH RECURSIVE {_WALK} SELECT f.id, root_id, depth, kind, CASE WHEN depth = 0 THEN CAST(f.id AS VARCHAR) ELSE array_to_string(list_reverse(seen), '/') END AS path FROM found f LEFT JOIN walk w ON w.id = f.id AND w.k = f.depth",
+    "p1_descendants_all": f"WITH RECURSIVE {_WALK} SELECT anc AS id, id AS descendant, k AS distance FROM walk",
+    "p1_subtrees_all": f"WITH RECURSIVE {_WALK} SELECT f.id, count(w.id) AS n_descendants, coalesce(max(w.k), 0) AS height FROM found f LEFT JOIN walk w ON w.anc = f.id GROUP BY f.id",
     "p4_found": f"WITH {_ORPHANS} SELECT * FROM found",
     "p4_counts": f'WITH {_ORPHANS} SELECT tbl, period, count(*) AS "references", count(DISTINCT target_key) AS targets FROM found GROUP BY tbl, period',
     "p5_found": f"WITH {_CHANGES} SELECT * FROM found",

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import cut
@@ -217,12 +217,13 @@ def _solve(level: DataFrame, with_path: bool, depth: int, fragment_rows: int, so
     return settled.unionByName(opened)
 
 
-def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent", with_path: bool = False, fragment_rows: int = FRAGMENT_ROWS, solve_rows: int = SOLVE_ROWS) -> DataFrame:
+def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent", with_path: bool = False, fragment_rows: int = FRAGMENT_ROWS, solve_rows: int = SOLVE_ROWS, below_cycles: bool = False) -> DataFrame:
     """One row per distinct id: id, root_id, depth, kind and, if asked for, path (ids from the root to the node).
 
     A root is a row whose parent is null or no id of the table. kind is 'tree' (depth: steps to the root), 'cycle' (the
     node is its own ancestor; root_id is the smallest id of the cycle, depth 0) or 'below_cycle' (the chain runs into
-    a cycle; depth: steps to it). path is null for the latter two. Null ids are no nodes; repeated rows count once; of
+    a cycle; depth: steps to it). path is null for the latter two,
+    unless below_cycles asks for it: then it leads from the cycle's node to the node, and is the node alone on a cycle. Null ids are no nodes; repeated rows count once; of
     several parents of an id the smallest holds; an empty table gives no rows; other columns are not read.
     """
     spark = df.sparkSession
@@ -250,9 +251,11 @@ def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent", with_path:
     if not cyclic.isEmpty():
         rows = nodes.join(cyclic.select("id", "root", "on"), "id").withColumnRenamed("root", "cycle")
         ends = rows.select("id", F.expr("if(`on`, null, parent)").alias("parent"), "cycle", "on")
-        again = level(ends, "`on`", "cycle").withColumn("seg", F.lit(None).cast("array<long>"))
-        again = _solve(again.repartition("id"), False, 0, fragment_rows, solve_rows)
-        again = again.select("id", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.when(F.col("depth") == 0, "cycle").otherwise("below_cycle").alias("kind"), F.lit(None).cast("array<long>").alias("path"))
+        paths = with_path and below_cycles
+        again = level(ends, "`on`", "cycle")
+        again = again if paths else again.withColumn("seg", F.lit(None).cast("array<long>"))
+        again = _solve(again.repartition("id"), paths, 0, fragment_rows, solve_rows)
+        again = again.select("id", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.when(F.col("depth") == 0, "cycle").otherwise("below_cycle").alias("kind"), F.reverse("seg").alias("path"))
         trees = trees.unionByName(again)
     return trees if with_path else trees.drop("path")
 
@@ -264,6 +267,35 @@ def descendants(placed: DataFrame) -> DataFrame:
 
 
 def subtree_sizes(placed: DataFrame) -> DataFrame:
-    """Number of descendants and height of each node of a tree: id, n_descendants, height; leaves have 0. Counted before the shuffle."""
-    own = placed.where("kind = 'tree'").select("id", F.lit(0).alias("distance"), F.lit(0).cast("long").alias("n"))
-    return own.unionByName(descendants(placed).select("id", "distance", F.lit(1).cast("long").alias("n"))).groupBy("id").agg(F.sum("n").alias("n_descendants"), F.max("distance").alias("height"))
+    """Number of descendants and height of each node that has a path and is on no cycle: id, n_descendants, height; leaves have 0. Counted before the shuffle."""
+    own = placed.where("kind <> 'cycle' and path is not null").select("id", F.lit(0).alias("distance"), F.lit(0).cast("long").alias("n"))
+    # The node of a cycle that a path begins with has its size by cycle_sizes.
+    pairs = descendants(placed.withColumn("path", F.expr("if(kind = 'below_cycle', slice(path, 2, depth), path)")).withColumn("depth", F.expr("if(kind = 'below_cycle', depth - 1, depth)")))
+    return own.unionByName(pairs.select("id", "distance", F.lit(1).cast("long").alias("n"))).groupBy("id").agg(F.sum("n").alias("n_descendants"), F.max("distance").alias("height"))
+
+
+def cycle_places(df: DataFrame, placed: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+    """root_id, id, pos, size for each node on a cycle: pos is the number of steps from it to the cycle's smallest id, size the cycle's length. placed: hierarchy's rows of df."""
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(parent).cast("long").alias("parent")).where("id is not null").groupBy("id").agg(F.min("parent").alias("parent"))
+    on = rows.join(placed.where("kind = 'cycle'").select("id", "root_id"), "id")
+    pos = hierarchy(on.select("id", F.when(F.col("id") != F.col("root_id"), F.col("parent")).alias("parent"))).select("root_id", "id", F.col("depth").alias("pos"))
+    return pos.join(pos.groupBy("root_id").agg(F.count("*").cast("int").alias("size")), "root_id")
+
+
+def around_cycles(placed: DataFrame, places: DataFrame) -> DataFrame:
+    """The pairs that descendants() has not: a node on a cycle is above all others of the cycle, and above all that hangs below any of them, by the least number of steps; not above itself. placed: with paths below cycles."""
+    below = placed.where("kind <> 'tree'").select("root_id", F.col("id").alias("descendant"), "depth", F.col("path")[0].alias("entry"))
+    entry = places.select("root_id", F.col("id").alias("entry"), F.col("pos").alias("entry_pos"))
+    pairs = below.join(entry, ["root_id", "entry"]).join(places, "root_id").where("id <> entry")
+    return pairs.select("id", "descendant", (F.col("depth") + F.pmod(F.col("entry_pos") - F.col("pos"), F.col("size"))).alias("distance"))
+
+
+def cycle_sizes(placed: DataFrame, places: DataFrame) -> DataFrame:
+    """id, n_descendants, height of nodes on cycles by the same pairs, without making them: what hangs at a place is farthest from itself, or, around the cycle, from the places above it."""
+    below = placed.where("kind <> 'tree'").groupBy("root_id", F.col("path")[0].alias("id")).agg(F.max("depth").alias("deep"), F.count("*").alias("here"))
+    at = places.join(below, ["root_id", "id"]).withColumn("reach", F.col("deep") + F.col("pos"))
+    cycle = Window.partitionBy("root_id")
+    line = cycle.orderBy("pos")
+    ahead = F.max("reach").over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    behind = F.max("reach").over(line.rowsBetween(Window.unboundedPreceding, -1)) + F.col("size")
+    return at.select("id", (F.sum("here").over(cycle) - 1).alias("n_descendants"), (F.greatest(ahead, behind) - F.col("pos")).cast("int").alias("height"))
