@@ -1,8 +1,9 @@
 """Communities by modularity.
 
 A graph of few enough edges (a checked number) is one task's: the Leiden method of Traag, Waltman and van Eck (2019),
-with fast local moving, refinement within communities and aggregation. Beyond that, nodes move in parallel rounds of
-joins: half of them at a time, by a hash, each to the neighbouring community of the greatest gain.
+with fast local moving, refinement within communities and aggregation. Beyond that, nodes move in parallel rounds of joins until none gains and are aggregated by communities,
+without refinement, until the aggregated graph is small enough for that task. Every round raises modularity: if moving many nodes at once does not, only moves are made that share no
+community, whose gains hold side by side.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections import deque
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import title_or_id
@@ -20,7 +21,6 @@ from ..plans.durable import cut
 from .graph import LinkGraph
 
 KERNEL_EDGES = 2_000_000
-ROUNDS = 12
 TOP_TITLES = 8
 
 
@@ -91,8 +91,12 @@ def leiden(edges: list[tuple[int, int]], n: int, resolution: float, seed: int) -
     for a, b in edges:
         near[a][b] = near[b][a] = 1.0
     g = _Level(near, [0.0] * n)
-    total = sum(g.degree) or 1.0
-    where, label = list(range(n)), list(range(n))
+    return _leiden(g, list(range(n)), sum(g.degree) or 1.0, resolution, rng)
+
+
+def _leiden(g: _Level, label: list[int], total: float, resolution: float, rng: random.Random) -> list[int]:
+    """Community of each node of g, from the communities in label on. total: twice the weight of all edges, also of those that are not in g."""
+    where = list(range(len(label)))
     while True:
         _move(g, label, total, resolution, rng)
         if len(set(label)) == len(label):
@@ -143,7 +147,7 @@ def communities(graph: LinkGraph, resolution: float = 1.0, seed: int = 1, kernel
 
         labels = once.groupBy().applyInPandas(kernel, "id string, label long").withColumn("label", F.col("label").cast("string"))
     else:
-        labels = _parallel(graph, m, resolution, seed)
+        labels = _parallel(graph, m, resolution, seed, kernel_edges)
     labels = cut(labels)
     sized = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("id").alias("first"))
     # The place of a community is the number of those before it; equal sizes are told apart by the smallest id.
@@ -166,20 +170,92 @@ def modularity(graph: LinkGraph, membership: DataFrame, resolution: float = 1.0)
     return per.join(F.broadcast(total)).agg(F.coalesce(q, F.lit(0.0)).alias("modularity"))  # total is one row
 
 
-def _parallel(graph: LinkGraph, m: int, resolution: float, seed: int) -> DataFrame:
-    """id, label after rounds of parallel moves over the whole graph."""
-    nodes = graph.nodes.where("deg > 0").select("id", "deg")
-    label = nodes.select("id", "deg", F.col("id").alias("label"))
-    for r in range(ROUNDS):
-        weight = label.groupBy("label").agg(F.sum("deg").alias("total"))
-        to = graph.edges.join(label.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count("*").alias("w"))
-        scored = to.join(weight, "label").join(label.select("id", "deg", F.col("label").alias("own")), "id")
-        others = F.col("total") - F.when(F.col("label") == F.col("own"), F.col("deg")).otherwise(0)
-        gain = F.col("w") - resolution * F.col("deg") * others / (2.0 * m)
-        best = scored.groupBy("id").agg(F.max(F.struct(gain.alias("gain"), F.col("label"))).alias("best"), F.max(F.when(F.col("label") == F.col("own"), gain)).alias("stay"))
-        moves = best.where((F.col("best.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12) & (F.pmod(F.xxhash64("id", F.lit(seed + r)), F.lit(2)) == 0)).select("id", F.col("best.label").alias("new"))
-        label = cut(label.join(moves, "id", "left").select("id", "deg", F.coalesce("new", "label").alias("label")))
-    return label.select("id", "label")
+def _quality(edges: DataFrame, state: DataFrame, two_m: float, resolution: float) -> float:
+    """Modularity of the labels of state, but for the constant weight inside of nodes."""
+    side = lambda c: state.select(F.col("id").alias(c), F.col("label").alias(f"{c}_in"))
+    inside = edges.join(side("src"), "src").join(side("dst"), "dst").where("src_in = dst_in").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    return inside / two_m - resolution * state.groupBy("label").agg(F.sum("deg").alias("t")).agg(F.sum(F.pow(F.col("t") / two_m, F.lit(2.0)))).first()[0]
+
+
+def _rounds(edges: DataFrame, state: DataFrame, two_m: float, resolution: float, seed: int) -> DataFrame:
+    """state (id, deg, label) after parallel moves until no node gains. edges: src, dst, w, in both directions."""
+    quality, r = _quality(edges, state, two_m, resolution), 0
+    while True:
+        weight = state.groupBy("label").agg(F.sum("deg").alias("total"))
+        own = state.join(weight, "label").select("id", "deg", F.col("label").alias("own"), (F.col("total") - F.col("deg")).alias("rest"))
+        to = edges.join(state.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
+        scored = to.join(weight.select("label", "total"), "label").join(own, "id")
+        home = F.col("label") == F.col("own")
+        gain = F.col("w") - resolution * F.col("deg") * F.col("total") / two_m
+        best = scored.groupBy("id", "own", "deg", "rest").agg(F.max(F.when(~home, F.struct(gain.alias("gain"), "label"))).alias("best"), F.coalesce(F.max(F.when(home, F.col("w"))), F.lit(0.0)).alias("kept"))
+        more = F.col("best.gain") - (F.col("kept") - resolution * F.col("deg") * F.col("rest") / two_m)
+        # The margin is above what sums of doubles lose.
+        gains = best.withColumn("more", more).where(F.col("more") > 1e-12 * F.greatest(F.lit(1.0), "deg"))
+        wishes = cut(gains.select("id", "own", F.col("best.label").alias("new"), "more"))
+        if wishes.isEmpty():
+            return state
+
+        def moved(moves: DataFrame, state: DataFrame = state) -> DataFrame:
+            return cut(state.join(moves.select("id", "new"), "id", "left").select("id", "deg", F.coalesce("new", "label").alias("label")))
+
+        # By the toss of a coin a community either gives or takes, so none that is joined is left in the same round.
+        coin = lambda c, k=r: F.pmod(F.xxhash64(F.col(c), F.lit(seed + k)), F.lit(2))
+        many = moved(wishes.where((coin("own") == 0) & (coin("new") == 1)))
+        after = _quality(edges, many, two_m, resolution)
+        if after <= quality + 1e-12:
+            rank: Column = F.struct("more", "id")
+            first = wishes.select(F.explode(F.array("own", "new")).alias("label"), rank.alias("rank")).groupBy("label").agg(F.max("rank").alias("first"))
+            at = lambda c: first.select(F.col("label").alias(c), F.col("first.id").alias(f"{c}_first"))  # noqa: B023, E731
+            many = moved(wishes.join(at("own"), "own").join(at("new"), "new").where("id = own_first and id = new_first"))
+            after = _quality(edges, many, two_m, resolution)
+        state, quality, r = many, after, r + 1
+
+
+def _parallel(graph: LinkGraph, m: int, resolution: float, seed: int, kernel_edges: int) -> DataFrame:
+    """id, label by moves over the whole graph until no node gains, and aggregation, again and again; from kernel_edges on by Leiden in one task."""
+    two_m = 2.0 * m
+    edges = cut(graph.edges.select("src", "dst", F.lit(1.0).alias("w")))
+    state = cut(graph.nodes.where("deg > 0").select("id", F.col("deg").cast("double").alias("deg"), F.col("id").alias("label")))
+    where = state.select("id", F.col("id").alias("node"))
+    while True:
+        if edges.count() // 2 <= kernel_edges:
+            state = _solved(edges, state, two_m, resolution, seed)
+            break
+        state = _rounds(edges, state, two_m, resolution, seed)
+        n = state.count()
+        if state.select("label").distinct().count() == n:
+            break
+        parts = cut(state.select("id", F.col("label").alias("part")))
+        part = lambda c: parts.select(F.col("id").alias(c), F.col("part").alias(f"{c}_part"))  # noqa: B023, E731
+        edges = cut(edges.join(part("src"), "src").join(part("dst"), "dst").where("src_part <> dst_part").groupBy(F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).agg(F.sum("w").alias("w")))
+        where = cut(where.join(part("node"), "node").select("id", F.col("node_part").alias("node")))
+        state = cut(state.join(parts, "id").groupBy(F.col("part").alias("id")).agg(F.sum("deg").alias("deg"), F.min("label").alias("label")))
+    return where.join(state.select(F.col("id").alias("node"), "label"), "node").select("id", "label")
+
+
+def _solved(edges: DataFrame, state: DataFrame, two_m: float, resolution: float, seed: int) -> DataFrame:
+    """state with the labels that Leiden gives in one task. Nodes without edges, which are communities by themselves, stay out of it."""
+    linked = edges.select(F.col("src").alias("id")).distinct()
+    rows = edges.where("src < dst").select("src", "dst", "w", F.lit(True).alias("edge")).unionByName(state.join(linked, "id").select(F.col("id").alias("src"), F.col("label").alias("dst"), F.col("deg").alias("w"), F.lit(False).alias("edge")))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["src", "dst"])
+        nodes, links = pdf[~pdf["edge"]], pdf[pdf["edge"]]
+        ids = list(nodes["src"])
+        number = {x: k for k, x in enumerate(ids)}
+        called = {x: k for k, x in enumerate(sorted(set(nodes["dst"])))}
+        near: list[dict[int, float]] = [{} for _ in ids]
+        for a, b, w in zip(links["src"], links["dst"], links["w"]):
+            near[number[a]][number[b]] = near[number[b]][number[a]] = w
+        g = _Level(near, [w - sum(d.values()) for w, d in zip(nodes["w"], near)])
+        found = _leiden(g, [called[x] for x in nodes["dst"]], two_m, resolution, random.Random(seed))
+        least: dict[int, str] = {}
+        for x, c in zip(ids, found):
+            least.setdefault(c, x)
+        return pd.DataFrame({"id": ids, "label": [least[c] for c in found]})
+
+    solved = cut(rows.groupBy().applyInPandas(kernel, "id string, label string"))
+    return state.drop("label").join(solved, "id", "left").select("id", "deg", F.coalesce("label", "id").alias("label"))
 
 
 def trimmed(found: Communities, top: int = 10, node: str | None = None) -> DataFrame:
