@@ -146,7 +146,8 @@ def set_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float
         y = _postings(smaller, frequency, total, threshold, False).select("sig", F.col("d").alias("s"), F.col("n").alias("sn"))
         smaller_first = F.col("sn") < F.col("ln")
         order = smaller_first if ties is None else smaller_first | (F.col("sn") == F.col("ln")) & ties
-        return x.join(y, "sig").where(order & (F.col("sn") >= threshold * F.col("ln") - 1e-9)).select("l", "s").distinct()
+        # Spark takes the size of a Python map's output for that of its input, so it must be told not to broadcast it.
+        return x.hint("merge").join(y, "sig").where(order & (F.col("sn") >= threshold * F.col("ln") - 1e-9)).select("l", "s").distinct()
 
     if right is None:
         found = met(left, left, F.col("s") < F.col("l")).select(F.least("l", "s").alias("a"), F.greatest("l", "s").alias("b"))
