@@ -3,7 +3,9 @@
 Values are ordered from rare to frequent. With prefixes that are longer by l - 1, two similar sets share not one but l
 values within their prefixes, so they meet on a combination of l values. Each set chooses, in its role as the smaller
 set of a pair, the l of least expected work, from the frequencies of its values; as the larger set of a pair it
-offers the combinations of every l that a smaller partner may have chosen. Candidates are compared exactly.
+offers the combinations of every l that a smaller partner may have chosen. That is for pairs whose larger set has fewer
+than LARGE values; in others the frequent values are dealt into groups and combined within these, as in texts (see
+grams). Sets meet as in meeting, those of a hot combination in blocks. Candidates are compared exactly.
 """
 
 from __future__ import annotations
@@ -11,20 +13,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import ceil, comb, floor
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import cut
-from .grams import SLOTS, mix, quantised, slot
+from ..plans.durable import cut, shuffle_partitions
+from .grams import GRAM_BITS, LEAST_CLASS, LEAST_THRESHOLD, Postings, mix, signatures, slot
+from .meeting import HOT, POSTINGS, frequency_table, meet, meet_hot, posting_rows
 
-MOST_SHARED, MOST_COMBINATIONS = 3, 1500
+#: The most values that a small set may ask to share.
+MOST_SHARED = 3
+#: Pairs whose larger set has so many values or more meet by groups.
+LARGE = 1 << LEAST_CLASS
 #: What a signature costs by itself, in the unit of a candidate.
 SIGNATURE_COST = 0.5
-_PACK = 4096
+#: Values of sets per bucket.
+BUCKET_VALUES = 300_000
 
 
 def clean_tags(tags: Column) -> Column:
@@ -38,20 +45,8 @@ def distinct_values(values: Column) -> Column:
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
-    """In how many sets (column hashes) the values of each slot are, as SLOTS bytes; the driver gets only these."""
-
-    def pack(table: pa.Table) -> pa.Table:
-        at = table.column("slot").to_numpy()
-        out = np.zeros(_PACK, np.uint8)
-        out[at % _PACK] = quantised(table.column("n").to_numpy())
-        return pa.table({"part": pa.array([int(at[0]) // _PACK], pa.int32()), "bytes": pa.array([out.tobytes()], pa.binary())})
-
-    each = sets.select(F.explode("hashes").alias("h")).select(F.col("h").bitwiseAND(SLOTS - 1).cast("int").alias("slot"))
-    packed = each.groupBy("slot").agg(F.count("*").alias("n")).groupBy(F.expr(f"slot div {_PACK}").alias("pack")).applyInArrow(pack, "part int, bytes binary")
-    table = np.zeros(SLOTS, np.uint8)
-    for part, values in packed.collect():
-        table[part * _PACK : (part + 1) * _PACK] = np.frombuffer(values, np.uint8)
-    return table
+    """In how many sets (column hashes) the values of each slot are, as one byte per slot. Values of a single set count as none."""
+    return frequency_table(cut(sets.select(F.explode("hashes").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1")))
 
 
 def _prefix(size: int, threshold: float, probe: bool) -> int:
@@ -62,13 +57,8 @@ def _prefix(size: int, threshold: float, probe: bool) -> int:
 
 @lru_cache(None)
 def _allowed(size: int, threshold: float) -> int:
-    """The most values that a smaller set of this size may ask to share, such that no larger partner has too many combinations."""
-    largest = floor(size / threshold + 1e-9)
-    most = 1
-    for shared in range(2, MOST_SHARED + 1):
-        if comb(_prefix(largest, threshold, True) + shared - 1, shared) <= MOST_COMBINATIONS and _prefix(size, threshold, False) + shared - 1 <= size:
-            most = shared
-    return most
+    """The most values that a smaller set of this size may ask to share: as many as its prefix has to spare."""
+    return max(k for k in range(1, MOST_SHARED + 1) if k == 1 or _prefix(size, threshold, False) + k - 1 <= size)
 
 
 @lru_cache(None)
@@ -95,7 +85,7 @@ def _combined(ordered: np.ndarray, length: int, shared: int) -> np.ndarray:
 def set_signatures(values: np.ndarray, frequency: np.ndarray, total: int, threshold: float, probe: bool) -> np.ndarray:
     """Signatures of a set (hashes of its values)."""
     size = len(values)
-    level = frequency[slot(values)]
+    level = frequency[slot(values, len(frequency))]
     ordered = values[np.lexsort((values, level))]
     base = _prefix(size, threshold, probe)
     if probe:
@@ -116,48 +106,63 @@ def sets_of(df: DataFrame, key: str, values: Column, least: int) -> tuple[DataFr
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), distinct_values(values).alias("members")).where(F.size("members") >= least)
     rows = cut(rows.distinct())
     # Sets without their keys, each once; the number of a set is fixed by the checkpoint.
-    sets = cut(rows.select("members").distinct().select(F.monotonically_increasing_id().alias("d"), "members", F.transform("members", lambda x: F.xxhash64(x)).alias("hashes")))
+    sets = cut(rows.select("members").distinct().select(F.monotonically_increasing_id().alias("d"), "members", F.array_distinct(F.transform("members", lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - GRAM_BITS))).alias("hashes")))
     return sets, rows.join(sets.select("d", "members"), "members").select("key", "d")
 
 
-def _postings(sets: DataFrame, frequency: object, total: int, threshold: float, probe: bool) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequency.value
+def set_block(sets: list[np.ndarray], frequency: np.ndarray, total: int, threshold: float) -> Postings:
+    """Postings of at most 256 sets (hashes of their values). A small set comes twice: with what it chose, as the smaller one of a pair, and with all that it offers, as the larger one."""
+    count = np.array([len(x) for x in sets], np.int64)
+    large = signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), count), len(sets), frequency, threshold, LEAST_CLASS)
+    sig, of, reach, visitor = [large.sig], [large.of], [large.reach], [large.visitor]
+    for k in np.flatnonzero((count > 0) & (count < LARGE)).tolist():
+        for smaller in (True, False):
+            found = set_signatures(sets[k], frequency, total, threshold, not smaller)
+            sig.append(found)
+            of.append(np.full(len(found), k))
+            reach.append(np.full(len(found), min(floor(len(sets[k]) / threshold + 1e-9), LARGE - 1) if smaller else len(sets[k])))
+            visitor.append(np.full(len(found), smaller))
+    return Postings(*(np.concatenate(x) for x in (sig, of, reach, visitor)), large.size)
+
+
+def _postings(sets: DataFrame, table: np.ndarray, total: int, threshold: float, buckets: int) -> DataFrame:
+    frequency = sets.sparkSession.sparkContext.broadcast(table)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Postings]]:
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(1)
-            for k in range(0, len(ids), 512):
-                part = [np.asarray(x, np.int64).view(np.uint64) for x in lists[k : k + 512].to_pylist()]
-                found = [set_signatures(x, table, total, threshold, probe) for x in part]
-                times = [len(x) for x in found]
-                sizes = np.repeat(np.array([len(x) for x in part], np.int32), times)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids[k : k + 512], times)), pa.array(sizes)], names=["sig", "d", "n"])
+            for k in range(0, len(ids), 256):
+                yield ids[k : k + 256], set_block([np.asarray(x, np.int64).view(np.uint64) for x in lists[k : k + 256].to_pylist()], frequency.value, total, threshold)
 
-    return sets.select("d", "hashes").mapInArrow(run, "sig long, d long, n int")
+    return sets.select("d", "hashes").mapInArrow(lambda batches: posting_rows(blocks(batches), threshold, buckets), POSTINGS)
 
 
-def set_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.6) -> DataFrame:
+def set_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.6, hot: int = HOT) -> DataFrame:
     """Pairs a, b (numbers d of distinct sets, see sets_of) with similarity of at least threshold: of one table with a < b, or a of left and b of right."""
-    both = left if right is None else left.select("hashes").unionByName(right.select("hashes"))
-    frequency = left.sparkSession.sparkContext.broadcast(frequencies(both))
-    total = both.count()
-
-    def met(larger: DataFrame, smaller: DataFrame, ties: Column | None) -> DataFrame:
-        x = _postings(larger, frequency, total, threshold, True).select("sig", F.col("d").alias("l"), F.col("n").alias("ln"))
-        y = _postings(smaller, frequency, total, threshold, False).select("sig", F.col("d").alias("s"), F.col("n").alias("sn"))
-        smaller_first = F.col("sn") < F.col("ln")
-        order = smaller_first if ties is None else smaller_first | (F.col("sn") == F.col("ln")) & ties
-        # Spark takes the size of a Python map's output for that of its input, so it must be told not to broadcast it.
-        return x.hint("merge").join(y, "sig").where(order & (F.col("sn") >= threshold * F.col("ln") - 1e-9)).select("l", "s").distinct()
-
-    if right is None:
-        found = met(left, left, F.col("s") < F.col("l")).select(F.least("l", "s").alias("a"), F.greatest("l", "s").alias("b"))
-    else:
-        one = met(left, right, F.lit(True)).select(F.col("l").alias("a"), F.col("s").alias("b"))
-        found = one.unionByName(met(right, left, None).select(F.col("s").alias("a"), F.col("l").alias("b")))
-    x = left.select(F.col("d").alias("a"), F.col("members").alias("x"))
-    y = (left if right is None else right).select(F.col("d").alias("b"), F.col("members").alias("y"))
+    if not LEAST_THRESHOLD <= threshold <= 1:
+        raise ValueError(f"the threshold must be at least {LEAST_THRESHOLD} and at most 1")
+    two = right is not None
+    numbered = lambda df, side: df.select((F.col("d") * 2 + side if two else F.col("d")).alias("d"), "hashes", "members")
+    both = numbered(left, 0).unionByName(numbered(right, 1)) if two else numbered(left, 0)
+    total, values = both.agg(F.count("*"), F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()
+    buckets = max(shuffle_partitions(left.sparkSession), -(-values // BUCKET_VALUES))
+    met = meet(_postings(both, frequencies(both), total, threshold, buckets).repartitionById(buckets, F.col("bucket")), threshold, hot, two)
+    enough = F.max("need").alias("need")
+    counted = cut(met.groupBy("l", "s", "sig").agg(F.sum("n").alias("n"), enough).where("sig is not null or n >= need"))
+    found, aside = counted.where("sig is null").select("l", "s"), counted.where("sig is not null")
+    if not aside.isEmpty():
+        crossed = meet_hot(aside.withColumn("g", F.col("l").bitwiseAND(1) if two else F.col("l")), threshold, hot)
+        every = met.where("sig is null").select("l", "s", "n", "need").unionByName(crossed)
+        found = every.groupBy("l", "s").agg(F.sum("n").alias("n"), enough).where("n >= need").select("l", "s")
+    x = both.select(F.col("d").alias("l"), F.col("members").alias("x"))
+    y = both.select(F.col("d").alias("s"), F.col("members").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return found.join(x, "a").join(y, "b").where(shared >= threshold * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+    # Spark can't know the size of a Python map's output and must not choose by it.
+    alike = found.hint("merge").join(x, "l").hint("merge").join(y, "s").where(shared >= threshold * (F.size("x") + F.size("y") - shared) - 1e-9)
+    if not two:
+        return alike.select(F.least("l", "s").alias("a"), F.greatest("l", "s").alias("b"))
+    of_side = lambda side: F.shiftright(F.when(F.col("l").bitwiseAND(1) == side, F.col("l")).otherwise(F.col("s")), 1)
+    return alike.select(of_side(0).alias("a"), of_side(1).alias("b"))
 
 
 def similar_within(df: DataFrame, key: str, values: Column, threshold: float = 0.6, least: int = 4) -> DataFrame:

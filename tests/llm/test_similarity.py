@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rambleweave.llm import grams as G
 from rambleweave.llm.neardup import group_pairs, near_duplicates
-from rambleweave.llm.sets import clean_tags, link_counts, set_signatures, similar_between, similar_within
+from rambleweave.llm.sets import clean_tags, link_counts, set_pairs, set_signatures, sets_of, similar_between, similar_within
 
 
 def brute_groups(rows, least=200):
@@ -50,28 +50,47 @@ def test_near_duplicates(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_signatures_lose_nothing(seed):
+@pytest.mark.parametrize("threshold", [0.4, 0.5, 0.6, 0.7, 0.8, 0.95])
+@pytest.mark.parametrize("seed", range(2))
+def test_signatures_lose_nothing(seed, threshold):
     """Sets at the very threshold share as many signatures as are asked for, whatever the frequencies."""
     r = np.random.default_rng(seed)
-    table = G.quantised(r.choice([1, 2, 20, 25, 300, 500, 5000], G.SLOTS))
+    table = G.quantised(r.choice([2, 15, 20, 300, 1400, 2000, 5000], 1 << 20))
+    new = lambda n: r.integers(0, 1 << G.GRAM_BITS, n).astype(np.uint64)
+    tried = 0
     for _ in range(60):
-        n = int(r.integers(1, 700))
-        x = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        share = r.uniform(0.7, 1.0)
+        x = np.unique(new(int(r.integers(1, 700))))
+        both = int(np.ceil(len(x) * r.uniform(threshold, 1.0)))
         # y: of all sizes that reach the threshold
-        both = int(np.ceil(len(x) * share))
-        most = int(np.floor(both / 0.7)) - len(x)
-        y = np.unique(np.concatenate([r.permutation(x)[:both], r.integers(0, 2**63, int(r.integers(0, max(most, 0) + 1))).astype(np.uint64)]))
+        most = int(np.floor(both / threshold)) - len(x)
+        y = np.unique(np.concatenate([r.permutation(x)[:both], new(int(r.integers(0, max(most, 0) + 1)))]))
         inter = len(np.intersect1d(x, y))
-        if inter < 0.7 * (len(x) + len(y) - inter):
+        if inter < threshold * (len(x) + len(y) - inter):
             continue
+        tried += 1
         small, large = sorted((x, y), key=len)
-        (hl, ml), (hs, ms) = G.signatures(large, table, 0.7, True), G.signatures(small, table, 0.7, False)
-        shared = len(set(hl[ml >= len(small)].tolist()) & set(hs[ms >= len(large)].tolist()))
-        unseen = (table[G.slot(np.intersect1d(x, y))] <= 1).sum()  # a gram in two sets is counted twice at least
-        if not unseen:
-            assert shared >= G.shared_needed(G.size_class(len(large)))
+        p = G.signatures(np.concatenate([small, large]), np.repeat([0, 1], [len(small), len(large)]), 2, table, threshold)
+        of_small, of_large = (p.of == 0) & (p.reach >= len(large)), (p.of == 1) & (p.reach >= len(small)) & ~p.visitor
+        shared = len(set(p.sig[of_small].tolist()) & set(p.sig[of_large].tolist()))
+        assert shared >= G.shared_needed(G.size_class(len(large)), threshold)
+    assert tried > 10
+
+
+def test_refused_threshold():
+    with pytest.raises(ValueError):
+        G.signatures(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, np.zeros(16, np.uint8), 0.3)
+
+
+def test_hot_signatures(spark):
+    """Many similar texts and look-alikes, with every signature of more than a few texts hot: met in blocks, the groups are the same."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 10))) for _ in range(120)]
+    form = " ".join(r.choice(words) for _ in range(40))
+    rows = [(f"f{k}", "Form", form + " " + " ".join(r.choice(words) for _ in range(r.choice([4, 18, 40])))) for k in range(60)]
+    rows += [(f"v{k}", "Form", vary(r, form, 6)) for k in range(20)]
+    df = spark.createDataFrame(rows, "id string, title string, text string")
+    got = {(x.id_a, x.id_b) for x in group_pairs(near_duplicates(df, hot=5)).collect()}
+    assert got == brute_groups(rows) and len(got) > 100
 
 
 def brute_sets(rows, threshold, least):
@@ -90,9 +109,16 @@ def test_similar_sets(spark):
         rows += [(f"n{k}m{j}", [v for v in base if r.random() < 0.9] + r.sample(values, r.randrange(3))) for j in range(r.randrange(3))]
     rows += [("null", None), ("empty", []), (None, ["v1", "v2", "v3", "v4"]), *[(f"copy{i}", ["v1", "v2", "v3", "v4"]) for i in range(6)], ("big", [f"b{i}" for i in range(3000)]), ("big2", [f"b{i}" for i in range(2900)])]
     rows += rows[:30]
+    big = [f"w{i}" for i in range(300)]
+    for k in range(25):
+        base = r.sample(big, r.choice([25, 31, 33, 60, 200])) + ["hot"]
+        rows += [(f"large{k}", base), (f"large{k}m", [v for v in base if r.random() < 0.85] + ["hot", "x"])]
     df = spark.createDataFrame([(*x, "c", 1) for x in rows], "id string, refs array<string>, members string, d int")
     expected = brute_sets(rows, 0.6, 4)
     assert {(x.id_a, x.id_b) for x in similar_within(df, "id", F.col("refs")).collect()} == expected and len(expected) > 30
+    sets, _ = sets_of(df, "id", F.col("refs"), 4)
+    usual, blocks = ({tuple(x) for x in set_pairs(sets, hot=h).collect()} for h in (4096, 3))
+    assert usual == blocks and len(usual) > 30
     links = {x.id: x.links for x in link_counts(df, "id", F.col("refs")).collect()}
     assert all(links[i] == sum(i in p for p in expected) for i in links)
     assert similar_within(df.limit(0), "id", F.col("refs")).count() == 0
@@ -103,12 +129,14 @@ def test_similar_between(spark):
     right = spark.createDataFrame([("s", ["x", "Y", "z", None]), ("t", ["##x", "y", "z"]), ("u", [])], "id string, tags array<string>")
     got = {tuple(r) for r in similar_between(left, right, "id", clean_tags(F.col("tags")), clean_tags(F.col("tags"))).collect()}
     assert got == {("a", "s"), ("d", "s")}
+    a, b = (sets_of(x, "id", clean_tags(F.col("tags")), 3)[0] for x in (left, right))
+    assert {tuple(x) for x in set_pairs(a, b, hot=1).collect()} == {tuple(x) for x in set_pairs(a, b).collect()} != set()
     assert similar_between(left, right.limit(0), "id", F.col("tags"), F.col("tags")).count() == 0
 
 
 def test_set_signatures_meet():
     r = np.random.default_rng(3)
-    table = G.quantised(r.choice([1, 3, 50, 4000], G.SLOTS))
+    table = G.quantised(r.choice([1, 3, 50, 4000], 1 << 20))
     for _ in range(300):
         n = int(r.integers(1, 40))
         x = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
