@@ -99,7 +99,6 @@ class ByteBPE:
             self.automaton.add_word(t[::-1].decode("latin-1"), k)
         self.automaton.make_automaton()
         self.lengths = self.size.tolist()
-        self.fits: dict[int, bool] = {}
         self.classes = _class_table()
         #: Bytes and places of all tokens, to decode.
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -109,6 +108,8 @@ class ByteBPE:
 
     # -- words seen before -------------------------------------------------
     def forget(self) -> None:
+        #: Pairs of tokens and whether they may stand side by side.
+        self.fits: dict[int, bool] = {}
         self.known: dict[int, int] = {}
         self.word_bytes = np.zeros(0, np.uint8)
         self.word_place = np.zeros(1, np.int64)
@@ -349,7 +350,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[edges[0] : edges[-1]], edges - edges[0]
 
 
-_SAFE = re.compile(rb"[!-~] (?=[!-~])")
+#: A lone blank between signs, not before what may be a fence.
+_SAFE = re.compile(rb"[!-~] (?=[!-_a-}])")
 
 
 def chunks(data: np.ndarray, edges: np.ndarray):

@@ -32,8 +32,9 @@ CLOSERS = [ord(c) for c in "\"')]”’»」』）】"]
 LONG_WORD = 32
 
 
-def boundaries(bpe: ByteBPE, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Byte, code point, tokens before and level of each boundary of the texts at edges; the end of a text is the begin of the next."""
+def boundaries(bpe: ByteBPE, data: np.ndarray, edges: np.ndarray, block: list[bool] | None = None) -> tuple[np.ndarray, ...]:
+    """Byte, code point, tokens before and level of each boundary of the texts at edges; the end of a text is the begin of the next. block, for a single text: whether the data begin inside a code block; afterwards, whether they end inside one."""
+    in_block = bool(block and block[0])
     starts, cp, byte, begins = bpe.words(data, edges)
     word = bpe.lookup(data, starts, np.append(starts[1:], len(data)))
     size = np.diff(bpe.word_start)[word]
@@ -74,7 +75,7 @@ def boundaries(bpe: ByteBPE, data: np.ndarray, edges: np.ndarray) -> tuple[np.nd
         own = text_at[np.searchsorted(text_at, fence, "right") - 1]
         fence = fence[(first_visible < own) | (lines[fence] - lines[first_visible + 1] > 0)]
     if len(fence):
-        count = np.searchsorted(fence, nxt, "left") - np.searchsorted(fence, own_start, "left")
+        count = np.searchsorted(fence, nxt, "left") - np.searchsorted(fence, own_start, "left") + in_block
         inside = count % 2 == 1
         level[inside & (level == 1)] = 2
         opens = np.isin(nxt, fence) & (count % 2 == 0)
@@ -85,6 +86,10 @@ def boundaries(bpe: ByteBPE, data: np.ndarray, edges: np.ndarray) -> tuple[np.nd
         same_text = (closed >= 0) & (f >= own_start)
         after = same_text & (count % 2 == 0) & (count > 0) & (breaks >= 1) & (lines[at] - lines[f] == 1)
         level[after] = 1
+    elif in_block:
+        level[level == 1] = 2
+    if block is not None:
+        block[0] = (len(fence) + in_block) % 2 == 1
     point, tokens, place = at, before, starts
     long = np.flatnonzero(size > LONG_WORD)
     if len(long):
@@ -106,6 +111,27 @@ def boundaries(bpe: ByteBPE, data: np.ndarray, edges: np.ndarray) -> tuple[np.nd
     return np.append(place, len(data)), np.append(point, n), np.append(tokens, total), np.append(level, 0)
 
 
+def seam_level(data: np.ndarray, at: int) -> int:
+    """Level of the lone blank between signs at which a long text was cut into chunks: 3 after a sentence, otherwise 4."""
+    closes = data[at - 1] in CLOSERS
+    return 3 if data[at - 1 - closes] in ENDS_BEFORE_BLANK and data[at + 1] not in CLOSERS + ENDS else 4
+
+
+def long_boundaries(bpe: ByteBPE, data: np.ndarray, edges: list[int]) -> tuple[np.ndarray, ...]:
+    """Boundaries of one long text, found chunk by chunk (between edges) and joined: the cuts know nothing of the chunks."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    points = total = 0
+    block = [False]
+    for begin, stop in zip(edges, edges[1:]):
+        place, point, tokens, level = boundaries(bpe, data[begin:stop], np.array([0, stop - begin]), block)
+        if begin:
+            level[0] = seam_level(data, begin)
+        rest = slice(None, None if stop == edges[-1] else -1)
+        parts.append((place[rest] + begin, point[rest] + points, tokens[rest] + total, level[rest]))
+        points, total = points + int(point[-1]), total + int(tokens[-1])
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def pieces(place: np.ndarray, tokens: np.ndarray, level: np.ndarray, first: np.ndarray, end: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end (as numbers of boundaries) of all pieces of the texts whose boundaries are first[k]..end[k]."""
     n = len(tokens)
@@ -152,30 +178,36 @@ def split_batch(bpe: ByteBPE, texts: pa.Array, limit: int, overlap: int) -> dict
     """Arrays: row of the batch, number of the piece, begin and end as code points, tokens, tokens shared with the piece before, level of the end, begin and end as bytes of the batch."""
     data, edges = text_bytes(texts)
     out: list[tuple] = []
+    seams: list[int] = []
     for k, last, begin, stop in chunks(data, edges):
         own = np.clip(edges[k : last + 1], begin, stop) - begin
         part = data[begin:stop]
         if not len(part):
             continue
-        # only texts (or parts of one) beyond the limit: a token has at least a byte
-        whole = last - k == 1 and (begin > edges[k] or stop < edges[last])
-        rows = np.arange(k, last) if whole else np.arange(k, last)[np.diff(own) > limit]
-        if not len(rows):
-            continue
-        if len(rows) < last - k:
-            size = np.diff(own)[rows - k]
-            part = part[_ranges(own[rows - k], size)]
-            starts = np.concatenate([[0], np.cumsum(size)])
+        if begin > edges[k] or stop < edges[last]:
+            # one text in several chunks
+            seams = [*(seams or [0]), stop - int(edges[k])]
+            if stop < edges[last]:
+                continue
+            rows, starts = np.array([k]), np.array([0, stop - int(edges[k])])
+            place, point, tokens, level = long_boundaries(bpe, data[edges[k] : stop], seams)
+            seams = []
         else:
-            starts = own
-        place, point, tokens, level = boundaries(bpe, part, starts)
+            # only texts beyond the limit: a token has at least a byte
+            rows = np.arange(k, last)[np.diff(own) > limit]
+            if not len(rows):
+                continue
+            if len(rows) < last - k:
+                size = np.diff(own)[rows - k]
+                part = part[_ranges(own[rows - k], size)]
+                starts = np.concatenate([[0], np.cumsum(size)])
+            else:
+                starts = own
+            place, point, tokens, level = boundaries(bpe, part, starts)
         edge = np.searchsorted(place, starts)
         many = np.diff(tokens[edge]) > limit
-        if whole:
-            many[:] = True
         if not many.any():
             continue
-        first, end = edge[:-1][many], edge[1:][many]
         # tables are built over all boundaries; texts within the limit are not entered
         b, e = pieces(place, tokens, level, edge[:-1], edge[1:], limit, overlap)
         text = np.searchsorted(edge[:-1], b, "right") - 1
@@ -183,10 +215,9 @@ def split_batch(bpe: ByteBPE, texts: pa.Array, limit: int, overlap: int) -> dict
         b, e, text = b[keep], e[keep], text[keep]
         row = rows[text]
         base = point[edge[:-1]][text]
-        shift = 0 if begin == edges[k] else len(data[edges[k] : begin].tobytes().decode())
         prior = np.where(np.concatenate([[False], text[1:] == text[:-1]]), np.concatenate([[0], e[:-1]]), b)
-        at = edges[row] if not whole else np.full(len(row), begin)
-        out.append((row, point[b] - base + shift, point[e] - base + shift, tokens[e] - tokens[b], tokens[prior] - tokens[b], level[e], place[b] - starts[text] + at, place[e] - starts[text] + at))
+        at = edges[row] - starts[text]
+        out.append((row, point[b] - base, point[e] - base, tokens[e] - tokens[b], tokens[prior] - tokens[b], level[e], place[b] + at, place[e] + at))
     names = ["row", "begin", "end", "tokens", "shared", "level", "from", "to"]
     got = {n: np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i, n in enumerate(names)}
     row = got["row"]

@@ -74,12 +74,23 @@ def test_natural_boundaries():
 def test_text_longer_than_a_chunk(monkeypatch):
     bpe = B.vocabulary()
     monkeypatch.setattr(B, "CHUNK_BYTES", 500)
-    text = make(9, 1500)
+    text = make(9, 1500) + "\n```\ncode here\n\n" + "more code\n\n" * 300 + "```\n\n" + make(10, 300)
     got = split_batch(bpe, pa.array(["x", text, "y"]), 40, 8)
-    assert set(got["row"]) == {1} and got["begin"][0] == 0 and got["end"][-1] == len(text) and (got["begin"][1:] <= got["end"][:-1]).all()
-    data = got["data"]
+    monkeypatch.undo()
+    # chunks leave no trace: the same cuts, ends and overlaps as without them
+    whole = split_batch(bpe, pa.array(["x", text, "y"]), 40, 8)
+    assert all(got[k].tolist() == whole[k].tolist() for k in whole) and len(got["row"]) > 50
     for b, e, f, t in zip(got["begin"], got["end"], got["from"], got["to"]):
-        assert text[b:e].encode() == data[f:t].tobytes()
+        assert text[b:e].encode() == got["data"][f:t].tobytes()
+
+
+def test_text_of_five_megabytes():
+    bpe = B.vocabulary()
+    text = ". ".join(make(k, 60) for k in range(20)) * 700
+    assert len(text.encode()) > 5_000_000
+    got = split_batch(bpe, pa.array([text]), 512, 64)
+    assert got["begin"][0] == 0 and got["end"][-1] == len(text) and (got["begin"][1:] <= got["end"][:-1]).all() and got["tokens"].max() <= 512
+    assert (got["level"][:-1] > 0).all() and (got["shared"][1:] > 0).mean() > 0.9
 
 
 def test_operator(spark):
