@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import utc
 from ..operators.forest import around_cycles, cycle_places, cycle_sizes, descendants, hierarchy, subtree_sizes
-from ..operators.orphans import named_keys, orphans, union_all
+from ..operators.orphans import named_keys, orphan_counts, orphans, union_all
 from ..operators.snapshots import FIELDS, change_counts, snapshot_changes
 from ..plans.durable import cut
 from .common import Query, table
@@ -79,12 +79,10 @@ def existing(spark: SparkSession, sf: str) -> DataFrame:
     """The keys that may be referred to: tbl, scope, key."""
     notes, snaps, shared = (table(spark, sf, t).select("id", "title", "aliases", *(["snap_no"] if t == "note_snap" else [])) for t in ("notes", "note_snap", "shared_note"))
     block = table(spark, sf, "block")
-    numbers = snaps.select("snap_no").distinct()
     ids = lambda tbl, df: df.select(F.lit(tbl).alias("tbl"), F.lit("").alias("scope"), F.col("id").cast("string").alias("key"))
-    every = shared.withColumn("snap_no", F.explode(numbers.agg(F.collect_set("snap_no").alias("all")).scalar()))
     return union_all(
         [
-            named_keys("notes", notes), named_keys("notes", shared), named_keys("note_snap", snaps, "snap_no"), named_keys("note_snap", every, "snap_no"),
+            named_keys("notes", notes), named_keys("notes", shared), named_keys("note_snap", snaps, "snap_no"), named_keys("note_snap", shared, None),
             ids("touch", notes), ids("touch", shared), ids("block", block), ids("block_ref", block),
         ]
     )
@@ -96,7 +94,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Orphan references per table and period."""
-    return p4_found(spark, sf).groupBy("tbl", "period").agg(F.count("*").alias("references"), F.countDistinct("target_key").alias("targets"))
+    return orphan_counts(references(spark, sf), existing(spark, sf))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

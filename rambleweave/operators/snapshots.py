@@ -13,11 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.bitmap import bitmap_of, within_bitmap
 from ..plans.durable import cut, shuffle_partitions
 
 BUCKET_ROWS = 1_000_000
-#: Bits of the bitmap: 2 MB, however many keys differ; with very many it lets more rows through, which the join removes.
-FILTER_BITS = 1 << 24
 FIELDS = ("title", "type", "path", "text", "tags", "aliases", "refs")
 _HASH = ["k1", "k2", "r1", "r2"]
 
@@ -85,12 +84,9 @@ def snapshot_changes(df: DataFrame, version: str = "snap_no", key: str = "id", f
             f"later {number}, kind string, version {number}, k1 long, k2 long, r1 long, r2 long",
         )
     )
-    # Retrieve values. A key's hash decides its bit; a piece of the bitmap is 4 kB and there are FILTER_BITS / 32768.
-    bit = F.pmod(F.xxhash64("k1", "version"), F.lit(FILTER_BITS))
-    bits = differing.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
-    probe = hashed.withColumn("bit", bit).withColumns({"part": F.bitmap_bucket_number("bit"), "pos": F.bitmap_bit_position("bit")})
-    byte = F.conv(F.hex(F.substring("bitmap", (F.col("pos") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    likely = probe.join(F.broadcast(bits), "part").where(F.getbit(byte, F.pmod(F.col("pos"), F.lit(8)).cast("int")) == 1)
+    # Retrieve values: only of rows that the bitmap of the differing keys lets through.
+    place = ["k1", "version"]
+    likely = within_bitmap(hashed, place, bitmap_of(differing, place))
     full = likely.select("version", *_HASH, "key", *fields).join(differing, ["version", *_HASH])
     side = F.struct("key", *fields)
     pairs = full.groupBy("later", "kind", "k1", "k2").agg(
