@@ -45,7 +45,8 @@ def _orphans(refs: DataFrame, keys: DataFrame, heavy_keys: int) -> tuple[DataFra
     met = refs.join(F.broadcast(heavy), _KEY, "left")
     likely = within_bitmap(met.where("missing is null").drop("missing"), _KEY, bitmap_of(light, _KEY))
     row = ["tbl", "period", "src_key", "target_key"]
-    return met.where("missing").select(*row).distinct(), likely.join(light, _KEY, "left_semi").select(*row).distinct()
+    # light has each key once; a semi-join would be pushed below the bitmap
+    return met.where("missing").select(*row).distinct(), likely.join(light, _KEY).select(*row).distinct()
 
 
 def orphans(refs: DataFrame, keys: DataFrame, heavy_keys: int = HEAVY_KEYS) -> DataFrame:
