@@ -20,31 +20,6 @@ from .common import Query, table
 from .notes import _renames, graph
 
 
-def _states(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    snaps = table(spark, sf, "note_snap")
-    return documents(snaps.where("snap_no = 1")), documents(snaps.where("snap_no = 2"))
-
-
-def r1_changes(spark: SparkSession, sf: str) -> DataFrame:
-    found = diff(*_states(spark, sf)).changes
-    j = lambda c: F.array_join(c, "|").alias(c)
-    return found.select("id", "kind", j("fields"), j("refs_added"), j("refs_removed"))
-
-
-def r1_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return diff(*_states(spark, sf)).summary
-
-
-def r3_renames(spark: SparkSession, sf: str) -> DataFrame:
-    return diff(*_states(spark, sf)).renames
-
-
-def r4_merged(spark: SparkSession, sf: str) -> DataFrame:
-    """Renames from aliases, as if stored, merged with those between two snapshots."""
-    old, new = _states(spark, sf)
-    return merge_renames(_renames(old), diff(old, new).renames, new)
-
-
 def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """All snapshots (snap_no and documents), and the pairs of consecutive ones (was, snap_no): one row per snapshot but the first."""
     snaps = table(spark, sf, "note_snap").where("id is not null and snap_no is not null")
@@ -59,26 +34,26 @@ def _transitions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return old, states.join(F.broadcast(pairs.select("snap_no")), "snap_no")
 
 
-def r1_changes_all(spark: SparkSession, sf: str) -> DataFrame:
-    """r1_changes for every transition of the table."""
+def r1_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What changed in every transition of the table."""
     found = diff(*_transitions(spark, sf), by=("snap_no",)).changes
     j = lambda c: F.array_join(c, "|").alias(c)
     return found.select("snap_no", "id", "kind", j("fields"), j("refs_added"), j("refs_removed"))
 
 
-def r1_summary_all(spark: SparkSession, sf: str) -> DataFrame:
+def r1_summary(spark: SparkSession, sf: str) -> DataFrame:
     return diff(*_transitions(spark, sf), by=("snap_no",)).summary
 
 
-def r3_renames_all(spark: SparkSession, sf: str) -> DataFrame:
+def r3_renames(spark: SparkSession, sf: str) -> DataFrame:
     return diff(*_transitions(spark, sf), by=("snap_no",)).renames
 
 
-def r4_merged_all(spark: SparkSession, sf: str) -> DataFrame:
+def r4_merged(spark: SparkSession, sf: str) -> DataFrame:
     """Renames from aliases of the first snapshot, as if stored, merged with those of one transition after the other; snap_no is the snapshot after which they are stored."""
     states, pairs = _snapshots(spark, sf)
     steps = sorted((r.was, r.snap_no) for r in pairs.collect())
-    fresh = cut(r3_renames_all(spark, sf))
+    fresh = cut(r3_renames(spark, sf))
     out = fresh.limit(0)
     stored = _renames(states.where(F.col("snap_no") == steps[0][0])) if steps else None
     for _, now in steps:
@@ -166,23 +141,16 @@ def x_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.array_join(links(F.col("text")), "|").alias("links"), F.coalesce(heading(F.col("text")), F.lit("")).alias("heading"), F.char_length(strip_code(F.col("text"))).alias("plain"), F.char_length(strip_frontmatter(F.col("text"))).alias("body"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (r1_changes, r1_summary, r3_renames, r4_merged, r1_changes_all, r1_summary_all, r3_renames_all, r4_merged_all, r5_collapsed, r6_touches, t1_appended, t2_last, t3_stats, t3_targets, t3_sources, t4_count, t5_digest, t5_stream, t9_accepted, s8_block_documents, s8_block_graph, x_markdown)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (r1_changes, r1_summary, r3_renames, r4_merged, r5_collapsed, r6_touches, t1_appended, t2_last, t3_stats, t3_targets, t3_sources, t4_count, t5_digest, t5_stream, t9_accepted, s8_block_documents, s8_block_graph, x_markdown)}
 
 _FIELDS = ("title", "type", "path", "text", "tags", "aliases", "refs")
-_STATES = f"""s AS (SELECT DISTINCT snap_no, id, {", ".join(f"coalesce({c}, '') AS {c}" for c in _FIELDS[:4])}, {", ".join(f"[x FOR x IN coalesce({c}, []) IF x <> ''] AS {c}" for c in _FIELDS[4:])} FROM note_snap WHERE id IS NOT NULL AND snap_no IN (1, 2)),
-o AS (SELECT *, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir FROM s WHERE snap_no = 1), n AS (SELECT *, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir FROM s WHERE snap_no = 2),
-gone AS (SELECT * FROM o ANTI JOIN n USING (id)), come AS (SELECT * FROM n ANTI JOIN o USING (id)),
-pairs AS (SELECT gone.id AS old_id, come.id AS new_id, count(*) OVER (PARTITION BY gone.id) AS x, count(*) OVER (PARTITION BY come.id) AS y FROM gone JOIN come USING (text, dir) WHERE NOT (regexp_full_match(gone.id, '[0-9]+') AND regexp_full_match(come.id, '[0-9]+'))),
-ren AS (SELECT old_id, new_id FROM pairs WHERE x = 1 AND y = 1),
-upd AS (SELECT n.id, [f FOR f IN [{", ".join(f"CASE WHEN o.{f} <> n.{f} THEN '{f}' END" if f in _FIELDS[:4] else f"CASE WHEN list_sort(o.{f}) <> list_sort(n.{f}) THEN '{f}' END" for f in _FIELDS)}] IF f IS NOT NULL] AS fields,
- list_sort(list_distinct([r FOR r IN n.refs IF NOT list_contains(o.refs, r)])) AS added, list_sort(list_distinct([r FOR r IN o.refs IF NOT list_contains(n.refs, r)])) AS removed FROM o JOIN n USING (id))"""
 _DIR = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir, hex(encode(regexp_replace(path, '^.*/', ''))) AS h"
 _SAME = "CAST(len([i FOR i IN range(1, 1 + least(len(o.h), len(n.h)) // 2) IF left(o.h, 2 * i) = left(n.h, 2 * i)]) AS DOUBLE) / greatest(len(o.h) // 2, len(n.h) // 2, 1)"
 _ALL = f"""s AS (SELECT DISTINCT snap_no, id, {", ".join(f"coalesce({c}, '') AS {c}" for c in _FIELDS[:4])}, {", ".join(f"[x FOR x IN coalesce({c}, []) IF x <> ''] AS {c}" for c in _FIELDS[4:])} FROM note_snap WHERE id IS NOT NULL AND snap_no IS NOT NULL),
 v AS (SELECT snap_no AS now, lag(snap_no) OVER (ORDER BY snap_no) AS was, row_number() OVER (ORDER BY snap_no) AS k FROM (SELECT DISTINCT snap_no FROM s)),
 o AS (SELECT v.now, s.* EXCLUDE (snap_no), {_DIR} FROM s JOIN v ON s.snap_no = v.was), n AS (SELECT v.now, s.* EXCLUDE (snap_no), {_DIR} FROM s JOIN v ON s.snap_no = v.now WHERE v.was IS NOT NULL),
 gone AS (SELECT * FROM o ANTI JOIN n USING (now, id)), come AS (SELECT * FROM n ANTI JOIN o USING (now, id)),
-grp AS (SELECT now, text, dir, list({{'id': id, 'h': h}} ORDER BY id) AS olds, bool_and(regexp_full_match(id, '[0-9]+')) AS digits FROM gone GROUP BY ALL),
+grp AS (SELECT now, text, dir, list({{'id': id, 'h': h}} ORDER BY id) AS olds, bool_and(bool_and(regexp_full_match(id, '[0-9]+'))) OVER (PARTITION BY now, text) AS digits FROM gone GROUP BY now, text, dir),
 nws AS (SELECT now, text, dir, list({{'id': id, 'h': h}} ORDER BY id) AS news FROM come GROUP BY ALL),
 claim(now, digits, olds, news, k, old_id, new_id) AS (SELECT now, digits, olds, news, 0, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM grp JOIN nws USING (now, text, dir)
  UNION ALL SELECT now, digits, CASE WHEN got IS NULL THEN olds ELSE [o FOR o IN olds IF o.id <> got] END, news, k + 1, got, n.id FROM (
@@ -204,7 +172,9 @@ _STEPS = ", ".join(
     for k in range(2, 7)
 )
 _NOTE_ALIASES = "a AS (SELECT DISTINCT id, [x FOR x IN coalesce(aliases, []) IF x <> ''] AS aliases FROM (SELECT * FROM notes UNION ALL SELECT * FROM shared_note) WHERE id IS NOT NULL), " + _OLD.format(c="aliases", t="a") + ", m AS (SELECT * FROM ali)"
-_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+#: White space of any alphabet.
+_SPACE = "[\\s\x0b\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_TRIM = f"regexp_replace({{0}}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 _TITLE = "nullif(" + _TRIM.format("left(" + _TRIM.format("CASE WHEN strpos({0}, ' #') > 1 THEN split_part({0}, ' #', 1) ELSE {0} END") + ", 30)") + ", '')"
 _BARE = _TRIM.format("regexp_replace(" + _TRIM.format("regexp_replace(" + _TRIM.format("text") + r", '(?s)\n.*$', '')") + ", '^#+', '')")
 _BLOCKS = f"""b AS (SELECT DISTINCT id, text, modified, parent, coalesce(left_id, 0) AS l, content IS NULL AS page, {_BARE} AS bare FROM block),
@@ -217,18 +187,12 @@ doc AS (SELECT b.id, page, bare, kid, {_TRIM.format("joined")} AS text, coalesce
 shell AS (SELECT id FROM doc WHERE text = '' AND len(aliases) = 0 AND NOT linked)"""
 
 SQL: dict[str, str] = {
-    "r1_changes": f"""WITH {_STATES} SELECT id, 'added' AS kind, '' AS fields, '' AS refs_added, '' AS refs_removed FROM come WHERE id NOT IN (SELECT new_id FROM ren)
- UNION ALL SELECT id, 'deleted', '', '', '' FROM gone WHERE id NOT IN (SELECT old_id FROM ren) UNION ALL SELECT id, 'updated', array_to_string(fields, '|'), array_to_string(added, '|'), array_to_string(removed, '|') FROM upd WHERE len(fields) > 0""",
-    "r1_summary": f"""WITH {_STATES} SELECT (SELECT count(*) FROM come) - (SELECT count(*) FROM ren) AS added, (SELECT count(*) FROM gone) - (SELECT count(*) FROM ren) AS deleted,
- (SELECT count(*) FROM upd WHERE len(fields) > 0) AS updated, (SELECT count(*) FROM upd WHERE len(fields) = 0) AS unchanged, (SELECT count(*) FROM ren) AS renamed""",
-    "r3_renames": f"WITH {_STATES} SELECT * FROM ren",
-    "r4_merged": f"""WITH RECURSIVE {_STATES}, {_OLD.format(c="aliases", t="o")}, m AS (SELECT * FROM ali WHERE old_id NOT IN (SELECT id FROM n) AND old_id NOT IN (SELECT old_id FROM ren) UNION ALL SELECT * FROM ren), {_CHASE} SELECT * FROM col""",
-    "r1_changes_all": f"""WITH RECURSIVE {_ALL} SELECT now AS snap_no, id, 'added' AS kind, '' AS fields, '' AS refs_added, '' AS refs_removed FROM come ANTI JOIN (SELECT now, new_id AS id FROM ren) USING (now, id)
+    "r1_changes": f"""WITH RECURSIVE {_ALL} SELECT now AS snap_no, id, 'added' AS kind, '' AS fields, '' AS refs_added, '' AS refs_removed FROM come ANTI JOIN (SELECT now, new_id AS id FROM ren) USING (now, id)
  UNION ALL SELECT now, id, 'deleted', '', '', '' FROM gone ANTI JOIN (SELECT now, old_id AS id FROM ren) USING (now, id) UNION ALL SELECT now, id, 'updated', array_to_string(fields, '|'), array_to_string(added, '|'), array_to_string(removed, '|') FROM upd WHERE len(fields) > 0""",
-    "r1_summary_all": f"""WITH RECURSIVE {_ALL} SELECT now AS snap_no, (SELECT count(*) FROM come c WHERE c.now = v.now) - (SELECT count(*) FROM ren r WHERE r.now = v.now) AS added, (SELECT count(*) FROM gone g WHERE g.now = v.now) - (SELECT count(*) FROM ren r WHERE r.now = v.now) AS deleted,
+    "r1_summary": f"""WITH RECURSIVE {_ALL} SELECT now AS snap_no, (SELECT count(*) FROM come c WHERE c.now = v.now) - (SELECT count(*) FROM ren r WHERE r.now = v.now) AS added, (SELECT count(*) FROM gone g WHERE g.now = v.now) - (SELECT count(*) FROM ren r WHERE r.now = v.now) AS deleted,
  (SELECT count(*) FROM upd u WHERE u.now = v.now AND len(fields) > 0) AS updated, (SELECT count(*) FROM upd u WHERE u.now = v.now AND len(fields) = 0) AS unchanged, (SELECT count(*) FROM ren r WHERE r.now = v.now) AS renamed FROM v WHERE was IS NOT NULL""",
-    "r3_renames_all": f"WITH RECURSIVE {_ALL} SELECT now AS snap_no, old_id, new_id FROM ren",
-    "r4_merged_all": f"""WITH RECURSIVE {_ALL}, {_OLD.format(c="aliases", t="(SELECT s.* FROM s JOIN v ON s.snap_no = v.now WHERE v.k = 1)")}, {_STEPS} {" UNION ALL ".join(f"SELECT now AS snap_no, old_id, new_id FROM col{k} JOIN v ON v.k = {k}" for k in range(2, 7))}""",
+    "r3_renames": f"WITH RECURSIVE {_ALL} SELECT now AS snap_no, old_id, new_id FROM ren",
+    "r4_merged": f"""WITH RECURSIVE {_ALL}, {_OLD.format(c="aliases", t="(SELECT s.* FROM s JOIN v ON s.snap_no = v.now WHERE v.k = 1)")}, {_STEPS} {" UNION ALL ".join(f"SELECT now AS snap_no, old_id, new_id FROM col{k} JOIN v ON v.k = {k}" for k in range(2, 7))}""",
     "r5_collapsed": f"WITH RECURSIVE {_NOTE_ALIASES}, {_CHASE} SELECT * FROM col",
     "r6_touches": f"""WITH RECURSIVE {_NOTE_ALIASES}, {_CHASE}, back AS (SELECT new_id AS old, min(old_id) AS new FROM col GROUP BY new_id), t AS (SELECT DISTINCT * FROM touch)
  SELECT seq, ts, coalesce(x.new, target) AS target, coalesce(y.new, src) AS src FROM t LEFT JOIN back x ON x.old = target LEFT JOIN back y ON y.old = src""",
@@ -244,13 +208,13 @@ SQL: dict[str, str] = {
  coalesce((SELECT string_agg(id || '=' || count, '|' ORDER BY count DESC, id) FROM tg), '') AS targets, coalesce((SELECT string_agg(id || '=' || count, '|' ORDER BY count DESC, id) FROM sr), '') AS sources""",
     "t5_stream": "SELECT i AS digest_no, CAST(500 AS BIGINT) AS total FROM range(1, (SELECT count(*) FROM touch) // 500 + 1) r(i)",
     "t9_accepted": "SELECT DISTINCT * FROM touch WHERE target <> '' AND lower(regexp_replace(target, '(\\.md|\\.MD)$', '')) <> 'shared_inbox' AND NOT starts_with(target, 'archive/')",
-    "s8_block_documents": f"""WITH RECURSIVE {_BLOCKS} SELECT CAST(id AS VARCHAR) AS id, CASE WHEN text = '' AND len(aliases) = 0 THEN '容器#' || id ELSE coalesce(nullif(trim(aliases[1]), ''), {_TITLE.format("bare")}, kid, CASE WHEN page THEN '页面#' ELSE '块#' END || id) END AS title,
+    "s8_block_documents": f"""WITH RECURSIVE {_BLOCKS} SELECT CAST(id AS VARCHAR) AS id, CASE WHEN text = '' AND len(aliases) = 0 THEN '容器#' || id ELSE coalesce(nullif({_TRIM.format('aliases[1]')}, ''), {_TITLE.format("bare")}, kid, CASE WHEN page THEN '页面#' ELSE '块#' END || id) END AS title,
  array_to_string(aliases, '|') AS aliases, CASE WHEN text = '' AND len(aliases) = 0 THEN 'container' WHEN page THEN 'doc' ELSE 'block' END AS type, 'block/' || id AS path, CAST(strlen(text) AS BIGINT) AS size,
  coalesce((SELECT array_to_string(list_sort(list(CAST(y AS VARCHAR))), '|') FROM lk WHERE x = doc.id AND y NOT IN (SELECT id FROM shell)), '') AS refs, md5(text) AS text FROM doc WHERE id NOT IN (SELECT id FROM shell)""",
     "x_markdown": r"""WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?s)```.*?```|~~~.*?~~~', ' ', 'g'), '`[^`]*`', ' ', 'g') AS code FROM documents),
- f AS (SELECT doc_id, list_concat([regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?s)[|#].*$', ''), '^\s+|\s+$', '', 'g'), '\\+$', ''), '\.md$', '') FOR x IN regexp_extract_all(coalesce(code, ''), '\[\[([^\]]+)\]\]', 1)],
+ f AS (SELECT doc_id, list_concat([regexp_replace(regexp_replace(§regexp_replace(x, '(?s)[|#].*$', '')¤, '\\+$', ''), '\.md$', '') FOR x IN regexp_extract_all(coalesce(code, ''), '\[\[([^\]]+)\]\]', 1)],
   [string_split(regexp_replace(x, '\.md$', ''), '/')[-1] FOR x IN [regexp_replace(regexp_replace(y, '(?s)[#?].*$', ''), '/+$', '') FOR y IN regexp_extract_all(coalesce(code, ''), '\[[^\]]*\]\(([^)\s]+)\)', 1)] IF lower(x) LIKE '%.md' AND NOT regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.\-]*:')]) AS l FROM c)
- SELECT c.doc_id, coalesce((SELECT string_agg(v, '|' ORDER BY p) FROM (SELECT v, min(p) AS p FROM unnest(l) WITH ORDINALITY u(v, p) WHERE v <> '' AND NOT lower(trim(v)) IN ('...', '…', 'wikilink') AND NOT regexp_full_match(v, '[^\s]+_[xX]{2,}') GROUP BY v)), '') AS links,
- coalesce(regexp_replace(regexp_extract(text, '(?m)^#\s+(.+?)\s*$', 1), '^\s+|\s+$', '', 'g'), '') AS heading, CAST(length(code) AS INTEGER) AS plain,
- CAST(length(CASE WHEN starts_with(text, '---') AND strpos(text[4:], chr(10) || '---') > 0 THEN text[3 + strpos(text[4:], chr(10) || '---') + 4:] ELSE text END) AS INTEGER) AS body FROM c JOIN f USING (doc_id)""",
+ SELECT c.doc_id, coalesce((SELECT string_agg(v, '|' ORDER BY p) FROM (SELECT v, min(p) AS p FROM unnest(l) WITH ORDINALITY u(v, p) WHERE v <> '' AND NOT lower(§v¤) IN ('...', '…', 'wikilink') AND NOT regexp_full_match(v, '[^\s]+_[xX]{2,}') GROUP BY v)), '') AS links,
+ coalesce(§regexp_extract(text, '(?m)^#\s+(.+?)\s*$', 1)¤, '') AS heading, CAST(length(code) AS INTEGER) AS plain,
+ CAST(length(CASE WHEN starts_with(text, '---') AND strpos(text[4:], chr(10) || '---') > 0 THEN text[3 + strpos(text[4:], chr(10) || '---') + 4:] ELSE text END) AS INTEGER) AS body FROM c JOIN f USING (doc_id)""".replace("§", "regexp_replace(").replace("¤", f", '^{_SPACE}+|{_SPACE}+$', '', 'g')"),
 }

@@ -17,19 +17,6 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy(table(spark, sf, "block"))
 
 
-def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
-    placed = hierarchy(table(spark, sf, "block"), with_path=True)
-    return placed.select("id", "root_id", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path")).where("path is not null")
-
-
-def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    return descendants(hierarchy(table(spark, sf, "block"), with_path=True))
-
-
-def p1_subtrees(spark: SparkSession, sf: str) -> DataFrame:
-    return subtree_sizes(hierarchy(table(spark, sf, "block"), with_path=True))
-
-
 def _everything(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """All blocks with paths, also below cycles, and the places of those on cycles."""
     block = table(spark, sf, "block")
@@ -37,20 +24,22 @@ def _everything(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return placed, cut(cycle_places(block, placed))
 
 
-def p1_paths_all(spark: SparkSession, sf: str) -> DataFrame:
-    """p1_paths for every block: below a cycle from the cycle's node, on a cycle the block alone."""
+def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The path of every block: below a cycle from the cycle's node, on a cycle the block alone."""
     placed = hierarchy(table(spark, sf, "block"), with_path=True, below_cycles=True)
     return placed.select("id", "root_id", "depth", "kind", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
-def p1_descendants_all(spark: SparkSession, sf: str) -> DataFrame:
+def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
     placed, places = _everything(spark, sf)
     return descendants(placed).unionByName(around_cycles(placed, places))
 
 
-def p1_subtrees_all(spark: SparkSession, sf: str) -> DataFrame:
-    placed, places = _everything(spark, sf)
-    return subtree_sizes(placed).unionByName(cycle_sizes(placed, places))
+def p1_subtrees(spark: SparkSession, sf: str) -> DataFrame:
+    block = table(spark, sf, "block")
+    placed = cut(hierarchy(block))
+    sizes, places = cut(subtree_sizes(block, placed)), cut(cycle_places(block, placed))
+    return sizes.join(places, "id", "left_anti").unionByName(cycle_sizes(sizes, places))
 
 
 def references(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +94,7 @@ def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
     return change_counts(p5_found(spark, sf))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_paths, p1_descendants, p1_subtrees, p1_paths_all, p1_descendants_all, p1_subtrees_all, p4_found, p4_counts, p5_found, p5_counts)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_paths, p1_descendants, p1_subtrees, p4_found, p4_counts, p5_found, p5_counts)}
 
 _TREE = """b AS (SELECT DISTINCT id, parent FROM block WHERE id IS NOT NULL),
 up AS (SELECT x.id, x.parent AS above FROM b x JOIN b y ON x.parent = y.id),
@@ -156,14 +145,9 @@ UNION ALL SELECT now, id, 'deleted', '' FROM gone c WHERE NOT EXISTS (SELECT 1 F
 
 SQL: dict[str, str] = {
     "p1_found": f"WITH RECURSIVE {_TREE} SELECT id, root_id, depth, kind FROM found",
-    "p1_descendants": f"WITH RECURSIVE {_TREE}, t AS (SELECT * FROM found WHERE kind = 'tree') SELECT r.anc AS id, r.id AS descendant, t.depth - a.depth AS distance FROM reach r JOIN t ON t.id = r.id JOIN t a ON a.id = r.anc",
-    "p1_subtrees": f"WITH RECURSIVE {_TREE}, t AS (SELECT * FROM found WHERE kind = 'tree') SELECT a.id, count(r.id) AS n_descendants, coalesce(max(t.depth - a.depth), 0) AS height FROM t a LEFT JOIN reach r ON r.anc = a.id LEFT JOIN t ON t.id = r.id GROUP BY a.id",
-    "p1_paths": f"""WITH RECURSIVE {_TREE}, t AS (SELECT * FROM found WHERE kind = 'tree'),
- steps AS (SELECT id, id AS anc FROM t UNION ALL SELECT r.id, r.anc FROM reach r JOIN t ON t.id = r.id)
- SELECT t.id, t.root_id, t.depth, string_agg(CAST(s.anc AS VARCHAR), '/' ORDER BY a.depth) AS path FROM t JOIN steps s ON s.id = t.id JOIN t a ON a.id = s.anc GROUP BY ALL""",
-    "p1_paths_all": f"WITH RECURSIVE {_WALK} SELECT f.id, root_id, depth, kind, CASE WHEN depth = 0 THEN CAST(f.id AS VARCHAR) ELSE array_to_string(list_reverse(seen), '/') END AS path FROM found f LEFT JOIN walk w ON w.id = f.id AND w.k = f.depth",
-    "p1_descendants_all": f"WITH RECURSIVE {_WALK} SELECT anc AS id, id AS descendant, k AS distance FROM walk",
-    "p1_subtrees_all": f"WITH RECURSIVE {_WALK} SELECT f.id, count(w.id) AS n_descendants, coalesce(max(w.k), 0) AS height FROM found f LEFT JOIN walk w ON w.anc = f.id GROUP BY f.id",
+    "p1_paths": f"WITH RECURSIVE {_WALK} SELECT f.id, root_id, depth, kind, CASE WHEN depth = 0 THEN CAST(f.id AS VARCHAR) ELSE array_to_string(list_reverse(seen), '/') END AS path FROM found f LEFT JOIN walk w ON w.id = f.id AND w.k = f.depth",
+    "p1_descendants": f"WITH RECURSIVE {_WALK} SELECT anc AS id, id AS descendant, k AS distance FROM walk",
+    "p1_subtrees": f"WITH RECURSIVE {_WALK} SELECT f.id, count(w.id) AS n_descendants, coalesce(max(w.k), 0) AS height FROM found f LEFT JOIN walk w ON w.anc = f.id GROUP BY f.id",
     "p4_found": f"WITH {_ORPHANS} SELECT * FROM found",
     "p4_counts": f'WITH {_ORPHANS} SELECT tbl, period, count(*) AS "references", count(DISTINCT target_key) AS targets FROM found GROUP BY tbl, period',
     "p5_found": f"WITH {_CHANGES} SELECT * FROM found",

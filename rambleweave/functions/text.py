@@ -36,7 +36,7 @@ def utc(seconds: Column) -> Column:
 
 def is_numeric(c: Column) -> Column:
     """Whether a name is all ASCII digits, and not empty."""
-    return c.rlike("^[0-9]+$")
+    return c.rlike(r"\A[0-9]+\z")
 
 
 def title_or_id(title: Column, key: Column) -> Column:
@@ -55,17 +55,20 @@ def occurrences(text: Column, query: str) -> Column:
     return ((F.char_length(low) - F.char_length(F.replace(low, q, F.lit("")))) / F.char_length(q)).cast("int")
 
 
+def trimmed(c: Column) -> Column:
+    """A text without white space at its ends, of any alphabet (also U+00A0 and U+3000)."""
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
 def strip_code(text: Column) -> Column:
     """Fenced and inline code replaced by one blank each."""
     return F.regexp_replace(F.regexp_replace(text, FENCE, " "), INLINE_CODE, " ")
 
 
 def is_placeholder(name: Column) -> Column:
-    return F.lower(F.trim(name)).isin(PLACEHOLDER_WORDS) | name.rlike(PLACEHOLDER)
+    return F.lower(trimmed(name)).isin(PLACEHOLDER_WORDS) | name.rlike(PLACEHOLDER)
 
 
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def links(text: Column) -> Column:
@@ -74,9 +77,9 @@ def links(text: Column) -> Column:
     before = lambda x, signs: F.regexp_replace(x, rf"(?s)[{signs}].*$", "")
     wiki = F.transform(
         F.regexp_extract_all(plain, F.lit(WIKI_LINK), 1),
-        lambda x: F.regexp_replace(F.regexp_replace(_trim(before(x, "|#")), r"\\+$", ""), r"\.md$", ""),
+        lambda x: F.regexp_replace(F.regexp_replace(trimmed(before(x, "|#")), r"\\+$", ""), r"\.md$", ""),
     )
-    target = F.transform(F.regexp_extract_all(plain, F.lit(MARKDOWN_LINK), 1), lambda x: F.regexp_replace(before(_trim(x), "#?"), "/+$", ""))
+    target = F.transform(F.regexp_extract_all(plain, F.lit(MARKDOWN_LINK), 1), lambda x: F.regexp_replace(before(trimmed(x), "#?"), "/+$", ""))
     notes = F.filter(target, lambda x: ~x.rlike(SCHEME) & F.lower(x).endswith(".md"))
     names = F.transform(notes, lambda x: F.element_at(F.split(F.regexp_replace(x, r"\.md$", ""), "/"), -1))
     return F.filter(F.array_distinct(F.concat(wiki, names)), lambda x: (x != "") & ~is_placeholder(x))
@@ -96,7 +99,7 @@ def frontmatter_block(text: Column) -> Column:
 
 def heading(body: Column) -> Column:
     """The first heading of level one; null if there is none."""
-    return F.nullif(_trim(F.regexp_extract(body, HEADING, 1)), F.lit(""))
+    return F.nullif(trimmed(F.regexp_extract(body, HEADING, 1)), F.lit(""))
 
 
 def directory(path: Column) -> Column:

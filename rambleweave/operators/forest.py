@@ -266,12 +266,93 @@ def descendants(placed: DataFrame) -> DataFrame:
     return up.select("id", "descendant", (F.col("distance") + 1).alias("distance"))
 
 
-def subtree_sizes(placed: DataFrame) -> DataFrame:
-    """Number of descendants and height of each node that has a path and is on no cycle: id, n_descendants, height; leaves have 0. Counted before the shuffle."""
-    own = placed.where("kind <> 'cycle' and path is not null").select("id", F.lit(0).alias("distance"), F.lit(0).cast("long").alias("n"))
-    # The node of a cycle that a path begins with has its size by cycle_sizes.
-    pairs = descendants(placed.withColumn("path", F.expr("if(kind = 'below_cycle', slice(path, 2, depth), path)")).withColumn("depth", F.expr("if(kind = 'below_cycle', depth - 1, depth)")))
-    return own.unionByName(pairs.select("id", "distance", F.lit(1).cast("long").alias("n"))).groupBy("id").agg(F.sum("n").alias("n_descendants"), F.max("distance").alias("height"))
+def _climb(table: pa.Table, given: pa.Table | None) -> tuple[np.ndarray, ...]:
+    """Sums of a fragment's trees from below: ids, up (place of the parent here, or -1), n, height, and for each the id where its chain leaves and the steps to it. given: n_more and h_more that hang at places (at) from other fragments."""
+    table = table.sort_by("id")
+    ids, parent, w, n, height = (_column(table, c, -(1 << 62)) for c in ("id", "parent", "w", "n", "height"))
+    if given is not None and given.num_rows:
+        at = np.searchsorted(ids, _column(given, "at"))
+        n, height = n.copy(), height.copy()
+        n[at] += _column(given, "n_more")
+        height[at] = np.maximum(height[at], _column(given, "h_more"))
+    place = np.minimum(np.searchsorted(ids, parent), max(0, len(ids) - 1))
+    up = np.where((ids[place] == parent) & (parent > -(1 << 62)), place, -1) if len(ids) else place
+    # deepest first: by the number of steps within the fragment, found by doubling
+    steps, jump = (up >= 0).astype(np.int64), up.copy()
+    while (go := np.flatnonzero(jump >= 0)).size:
+        steps[go], jump[go] = steps[go] + np.where(jump[go] >= 0, steps[jump[go]], 0), jump[jump[go]]
+    order = np.argsort(-steps, kind="stable").tolist()
+    up_, w_, n_, height_ = up.tolist(), w.tolist(), n.tolist(), height.tolist()
+    for v in order:
+        if (p := up_[v]) >= 0:
+            n_[p] += n_[v]
+            if height_[v] + w_[v] > height_[p]:
+                height_[p] = height_[v] + w_[v]
+    leaves, dist = parent.copy(), w.copy()
+    for v in reversed(order):
+        if (p := up_[v]) >= 0:
+            leaves[v], dist[v] = leaves[p], dist[p] + w_[v]
+    return ids, up, np.array(n_, np.int64), np.array(height_, np.int64), leaves, dist
+
+
+_SUMS = "id long, n long, height long"
+
+
+def _sums(level: DataFrame, depth: int, fragment_rows: int, solve_rows: int) -> DataFrame:
+    """id, n, height of each row of a forest (id, parent, w: steps to it, n and height of its own): sums and greatest heights over whole subtrees.
+
+    Fragments are summed by themselves; what their tops bring hangs at ids of other fragments. Those ids are the nodes
+    of a smaller forest, which is solved in the same way; then every fragment is summed again with what hangs at its nodes.
+    """
+    level = cut(level)
+    size = level.count()
+    if size <= solve_rows:
+        def whole(table: pa.Table) -> pa.Table:
+            ids, _, n, height, *_ = _climb(table, None)
+            return pa.table({"id": ids, "n": n, "height": height})
+
+        return level.groupBy().applyInArrow(whole, _SUMS)
+    coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(depth)), F.lit(2))
+    moving = level.where(F.col("parent").isNotNull() & (coin("id") == 0) & (coin("parent") == 1)).groupBy("parent").agg(F.min("id").alias("id")).select("id", F.col("parent").alias("home"))
+    home = F.pmod(F.xxhash64(F.coalesce("home", "id")), F.lit(-(-size // fragment_rows)))
+    placed = cut(level.join(moving, "id", "left").withColumn("part", home).drop("home"))
+
+    def tops(table: pa.Table) -> pa.Table:
+        ids, up, n, height, leaves, dist = _climb(table, None)
+        known = leaves > -(1 << 62)
+        # kind 0: what a top brings to the id where it leaves; kind 1: of each node where its chain leaves and the steps
+        top = np.flatnonzero((up < 0) & known)
+        node = np.flatnonzero(known)
+        w = _column(table.sort_by("id"), "w")
+        at = lambda k, v: np.full(len(v), k)
+        return pa.table({"kind": np.concatenate([at(0, top), at(1, node)]), "id": np.concatenate([leaves[top], ids[node]]), "parent": np.concatenate([leaves[top], leaves[node]]), "w": np.concatenate([w[top], dist[node]]),
+                         "n": np.concatenate([n[top], at(0, node)]), "height": np.concatenate([height[top] + w[top], at(0, node)])})
+
+    found = cut(placed.groupBy("part").applyInArrow(tops, "kind long, id long, parent long, w long, n long, height long"))
+    hang = found.where("kind = 0").groupBy("id").agg(F.sum("n").alias("n"), F.max("height").alias("height"))
+    onward = found.where("kind = 1").select("id", "parent", "w")
+    quotient = hang.join(onward, "id", "left").select("id", "parent", F.coalesce("w", F.lit(0)).alias("w"), "n", "height")
+    solved = _sums(quotient, depth + 1, fragment_rows, solve_rows)
+    given = placed.select(F.col("id").alias("hook"), F.col("part").alias("fragment")).join(solved, F.col("hook") == F.col("id")).select(F.col("hook").alias("at"), "fragment", F.col("n").alias("n_more"), F.col("height").alias("h_more"))
+
+    def again(table: pa.Table, more: pa.Table) -> pa.Table:
+        ids, _, n, height, *_ = _climb(table, more)
+        return pa.table({"id": ids, "n": n, "height": height})
+
+    return placed.groupBy("part").cogroup(given.groupBy("fragment")).applyInArrow(again, _SUMS)
+
+
+def subtree_sizes(df: DataFrame, placed: DataFrame, key: str = "id", parent: str = "parent", fragment_rows: int = FRAGMENT_ROWS, solve_rows: int = SOLVE_ROWS) -> DataFrame:
+    """Number of descendants and height of each distinct id: id, n_descendants, height; leaves have 0. placed: hierarchy's rows of df, without paths.
+
+    Sums are taken from below over the fragments of the forest, so a chain of depth d costs d, not d². A node on a cycle
+    has only what hangs below it off the cycle; cycle_sizes() adds what is reached around it.
+    """
+    nodes = df.select(F.col(key).cast("long").alias("id"), F.col(parent).cast("long").alias("parent")).where("id is not null").groupBy("id").agg(F.min("parent").alias("parent"))
+    above = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
+    rows = nodes.join(above, "parent", "left").join(placed.select("id", "kind"), "id")
+    forest = rows.select("id", F.when(F.col("there") & (F.col("kind") != "cycle"), F.col("parent")).alias("parent"), F.lit(1).cast("long").alias("w"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("height"))
+    return _sums(forest, 0, fragment_rows, solve_rows).select("id", (F.col("n") - 1).alias("n_descendants"), F.col("height").cast("int").alias("height"))
 
 
 def cycle_places(df: DataFrame, placed: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
@@ -290,10 +371,9 @@ def around_cycles(placed: DataFrame, places: DataFrame) -> DataFrame:
     return pairs.select("id", "descendant", (F.col("depth") + F.pmod(F.col("entry_pos") - F.col("pos"), F.col("size"))).alias("distance"))
 
 
-def cycle_sizes(placed: DataFrame, places: DataFrame) -> DataFrame:
-    """id, n_descendants, height of nodes on cycles by the same pairs, without making them: what hangs at a place is farthest from itself, or, around the cycle, from the places above it."""
-    below = placed.where("kind <> 'tree'").groupBy("root_id", F.col("path")[0].alias("id")).agg(F.max("depth").alias("deep"), F.count("*").alias("here"))
-    at = places.join(below, ["root_id", "id"]).withColumn("reach", F.col("deep") + F.col("pos"))
+def cycle_sizes(sizes: DataFrame, places: DataFrame) -> DataFrame:
+    """id, n_descendants, height of nodes on cycles by the pairs of around_cycles, without making them: what hangs at a place is farthest from itself, or, around the cycle, from the places above it. sizes: subtree_sizes' rows; a cycle is one window, its length is not bounded otherwise."""
+    at = places.join(sizes, "id").select("id", "root_id", "pos", "size", (F.col("height") + F.col("pos")).alias("reach"), (F.col("n_descendants") + 1).alias("here"))
     cycle = Window.partitionBy("root_id")
     line = cycle.orderBy("pos")
     ahead = F.max("reach").over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))

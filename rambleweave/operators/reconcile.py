@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, directory
+from ..functions.text import basename, directory, is_numeric
 from ..plans.durable import cut
 
 FIELDS = ("title", "type", "path", "text", "tags", "aliases", "refs")
@@ -62,7 +62,7 @@ def _claim(pdf: pd.DataFrame) -> pd.DataFrame:
     """Within one text and directory: new ids in order claim the old id whose file name starts most alike; on a tie none."""
     gone = [(r.id, r.name_bytes) for r in pdf[pdf["gone"]].sort_values("id").itertuples()]
     come = [(r.id, r.name_bytes) for r in pdf[~pdf["gone"]].sort_values("id").itertuples()]
-    numeric = all(i.isascii() and i.isdigit() for i, _ in gone)
+    numeric = bool(pdf["digits"].iat[0])
     out = []
     for new, name in come:
         if numeric and new.isascii() and new.isdigit():
@@ -88,13 +88,14 @@ def detect_renames(deleted: DataFrame, added: DataFrame, by: tuple[str, ...] = (
     """old_id, new_id (after the columns by, within whose values pairs are sought): a deleted and an added document (id, text, path) of the same text and directory.
 
     Among several, new ids in order take the old one whose file name has the longest common start, unless that is a
-    tie; ids that are all digits on both sides are never paired. Groups that only one side has are dropped before
+    tie; a new id that is all digits is not paired if all deleted ids of its text, in any directory, are. Groups that only one side has are dropped before
     anything is grouped; what is grouped has ids and file names, no texts.
     """
     side = lambda df, gone: df.select(*by, "id", F.sha2("text", 256).alias("sha"), directory(F.col("path")).alias("dir"), F.encode(basename(F.col("path")), "UTF-8").alias("name_bytes"), F.lit(gone).alias("gone"))
     x, y = side(deleted, True), side(added, False)
     on = [*by, "sha", "dir"]
-    both = x.join(y.select(on).distinct(), on, "left_semi").unionByName(y.join(x.select(on).distinct(), on, "left_semi"))
+    digits = x.groupBy(*by, "sha").agg(F.every(is_numeric(F.col("id"))).alias("digits"))
+    both = x.join(y.select(on).distinct(), on, "left_semi").unionByName(y.join(x.select(on).distinct(), on, "left_semi")).join(digits, [*by, "sha"])
 
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
         return _claim(pdf).assign(**{c: pdf[c].iat[0] for c in by})[[*by, "old_id", "new_id"]]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..functions.text import trimmed
 from ..operators.forest import hierarchy
 from ..schema import BLOCK, BLOCK_ALIAS, BLOCK_REF, COLUMNS
 
@@ -103,11 +104,10 @@ def read_block_tables(spark: SparkSession, path: str, folder: str | None = None)
 
 def title_from(text: Column) -> Column:
     """The first line of a text without leading #, up to ' #', at most 30 characters."""
-    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    line = trim(F.regexp_replace(trim(text), r"(?s)\n.*$", ""))
-    bare = trim(F.regexp_replace(line, "^#+", ""))
+    line = trimmed(F.regexp_replace(trimmed(text), r"(?s)\n.*$", ""))
+    bare = trimmed(F.regexp_replace(line, "^#+", ""))
     short = F.when(F.instr(bare, " #") > 1, F.substring_index(bare, " #", 1)).otherwise(bare)
-    return F.nullif(trim(F.substring(trim(short), 1, 30)), F.lit(""))
+    return F.nullif(trimmed(F.substring(trimmed(short), 1, 30)), F.lit(""))
 
 
 def block_documents(blocks: DataFrame, aliases: DataFrame, refs: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def block_documents(blocks: DataFrame, aliases: DataFrame, refs: DataFrame) -> D
     )
     owned = owned.select("id", F.col("way")[F.col("start")]["up"].alias("owner"), F.expr("transform(slice(way, start + 2, greatest(size(way) - start - 1, 0)), x -> struct(x.left as left, x.up as up))").alias("place"))
     rows = owned.join(b, "id")
-    blank = lambda c: F.coalesce(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit("")) == ""
+    blank = lambda c: F.coalesce(trimmed(c), F.lit("")) == ""
     own = F.when(~blank(F.col("text")), F.col("text")).otherwise("")
     texts = rows.groupBy("owner").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", own.alias("text")))), lambda x: x["text"]), "").alias("joined"),
@@ -146,7 +146,7 @@ def block_documents(blocks: DataFrame, aliases: DataFrame, refs: DataFrame) -> D
     names = aliases.where("block is not null and name is not null").select("block", "pos", "name").distinct().groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("aliases"))
     root = rows.where("id = owner").select("id", "page", "text", "modified")
     told = root.join(texts.withColumnRenamed("owner", "id"), "id").join(names.withColumnRenamed("block", "id"), "id", "left")
-    told = told.withColumn("body", F.regexp_replace("joined", r"^\s+|\s+$", "")).withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    told = told.withColumn("body", trimmed(F.col("joined"))).withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
     told = told.join(links.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "id", "left")
     empty = (F.col("body") == "") & (F.size("aliases") == 0)
     shells = told.where(empty & F.col("n").isNull()).select(F.col("id").alias("b"))
@@ -154,7 +154,7 @@ def block_documents(blocks: DataFrame, aliases: DataFrame, refs: DataFrame) -> D
     shown = told.where(~(empty & F.col("n").isNull())).join(kept, "id", "left")
     key = F.col("id").cast("string")
     plain = F.when(F.col("page"), F.concat(F.lit("页面#"), key)).otherwise(F.concat(F.lit("块#"), key))
-    title = F.coalesce(F.nullif(F.trim(F.try_element_at("aliases", F.lit(1))), F.lit("")), title_from(F.col("text")), F.col("kid.title"), plain)
+    title = F.coalesce(F.nullif(trimmed(F.try_element_at("aliases", F.lit(1))), F.lit("")), title_from(F.col("text")), F.col("kid.title"), plain)
     return shown.select(
         key.alias("id"),
         F.when(empty, F.concat(F.lit("容器#"), key)).otherwise(title).alias("title"),

@@ -18,7 +18,7 @@ def test_below_and_on_cycles(spark, tmp_path):
         cyclic = [x for x in seen if x < 7 or x == 100]
         paths[i] = "/".join(map(str, reversed(seen[: seen.index(cyclic[0]) + 1] if cyclic else seen)))
     got = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
-    assert sorted((x.id, x.descendant, x.distance) for x in got("p1_descendants_all")) == sorted((*k, d) for k, d in want.items())
-    assert {x.id: x.path for x in got("p1_paths_all")} == paths
+    assert sorted((x.id, x.descendant, x.distance) for x in got("p1_descendants")) == sorted((*k, d) for k, d in want.items())
+    assert {x.id: x.path for x in got("p1_paths")} == paths
     below = {i: [d for (a, _), d in want.items() if a == i] for i in up}
-    assert sorted((x.id, x.n_descendants, x.height) for x in got("p1_subtrees_all")) == sorted((i, len(d), max(d, default=0)) for i, d in below.items())
+    assert sorted((x.id, x.n_descendants, x.height) for x in got("p1_subtrees")) == sorted((i, len(d), max(d, default=0)) for i, d in below.items())

@@ -65,4 +65,23 @@ def test_descendants_and_sizes(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1), (9, 9)], "id long, parent long")
     placed = hierarchy(df, with_path=True)
     assert sorted(tuple(r) for r in descendants(placed).collect()) == [(1, 2, 1), (1, 3, 2), (1, 4, 1), (2, 3, 1)]
-    assert {r.id: (r.n_descendants, r.height) for r in subtree_sizes(placed).collect()} == {1: (3, 2), 2: (1, 1), 3: (0, 0), 4: (0, 0)}
+    assert {r.id: (r.n_descendants, r.height) for r in subtree_sizes(df, hierarchy(df)).collect()} == {1: (3, 2), 2: (1, 1), 3: (0, 0), 4: (0, 0), 9: (0, 0)}
+
+
+@pytest.mark.parametrize("seed,limits", [(1, (8, 6)), (2, (30, 20)), (3, (10**6, 10**6))])
+def test_subtree_sizes(spark, seed, limits):
+    r = random.Random(seed)
+    rows = [(i, r.choice([i - 1, i - 1, r.randrange(i), None])) for i in range(1, 150)] + [(0, None)] + [(500 + i, 500) for i in range(1, 80)] + [(500, 777)]
+    rows += rows[:9]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, parent long")
+    up, want = dict(rows), {}
+    for i in up:
+        want.setdefault(i, [0, 0])
+        x, k = up[i], 1
+        while x in up:
+            n, h = want.setdefault(x, [0, 0])
+            want[x] = [n + 1, max(h, k)]
+            x, k = up[x], k + 1
+    got = {x.id: [x.n_descendants, x.height] for x in subtree_sizes(df, hierarchy(df), fragment_rows=limits[0], solve_rows=limits[1]).collect()}
+    assert got == want
