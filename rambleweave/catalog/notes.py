@@ -302,7 +302,7 @@ SQL: dict[str, str] = {
  said AS (SELECT pos, CASE WHEN d.title = '' THEN d.id ELSE d.title END AS t FROM s JOIN d ON (d.id = a AND list_contains(refs, b)) OR (d.id = b AND list_contains(refs, a)))
  SELECT s.pos, a, b, coalesce((SELECT array_to_string(list_sort(list(DISTINCT t))[1:3], '|') FROM said WHERE said.pos = s.pos), '') AS witnesses FROM s""",
     "g27_node": f"""WITH {_GRAPH} SELECT d.id, d.title, d.type, path, array_to_string(aliases, '|') AS aliases, array_to_string(tags, '|') AS tags, CASE WHEN length(text) > 200 THEN text[1:200] || '…' ELSE text END AS summary, CAST(length(text) AS INTEGER) AS text_len, length(text) > 200 AS truncated, deg,
- (SELECT string_agg(n.id, '|' ORDER BY n.title, n.id) FROM edges JOIN nodes n ON n.id = dst WHERE src = '{START}') AS neighbours, (SELECT string_agg(id, '|' ORDER BY title, id) FROM d WHERE list_contains(refs, '{START}') AND id <> '{START}') AS backlinks
+ (SELECT string_agg(n.id, '|' ORDER BY n.title, n.id) FROM edges JOIN nodes n ON n.id = dst WHERE src = '{START}') AS neighbours, (SELECT string_agg(id, '|' ORDER BY title, id) FROM d WHERE list_contains(refs, '{START}')) AS backlinks
  FROM d JOIN nodes USING (id) WHERE d.id = '{START}'""",
     "g28_modularity": f"""WITH {_GRAPH}, e AS (SELECT x.type AS c, y.type AS k FROM edges JOIN nodes x ON x.id = src JOIN nodes y ON y.id = dst), m AS (SELECT count(*) AS m FROM e)
  SELECT round(sum(i / m - pow(n / m, 2)), 9) AS modularity FROM (SELECT c, count(*) AS n, count(*) FILTER (c = k) AS i FROM e GROUP BY c), m""",

@@ -63,8 +63,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", local_edges: int =
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         e = cut(small)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if state == last:
+        # distinct edges: the same number, and none that was not there
+        size = e.count()
+        if last is not None and size == last[1] and e.join(last[0], ["a", "b"], "left_anti").isEmpty():
             break
-        last = state
+        last = e, size
     return nodes.join(e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -62,11 +62,11 @@ def relation(graph: LinkGraph, start: str, end: str) -> DataFrame:
 
 
 def node_detail(graph: LinkGraph, key: str) -> DataFrame:
-    """One row: id, title, type, path, aliases, tags, summary (200 characters), text_len, truncated, deg, neighbours and backlinks (structs title, id, type; by title). Backlinks are the documents whose own references hold the id. An unknown key gives no row."""
+    """One row: id, title, type, path, aliases, tags, summary (200 characters), text_len, truncated, deg, neighbours and backlinks (structs title, id, type; by title). Backlinks are the documents whose own references hold the id, itself among them. An unknown key gives no row."""
     ref = lambda df: F.array_sort(F.collect_list(F.struct("title", "id", "type")))
     near = graph.neighbours(key)
     near = near.agg(ref(near).alias("neighbours"))
-    back = graph.docs.where(F.array_contains("refs", F.lit(key)) & (F.col("id") != key)).select("title", "id", "type")
+    back = graph.docs.where(F.array_contains("refs", F.lit(key))).select("title", "id", "type")
     back = back.agg(ref(back).alias("backlinks"))
     own = graph.docs.where(F.col("id") == key).join(graph.nodes.select("id", "deg"), "id")
     size = F.char_length("text")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import shutil
 import sqlite3
-import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import trimmed
 from ..operators.forest import hierarchy
+from ..plans.durable import cut, local_folder
 from ..schema import BLOCK, BLOCK_ALIAS, BLOCK_REF, COLUMNS
 
 #: The only tables that are ever read, and how. Others may hold credentials.
@@ -36,10 +37,9 @@ def is_block_db(path: str) -> bool:
     return path.lower().endswith(".db")
 
 
-def snapshot(path: str, folder: str | None = None) -> str:
-    """A consistent copy of a database that may be in use, made by SQLite's own backup; the caller removes it. On a cluster, folder must be one that all executors share."""
-    folder = folder or tempfile.mkdtemp(prefix="rambleweave-blocks-")
-    to = os.path.join(folder, "snapshot.db")
+def snapshot(path: str, folder: str) -> str:
+    """A consistent copy of a database that may be in use, made by SQLite's own backup, in a folder that all executors share; the caller removes it."""
+    to = os.path.join(folder, f"snapshot-{uuid.uuid4().hex}.db")
     try:
         with sqlite3.connect(f"file:{path}?mode=ro", uri=True, timeout=10) as a, sqlite3.connect(to) as b:
             a.create_function("to_pinyin", 1, lambda x: x, deterministic=True)
@@ -95,11 +95,15 @@ class BlockDatabase(DataSource):
 
 
 def read_block_tables(spark: SparkSession, path: str, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Blocks, aliases and references of a snapshot of a database."""
+    """Blocks, aliases and references of a snapshot of a database, read into the checkpoint folder; the snapshot is removed. On a cluster, folder must be one that all executors share."""
     spark.dataSource.register(BlockDatabase)
-    copy = snapshot(path, folder)
+    own = None if folder else local_folder(spark, "rambleweave-blocks-", "name a shared one as folder")
+    copy = snapshot(path, folder or own)
     read = lambda t: spark.read.format("block_database").option("path", copy).option("table", t).load()
-    return read("Block"), read("BlockAlias"), read("BlockRef")
+    try:
+        return cut(read("Block")), cut(read("BlockAlias")), cut(read("BlockRef"))
+    finally:
+        shutil.rmtree(own) if own else os.remove(copy)
 
 
 def title_from(text: Column) -> Column:

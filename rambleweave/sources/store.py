@@ -1,13 +1,13 @@
 """The engine's own store: documents without references, their directed links, renames, and a small sheet of facts.
 
-Each save writes a new generation beside the current one and then moves the pointer, so a reader never sees half a
-state and a failed save changes nothing. Saving what is there already writes nothing.
+Each save writes a new generation beside the current one and then a new sheet of facts that points to it, by one rename
+(see sheet), so a reader never sees half a state and a failed save changes nothing. Saving what is there already
+writes nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import posixpath
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..schema import COLUMNS, DOCUMENTS, LINKS, RENAMES
 from .profile import FOLDER, Profile
+from .sheet import Sheet
 
 PARSER_VERSION = 1
 
@@ -27,31 +28,9 @@ def store_path(source: str, prefix: str = "graph") -> str:
     return os.path.join(home, FOLDER, f"{prefix}-{hashlib.sha256(clean.encode()).hexdigest()[:12]}")
 
 
-class Store:
+class Store(Sheet):
     """path: a folder that all executors reach."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # -- facts -----------------------------------------------------------
-    def facts(self) -> dict:
-        """The sheet of facts; empty for a store that isn't there."""
-        at = self._path(f"{self.path}/facts.json")
-        if not self._fs.exists(at):
-            return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/facts.json", wholetext=True).collect()))
-
-    def put(self, **facts: object) -> None:
-        text = json.dumps(self.facts() | facts, ensure_ascii=False)
-        out = self._fs.create(self._path(f"{self.path}/facts.json.new"), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        self._fs.delete(self._path(f"{self.path}/facts.json"), False)
-        self._fs.rename(self._path(f"{self.path}/facts.json.new"), self._path(f"{self.path}/facts.json"))
-
     def stale(self, profile: Profile) -> bool:
         """Whether documents must be parsed anew: written by another parser or under another profile."""
         facts = self.facts()
@@ -84,7 +63,7 @@ class Store:
             self.put(documents=number)
             if number > 1:  # the one before stays for readers that still have it
                 for t in ("docs", "links"):
-                    self._fs.delete(self._path(f"{self.path}/{t}-{number - 2}"), True)
+                    self.delete(f"{t}-{number - 2}")
         return {"put": put, "deleted": gone}
 
     def links(self) -> DataFrame:
@@ -101,4 +80,4 @@ class Store:
         renames.select("old_id", "new_id").write.mode("overwrite").parquet(f"{self.path}/renames-{number}")
         self.put(renames=number)
         if number > 1:
-            self._fs.delete(self._path(f"{self.path}/renames-{number - 2}"), True)
+            self.delete(f"renames-{number - 2}")

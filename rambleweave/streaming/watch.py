@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import LinkGraph
+from ..plans.durable import cut
 from ..sources.markdown import vault_files
 from ..sources.profile import FOLDER, Profile
 
@@ -27,18 +28,19 @@ def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 class VaultChecker:
-    """Whether files of a vault were added, deleted or changed since the last call; the first call finds them all new. Only listings are read, no contents."""
+    """Whether files of a vault were added, deleted or changed since the last call; the first call finds them all new. Only listings are read, no contents; the last one is kept in the checkpoint folder and compared by a join."""
 
     def __init__(self, spark: SparkSession, root: str, profile: Profile):
         self.spark, self.root = spark, root
         self.profile = profile.with_excluded_dirs(QUIET_DIRS)
-        self.last: set | None = None
+        self.last: DataFrame | None = None
 
     def __call__(self) -> bool:
-        rows = {tuple(r) for r in vault_files(self.spark, self.root, self.profile).select("path", F.unix_micros("mtime"), "size").toLocalIterator()}
-        changed = rows != (self.last or set())
-        self.last = rows
-        return changed
+        now = vault_files(self.spark, self.root, self.profile).select("path", "mtime", "size")
+        if self.last is not None and file_changes(self.last, now).isEmpty():
+            return False
+        first, self.last = self.last is None, cut(now)
+        return not (first and self.last.isEmpty())
 
 
 class FileChecker:

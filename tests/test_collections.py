@@ -1,4 +1,5 @@
 import sqlite3
+import time
 
 import pytest
 from test_graph import docs
@@ -11,7 +12,7 @@ from rambleweave.sources.blocks import block_documents, is_block_db, read_block_
 from rambleweave.sources.markdown import detect_profile, parse_yaml, read_vault, read_vault_incremental
 from rambleweave.sources.profile import BUILT_IN, Profile, is_llm_wiki, resolve_profile
 from rambleweave.sources.store import Store, store_path
-from rambleweave.streaming.digests import DigestBook, digest_stream, existing_targets, keep_log, read_log
+from rambleweave.streaming.digests import DigestBook, TouchLog, digest_stream, existing_targets, keep_log, read_log
 from rambleweave.streaming.watch import FileChecker, GraphHolder, VaultChecker, Watch, file_changes
 
 
@@ -258,6 +259,56 @@ def test_store_and_refresh(spark, tmp_path):
     assert third.reused == 0 and third.changes.changes.count() == 0
 
 
+def test_store_survives_a_crash(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    store.save(docs(spark, ("a", "A", "", ["b"])))
+    before = store.facts()
+
+    def crash(**_):
+        raise KeyboardInterrupt
+
+    # a save that ends between writing the new generation and pointing to it
+    with monkeypatch.context() as m:
+        m.setattr(store, "put", crash)
+        with pytest.raises(KeyboardInterrupt):
+            store.save(docs(spark, ("b", "B", "", [])))
+    assert Store(spark, store.path).facts() == before and [r.id for r in Store(spark, store.path).load().collect()] == ["a"]
+    # one that ends after writing the new facts, before they appear under their name
+    (tmp_path / "s" / "facts.json.new").write_text("{half")
+    assert store.facts() == before and store.save(docs(spark, ("b", "B", "", []))) == {"put": 1, "deleted": 1}
+    assert [r.id for r in store.load().collect()] == ["b"]
+
+
+def test_touch_log(spark, tmp_path):
+    d = docs(spark, ("a", "A", "", []))
+    new = lambda *t: spark.createDataFrame([(i, x, "s") for i, x in enumerate(t)], "ts long, target string, src string")
+    log = TouchLog(spark, str(tmp_path / "t"), d, touches.TouchConfig(3, 3, 2), kept=4)
+    log.touch(new("a", "b"))
+    assert log.digest(100) is None and not log.book.available()
+    log.touch(new("a", "a", "a"))
+    assert [r.seq for r in log.touches().orderBy("seq").collect()] == [2, 3, 4, 5] and log.digest(200)["total"] == 4 and log.book.available()
+    again = TouchLog(spark, log.path, d, touches.TouchConfig(3, 3, 2), kept=4)
+    assert again.book.available() and again.book.latest() == log.book.latest() and again.digest(300) is None
+    again.book.acknowledge(again.book.latest()["id"])
+    assert not TouchLog(spark, log.path, d).book.available() and again.stats().where("part = 'total'").first()["count"] == 4
+
+
+def test_digest_by_time_alone(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.createDataFrame([(i, 1, "a", None) for i in range(4)], TOUCH).write.parquet(path)
+    made = digest_stream(spark.readStream.schema(TOUCH).parquet(path), touches.TouchConfig(3, 2 / 86400, 5))
+    q = made.writeStream.format("memory").queryName("timed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and spark.table("timed").count() < 2:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    rows = spark.table("timed").orderBy("digest_no").limit(2).collect()
+    # no touch came after the first three and one more: the second digest is the timer's
+    assert [(r.digest_no, r.total, r.targets) for r in rows] == [(1, 3, '[{"id": "a", "count": 3}]'), (2, 1, '[{"id": "a", "count": 1}]')] and rows[1].generated_at - rows[0].generated_at >= 2
+
+
 def test_watch(spark, tmp_path):
     write_vault(tmp_path, {"a.md": "x", ".git/b.md": "x"})
     check = VaultChecker(spark, str(tmp_path), Profile())
