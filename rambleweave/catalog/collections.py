@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import heading, links, strip_code, strip_frontmatter
 from ..operators.graph import LinkGraph, documents
 from ..operators.reconcile import collapse, diff, merge_renames, rename_touches
-from ..operators.touches import accepted, append, digest, last_by_key, top_sources, top_targets, touch_count, touch_stats
+from ..operators.touches import TouchConfig, accepted, append, digest, last_by_key, top_sources, top_targets, touch_count, touch_stats
 from ..plans.durable import cut, ensure_checkpoint_dir
 from ..plans.ship import ship
 from ..schema import TOUCH
@@ -109,15 +109,26 @@ def t5_digest(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("window_start", "since", "total", names("targets"), names("sources"))
 
 
-def t5_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Digests over all touches as a stream, at a fixed time: one for every 500."""
+def _digests(spark: SparkSession, sf: str, config: TouchConfig) -> DataFrame:
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     home = f"{ensure_checkpoint_dir(spark)}/digests-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(TOUCH).parquet(f"{sf}/touch.parque[t]")
-    made = digest_stream(stream, clock=1_700_000_000)
+    made = digest_stream(stream, config, clock=1_700_000_000)
     made.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{home}/out").select("digest_no", "total")
+    return spark.read.schema(OUTPUT).parquet(f"{home}/out")
+
+
+def t5_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests over all touches as a stream, at a fixed time: one for every 500."""
+    return _digests(spark, sf, TouchConfig()).select("digest_no", "total")
+
+
+def t5_stream_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """One digest over the whole stream, with its targets and sources; which touches meet in a smaller one depends on the order in which a stream comes."""
+    made = _digests(spark, sf, TouchConfig(digest_count=table(spark, sf, "touch").count()))
+    names = lambda c: F.array_join(F.transform(F.from_json(c, "array<struct<id string, count long>>"), lambda x: F.concat_ws("=", x["id"], x["count"].cast("string"))), "|").alias(c)
+    return made.select("digest_no", "total", names("targets"), names("sources"))
 
 
 def t9_accepted(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +152,7 @@ def x_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.array_join(links(F.col("text")), "|").alias("links"), F.coalesce(heading(F.col("text")), F.lit("")).alias("heading"), F.char_length(strip_code(F.col("text"))).alias("plain"), F.char_length(strip_frontmatter(F.col("text"))).alias("body"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (r1_changes, r1_summary, r3_renames, r4_merged, r5_collapsed, r6_touches, t1_appended, t2_last, t3_stats, t3_targets, t3_sources, t4_count, t5_digest, t5_stream, t9_accepted, s8_block_documents, s8_block_graph, x_markdown)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (r1_changes, r1_summary, r3_renames, r4_merged, r5_collapsed, r6_touches, t1_appended, t2_last, t3_stats, t3_targets, t3_sources, t4_count, t5_digest, t5_stream, t5_stream_whole, t9_accepted, s8_block_documents, s8_block_graph, x_markdown)}
 
 _FIELDS = ("title", "type", "path", "text", "tags", "aliases", "refs")
 _DIR = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir, hex(encode(regexp_replace(path, '^.*/', ''))) AS h"
@@ -207,6 +218,7 @@ SQL: dict[str, str] = {
     "t5_digest": f"""WITH {_TOPS.format(since=5000)} SELECT CAST(1704067200 AS BIGINT) AS window_start, '2024-01-01 00:00' AS since, (SELECT count(*) FROM t WHERE seq > 5000) AS total,
  coalesce((SELECT string_agg(id || '=' || count, '|' ORDER BY count DESC, id) FROM tg), '') AS targets, coalesce((SELECT string_agg(id || '=' || count, '|' ORDER BY count DESC, id) FROM sr), '') AS sources""",
     "t5_stream": "SELECT i AS digest_no, CAST(500 AS BIGINT) AS total FROM range(1, (SELECT count(*) FROM touch) // 500 + 1) r(i)",
+    "t5_stream_whole": " ".join(["SELECT CAST(1 AS BIGINT) AS digest_no, (SELECT count(*) FROM touch) AS total", *(f", (SELECT string_agg(id || '=' || n, '|' ORDER BY n DESC, id) FROM (SELECT {c} AS id, count(*) AS n FROM touch WHERE {c} <> '' GROUP BY {c} ORDER BY n DESC, id LIMIT 10)) AS {name}" for c, name in (("target", "targets"), ("src", "sources")))]),
     "t9_accepted": "SELECT DISTINCT * FROM touch WHERE target <> '' AND lower(regexp_replace(target, '(\\.md|\\.MD)$', '')) <> 'shared_inbox' AND NOT starts_with(target, 'archive/')",
     "s8_block_documents": f"""WITH RECURSIVE {_BLOCKS} SELECT CAST(id AS VARCHAR) AS id, CASE WHEN text = '' AND len(aliases) = 0 THEN '容器#' || id ELSE coalesce(nullif({_TRIM.format('aliases[1]')}, ''), {_TITLE.format("bare")}, kid, CASE WHEN page THEN '页面#' ELSE '块#' END || id) END AS title,
  array_to_string(aliases, '|') AS aliases, CASE WHEN text = '' AND len(aliases) = 0 THEN 'container' WHEN page THEN 'doc' ELSE 'block' END AS type, 'block/' || id AS path, CAST(strlen(text) AS BIGINT) AS size,

@@ -138,6 +138,12 @@ def g21_similar(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.similar(graph(spark, sf), END, 10).select("id", "title", "type", F.round("score", 6).alias("score"), _joined("shared"))
 
 
+def g21_similar_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar nodes of every node."""
+    g = graph(spark, sf)
+    return similarity.similar_to(g, g.nodes, 5).select("key", "id", F.round("score", 6).alias("score"), _joined("shared"))
+
+
 def g22_potential(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.potential_links(graph(spark, sf)).select("a", "b", F.round("score", 6).alias("score"), _joined("algorithms"), _joined("shared"))
 
@@ -198,7 +204,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         g1_ledger, g1_edges, g2_names, g3_final_names, g3_redirected, g4_dangling, g5_stats, g6_components, g7_degrees, g7_neighbours, g8_anchors, g10_search, g11_pagerank, g11_pagerank_by_joins,
-        g12_activation, g13_ranked, g15_roam, g15_fallback, g16_random, g17_pool, g20_common, g21_similar, g22_potential, g23_suggest, g24_path, g25_relation, g26_evidence, g27_node,
+        g12_activation, g13_ranked, g15_roam, g15_fallback, g16_random, g17_pool, g20_common, g21_similar, g21_similar_all, g22_potential, g23_suggest, g24_path, g25_relation, g26_evidence, g27_node,
         g28_communities, g28_modularity, g29_trimmed, g30_hot, g31_types, x_texts,
     )
 }
@@ -292,6 +298,8 @@ SQL: dict[str, str] = {
     "g17_pool": f"WITH {_GRAPH} SELECT id, round(pow(deg, 0.5), 9) AS w FROM shown",
     "g20_common": f"WITH {_GRAPH}, {_COMMON.format(left='shown')} SELECT a, b, round(aa, 6) AS aa, round(ra, 6) AS ra, n, shared FROM common",
     "g21_similar": f"""WITH {_GRAPH}, {_COMMON.format(left=f"(SELECT '{END}' AS id)")} SELECT id, title, type, round(aa, 6) AS score, shared FROM common JOIN shown ON id = b WHERE b NOT IN (SELECT dst FROM edges WHERE src = '{END}') ORDER BY aa DESC, id LIMIT 10""",
+    "g21_similar_all": f"""WITH {_GRAPH}, {_COMMON.format(left="nodes")}, r AS (SELECT a, b, aa, shared, row_number() OVER (PARTITION BY a ORDER BY round(aa, 12) DESC, b) AS rn FROM common JOIN shown ON id = b WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = a AND e.dst = b))
+ SELECT a AS key, b AS id, round(aa, 6) AS score, shared FROM r WHERE rn <= 5""",
     "g22_potential": f"WITH {_GRAPH}, {_COMMON.format(left='shown')}, {_POTENTIAL} SELECT a, b, round(score, 6) AS score, 'aa|jaccard|ra' AS algorithms, shared FROM links",
     "g23_suggest": f"WITH {_GRAPH}, {_COMMON.format(left='shown')}, {_POTENTIAL}, top AS (SELECT * FROM links ORDER BY score DESC, a, b LIMIT 50) SELECT a, x.title AS a_title, b, y.title AS b_title, round(score, 6) AS score FROM top JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b",
     "g24_path": f"""WITH RECURSIVE {_GRAPH}, {_PATH} SELECT '{START}' AS start, '{END}' AS "end", path, CAST(depth AS INTEGER) AS hops FROM way""",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_list
+from ..plans.durable import shuffle_partitions
 from ..schema import COLUMNS, DOCUMENTS
 from .components import components
 
@@ -69,9 +70,10 @@ class LinkGraph:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """src, dst in both directions, each once."""
+        """src, dst in both directions, each once; kept partitioned by src, so steps along edges only move what is at their ends."""
         e = self.ledger.where("kind = 'edge'").select("src", F.col("target").alias("dst"))
-        return e.union(e.select("dst", "src")).persist(StorageLevel.MEMORY_AND_DISK)
+        both = e.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.src", "e.dst")
+        return both.repartition(shuffle_partitions(both.sparkSession), "src").persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -83,6 +85,10 @@ class LinkGraph:
     def size(self) -> int:
         return self.nodes.count()
 
+    @cached_property
+    def edge_count(self) -> int:
+        return self.edges.count()
+
     @property
     def hub_degree(self) -> int:
         """From this degree on a node is a hub."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import summary, title_or_id
 from ..plans.durable import cut
-from .activation import pagerank
+from .activation import pageranks
 from .graph import LinkGraph
 
 DECAY = 0.7
@@ -15,23 +15,35 @@ WITNESSES = 3
 
 
 def shortest_path(graph: LinkGraph, start: str, end: str) -> list[str] | None:
-    """Ids of the smallest of the shortest paths; None if there is none or an end is unknown. Levels are joins; the search grows from the start until it meets the end or nothing is new."""
+    """Ids of the smallest of the shortest paths; None if there is none or an end is unknown.
+
+    Levels are joins from both ends, the smaller one next, until they meet or one finds nothing new. A node's
+    neighbours are a level before, beside or after it, so a new level is compared with two others only.
+    """
     if graph.nodes.where(F.col("id").isin(start, end)).count() < len({start, end}):
         return None
     if start == end:
         return [start]
     s = graph.docs.sparkSession
-    frontier = s.createDataFrame([(start, [start])], "id string, path array<string>")
-    seen = frontier.select("id")
+    first = lambda key: s.createDataFrame([(key, [key])], "id string, path array<string>")
+    # of each end: its last two levels, and how many nodes the last one has; paths run from the start to the end
+    levels, sizes = [[None, first(start)], [None, first(end)]], [1, 1]
     while True:
-        step = frontier.join(graph.edges, frontier["id"] == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("path").alias("before"))
-        frontier = cut(step.join(seen, "id", "left_anti").select("id", F.concat("before", F.array("id")).alias("path")))
-        hit = frontier.where(F.col("id") == end).first()
-        if hit:
-            return list(hit["path"])
-        if frontier.isEmpty():
+        side = 0 if sizes[0] <= sizes[1] else 1
+        before, now = levels[side]
+        step = now.join(graph.edges, now["id"] == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("path").alias("near"))
+        old = now.select("id") if before is None else now.select("id").union(before.select("id"))
+        path = F.concat("near", F.array("id")) if side == 0 else F.concat(F.array("id"), "near")
+        fresh = cut(step.join(old, "id", "left_anti").select("id", path.alias("path")))
+        levels[side] = [now, fresh]
+        ahead, back = levels[0][1], levels[1][1].select("id", F.col("path").alias("rest"))
+        whole = ahead.join(back, "id").select(F.concat("path", F.slice("rest", 2, F.size("rest"))).alias("path"))
+        found = fresh.agg(F.count("*").alias("n")).join(whole.agg(F.min("path").alias("path")), F.lit(True), "left").first()  # one row each
+        if found["path"] is not None:
+            return list(found["path"])
+        if not found["n"]:
             return None
-        seen = cut(seen.union(frontier.select("id")))
+        sizes[side] = found["n"]
 
 
 def evidence(graph: LinkGraph, path: list[str]) -> DataFrame:
@@ -56,8 +68,8 @@ def relation(graph: LinkGraph, start: str, end: str) -> DataFrame:
         return s.createDataFrame([(start, end, 0, False, 1.0, p, p, p, [start])], schema)
     path = shortest_path(graph, start, end)
     hops = len(path) - 1 if path else -1
-    to = lambda a, b: pagerank(graph, s.createDataFrame([(a,)], "id string")).where(F.col("id") == b).first()["ppr"]
-    there, back = to(start, end), to(end, start)
+    both = {r["id"]: r for r in pageranks(graph, [start, end]).where(F.col("id").isin(start, end)).collect()}
+    there, back = both[end]["p0"], both[start]["p1"]
     return s.createDataFrame([(start, end, hops, hops == 1, DECAY**hops if path else -1.0, there, back, (there + back) / 2, path or [])], schema)
 
 

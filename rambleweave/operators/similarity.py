@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import cut
 from .graph import LinkGraph
 
 ADAMIC_ADAR, JACCARD, ALLOCATION = 1.0, 0.5, 1.0
@@ -24,26 +25,47 @@ def common_neighbours(graph: LinkGraph, left: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum(1 / F.log("d")).alias("aa"), F.sum(1 / F.col("d")).alias("ra"), F.count("*").alias("n"), F.array_sort(F.collect_set("mid")).alias("shared"))
 
 
-def similar(graph: LinkGraph, key: str, k: int = 10) -> DataFrame:
-    """id, title, type, score, shared of the k nodes with the highest Adamic-Adar score that aren't linked to key and may be presented. k of 0 or less counts as 10; an unknown or isolated key gives nothing."""
-    k = k if k > 0 else 10
-    one = graph.nodes.where(F.col("id") == key)
-    near = graph.edges.where(F.col("src") == key).select(F.col("dst").alias("b"))
-    found = common_neighbours(graph, one).join(near, "b", "left_anti")
+def shared_neighbours(graph: LinkGraph, pairs: DataFrame) -> DataFrame:
+    """a, b, shared (sorted) of some pairs."""
+    left = pairs.select("a", "b").join(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("mid")), "a")
+    both = left.join(graph.edges.select(F.col("src").alias("b"), F.col("dst").alias("mid")), ["b", "mid"])
+    return both.groupBy("a", "b").agg(F.array_sort(F.collect_list("mid")).alias("shared"))
+
+
+def similar_to(graph: LinkGraph, keys: DataFrame, k: int = 10) -> DataFrame:
+    """key, id, title, type, score, shared: for each node of keys (column id) the k nodes with the highest Adamic-Adar score that aren't linked to it and may be presented. Scores first; what is shared only of the best."""
     shown = graph.nodes.where(graph.presentable()).select(F.col("id").alias("b"), "title", "type")
-    return found.join(shown, "b").where("aa > 0").select(F.col("b").alias("id"), "title", "type", F.col("aa").alias("score"), "shared").orderBy(F.desc("score"), "id").limit(k)
+    weight = graph.nodes.select(F.col("id").alias("src"), (1 / F.log(F.greatest("deg", F.lit(2)))).alias("aa"))
+    mid = graph.edges.join(weight, "src").select(F.col("src").alias("mid"), F.col("dst").alias("b"), "aa").join(shown.select("b"), "b", "left_semi")
+    own = graph.edges.join(keys.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("mid"))
+    scored = own.join(mid, "mid").where("a <> b").groupBy("a", "b").agg(F.round(F.sum("aa"), 12).alias("score")).where("score > 0")
+    apart = scored.join(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
+    best = apart.withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rn") <= k)
+    best = cut(best.join(shown, "b").select("a", "b", "title", "type", "score"))
+    return best.join(shared_neighbours(graph, best), ["a", "b"]).select(F.col("a").alias("key"), F.col("b").alias("id"), "title", "type", "score", "shared")
+
+
+def similar(graph: LinkGraph, key: str, k: int = 10) -> DataFrame:
+    """id, title, type, score, shared of similar_to for one key. k of 0 or less counts as 10; an unknown or isolated key gives nothing."""
+    found = similar_to(graph, graph.nodes.where(F.col("id") == key), k if k > 0 else 10)
+    return found.drop("key").orderBy(F.desc("score"), "id")
 
 
 def potential_links(graph: LinkGraph, per_anchor: int = PER_ANCHOR) -> DataFrame:
-    """a, b (a < b), score, algorithms, shared: of every presentable node the best unlinked ones two steps away. Suggestions are never added to the graph."""
+    """a, b (a < b), score, algorithms, shared: of every presentable node the best unlinked ones two steps away. Suggestions are never added to the graph. Each pair is scored once; what is shared comes of the best only."""
     shown = graph.nodes.where(graph.presentable()).select("id", "deg")
-    found = common_neighbours(graph, shown).join(shown.select(F.col("id").alias("b"), F.col("deg").alias("db")), "b")
-    found = found.join(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti").join(shown.select(F.col("id").alias("a"), F.col("deg").alias("da")), "a")
+    weight = graph.nodes.select(F.col("id").alias("src"), F.greatest("deg", F.lit(2)).alias("d"))
+    own = graph.edges.join(shown.select(F.col("id").alias("dst"), F.col("deg").alias("da")), "dst").select(F.col("src").alias("mid"), F.col("dst").alias("a"), "da")
+    other = own.select("mid", F.col("a").alias("b"), F.col("da").alias("db")).join(weight.withColumnRenamed("src", "mid"), "mid")
+    found = own.join(other, "mid").where("a < b").groupBy("a", "b").agg(F.first("da").alias("da"), F.first("db").alias("db"), F.sum(1 / F.log("d")).alias("aa"), F.sum(1 / F.col("d")).alias("ra"), F.count("*").alias("n"))
+    found = found.join(graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
     score = ADAMIC_ADAR * F.col("aa") + JACCARD * F.col("n") / (F.col("da") + F.col("db") - F.col("n")) + ALLOCATION * F.col("ra")
     # Sums differ in their last digits by the order of their terms; equal scores must stay equal.
-    best = found.withColumn("score", F.round(score, 12)).withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rn") <= per_anchor)
-    pairs = best.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "score", "shared").groupBy(F.col("x").alias("a"), F.col("y").alias("b"))
-    return pairs.agg(F.max("score").alias("score"), F.max("shared").alias("shared")).select("a", "b", "score", F.array(*map(F.lit, ALGORITHMS)).alias("algorithms"), "shared")
+    scored = found.select("a", "b", F.round(score, 12).alias("score"))
+    ends = scored.select("a", "b", "score", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
+    best = ends.withColumn("rn", F.row_number().over(Window.partitionBy("e.x").orderBy(F.desc("score"), "e.y"))).where(F.col("rn") <= per_anchor)
+    pairs = cut(best.select("a", "b", "score").distinct())
+    return pairs.join(shared_neighbours(graph, pairs), ["a", "b"]).select("a", "b", "score", F.array(*map(F.lit, ALGORITHMS)).alias("algorithms"), "shared")
 
 
 def suggest_links(graph: LinkGraph, k: int = 50) -> DataFrame:
