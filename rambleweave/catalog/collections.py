@@ -17,6 +17,7 @@ from ..schema import TOUCH
 from ..sources.blocks import block_documents
 from ..streaming.digests import OUTPUT, digest_stream
 from .common import Query, table
+from .notes import SQL as NOTES_SQL
 from .notes import _renames, graph
 
 
@@ -196,6 +197,9 @@ lk AS (SELECT DISTINCT x, y FROM (SELECT p.owner AS x, q.owner AS y FROM block_r
 al AS (SELECT block AS id, list(name ORDER BY pos, name) AS aliases FROM (SELECT DISTINCT * FROM block_alias) GROUP BY block),
 doc AS (SELECT b.id, page, bare, kid, {_TRIM.format("joined")} AS text, coalesce(aliases, []) AS aliases, EXISTS (SELECT 1 FROM lk WHERE x = b.id) AS linked FROM b JOIN tree ON tree.id = b.id AND tree.owner = b.id JOIN own ON own.id = b.id LEFT JOIN al ON al.id = b.id),
 shell AS (SELECT id FROM doc WHERE text = '' AND len(aliases) = 0 AND NOT linked)"""
+_BLOCK_ROWS = f"""SELECT CAST(id AS VARCHAR) AS id, CASE WHEN text = '' AND len(aliases) = 0 THEN '容器#' || id ELSE coalesce(nullif({_TRIM.format('aliases[1]')}, ''), {_TITLE.format("bare")}, kid, CASE WHEN page THEN '页面#' ELSE '块#' END || id) END AS title,
+ array_to_string(aliases, '|') AS aliases, CASE WHEN text = '' AND len(aliases) = 0 THEN 'container' WHEN page THEN 'doc' ELSE 'block' END AS type, 'block/' || id AS path, CAST(strlen(text) AS BIGINT) AS size,
+ coalesce((SELECT array_to_string(list_sort(list(CAST(y AS VARCHAR))), '|') FROM lk WHERE x = doc.id AND y NOT IN (SELECT id FROM shell)), '') AS refs, md5(text) AS text FROM doc WHERE id NOT IN (SELECT id FROM shell)"""
 
 SQL: dict[str, str] = {
     "r1_changes": f"""WITH RECURSIVE {_ALL} SELECT now AS snap_no, id, 'added' AS kind, '' AS fields, '' AS refs_added, '' AS refs_removed FROM come ANTI JOIN (SELECT now, new_id AS id FROM ren) USING (now, id)
@@ -220,9 +224,11 @@ SQL: dict[str, str] = {
     "t5_stream": "SELECT i AS digest_no, CAST(500 AS BIGINT) AS total FROM range(1, (SELECT count(*) FROM touch) // 500 + 1) r(i)",
     "t5_stream_whole": " ".join(["SELECT CAST(1 AS BIGINT) AS digest_no, (SELECT count(*) FROM touch) AS total", *(f", (SELECT string_agg(id || '=' || n, '|' ORDER BY n DESC, id) FROM (SELECT {c} AS id, count(*) AS n FROM touch WHERE {c} <> '' GROUP BY {c} ORDER BY n DESC, id LIMIT 10)) AS {name}" for c, name in (("target", "targets"), ("src", "sources")))]),
     "t9_accepted": "SELECT DISTINCT * FROM touch WHERE target <> '' AND lower(regexp_replace(target, '(\\.md|\\.MD)$', '')) <> 'shared_inbox' AND NOT starts_with(target, 'archive/')",
-    "s8_block_documents": f"""WITH RECURSIVE {_BLOCKS} SELECT CAST(id AS VARCHAR) AS id, CASE WHEN text = '' AND len(aliases) = 0 THEN '容器#' || id ELSE coalesce(nullif({_TRIM.format('aliases[1]')}, ''), {_TITLE.format("bare")}, kid, CASE WHEN page THEN '页面#' ELSE '块#' END || id) END AS title,
- array_to_string(aliases, '|') AS aliases, CASE WHEN text = '' AND len(aliases) = 0 THEN 'container' WHEN page THEN 'doc' ELSE 'block' END AS type, 'block/' || id AS path, CAST(strlen(text) AS BIGINT) AS size,
- coalesce((SELECT array_to_string(list_sort(list(CAST(y AS VARCHAR))), '|') FROM lk WHERE x = doc.id AND y NOT IN (SELECT id FROM shell)), '') AS refs, md5(text) AS text FROM doc WHERE id NOT IN (SELECT id FROM shell)""",
+    "s8_block_documents": f"WITH RECURSIVE {_BLOCKS} {_BLOCK_ROWS}",
+    # the statistics of notes, with block documents in their place
+    "s8_block_graph": NOTES_SQL["g5_stats"].replace("WITH RECURSIVE ", f"WITH RECURSIVE {_BLOCKS}, rows AS ({_BLOCK_ROWS}), ", 1).replace(
+        "(SELECT * FROM notes UNION ALL SELECT * FROM shared_note)", "(SELECT * REPLACE (CASE WHEN refs = '' THEN [] ELSE string_split(refs, '|') END AS refs, CASE WHEN aliases = '' THEN [] ELSE string_split(aliases, '|') END AS aliases), CAST([] AS VARCHAR[]) AS tags FROM rows)"
+    ),
     "x_markdown": r"""WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?s)```.*?```|~~~.*?~~~', ' ', 'g'), '`[^`]*`', ' ', 'g') AS code FROM documents),
  f AS (SELECT doc_id, list_concat([regexp_replace(regexp_replace(§regexp_replace(x, '(?s)[|#].*$', '')¤, '\\+$', ''), '\.md$', '') FOR x IN regexp_extract_all(coalesce(code, ''), '\[\[([^\]]+)\]\]', 1)],
   [string_split(regexp_replace(x, '\.md$', ''), '/')[-1] FOR x IN [regexp_replace(regexp_replace(y, '(?s)[#?].*$', ''), '/+$', '') FOR y IN regexp_extract_all(coalesce(code, ''), '\[[^\]]*\]\(([^)\s]+)\)', 1)] IF lower(x) LIKE '%.md' AND NOT regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.\-]*:')]) AS l FROM c)

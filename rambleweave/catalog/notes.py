@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_numeric, note_uri, path_similarity, summary, title_or_id
 from ..operators import community, relation, similarity
 from ..operators.activation import activate, pagerank
 from ..operators.anchors import decorate, resolve, text_search
+from ..operators.components import components
 from ..operators.graph import LinkGraph, documents, name_index
 from ..operators.reconcile import final_names, redirected
-from ..operators.roaming import RandomWalks, RoamOptions, cluster, roam, roll_pool
+from ..operators.roaming import RandomWalks, RoamOptions, cluster, roam, roll_pool, roll_seed
 from .common import Query, table
 
 #: What the queries ask for. The shared inbox is by far the most referred to; tags and parts of names give many anchors.
 STRUCTURAL = ("目录",)
 ANCHOR, WORD, START, END = "harbor", "window", "shared_inbox", "shared_sinijugifi"
 
+#: Numbers by which random starts are drawn.
+STARTS = [0.013, 0.42, 0.639, 0.97]
+
 
 def graph(spark: SparkSession, sf: str) -> LinkGraph:
     both = table(spark, sf, "notes").unionByName(table(spark, sf, "shared_note"))
@@ -176,6 +180,41 @@ def g28_communities(spark: SparkSession, sf: str) -> DataFrame:
     return community.communities(graph(spark, sf)).communities
 
 
+def g28_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What communities promise: linked nodes, how many of them are in none or in several, how many communities are not connected by themselves, and whether types make a better partition."""
+    g = graph(spark, sf)
+    found = community.communities(g)
+    linked = g.nodes.where("deg > 0").select("id")
+    held = linked.join(found.membership.groupBy("id").count(), "id", "left").agg(F.count("*").alias("nodes"), F.count_if(F.coalesce("count", F.lit(0)) != 1).alias("unheld"))
+    side = lambda c: found.membership.select(F.col("id").alias(c), F.col("community").alias(f"{c}_in"))
+    inside = g.edges.join(side("src"), "src").join(side("dst"), "dst").where("src_in = dst_in")
+    parts = found.membership.join(components(inside, "src", "dst"), "id", "left").select("community", F.coalesce("component", "id").alias("part")).distinct()
+    split = parts.groupBy("community").count().where("count > 1").agg(F.count("*").alias("split"))
+    q = lambda df, name: df.withColumnRenamed("modularity", name)
+    types = community.modularity(g, linked.join(g.nodes.select("id", F.col("type").alias("community")), "id"))
+    tables = [held, split, q(found.modularity, "own"), q(types, "types")]
+    one = tables[0]
+    for t in tables[1:]:  # tables of one row each
+        one = one.unionByName(t, allowMissingColumns=True)
+    one = one.agg(*[F.max(c).alias(c) for c in one.columns])
+    return one.select("nodes", "unheld", "split", (F.col("types") > F.col("own")).alias("types_better"))
+
+
+def g29_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What trimming promises: the ten largest communities in order, with sizes that are those of their lists and at most eight titles."""
+    t = g29_trimmed(spark, sf)
+    before = F.lag("size").over(Window.orderBy("community"))  # ten rows
+    return t.withColumn("rises", F.coalesce(F.col("size") > before, F.lit(False))).agg(
+        F.max("community").alias("last"), F.count_if("rises").alias("rising"), F.count_if(F.size("nodes") != F.col("size")).alias("wrong"), F.count_if(F.size("top_titles") != F.least(F.col("size"), F.lit(8))).alias("titles")
+    ).select((F.col("last") < 10).alias("at_most_ten"), "rising", "wrong", "titles")
+
+
+def g16_starts(spark: SparkSession, sf: str) -> DataFrame:
+    """The starts that some numbers of [0, 1) pick from the pool."""
+    g = graph(spark, sf)
+    return spark.createDataFrame([(u, roll_seed(g, u)) for u in STARTS], "u double, id string")
+
+
 def g28_modularity(spark: SparkSession, sf: str) -> DataFrame:
     """Of the partition by type, whose value SQL can tell."""
     g = graph(spark, sf)
@@ -204,8 +243,8 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         g1_ledger, g1_edges, g2_names, g3_final_names, g3_redirected, g4_dangling, g5_stats, g6_components, g7_degrees, g7_neighbours, g8_anchors, g10_search, g11_pagerank, g11_pagerank_by_joins,
-        g12_activation, g13_ranked, g15_roam, g15_fallback, g16_random, g17_pool, g20_common, g21_similar, g21_similar_all, g22_potential, g23_suggest, g24_path, g25_relation, g26_evidence, g27_node,
-        g28_communities, g28_modularity, g29_trimmed, g30_hot, g31_types, x_texts,
+        g12_activation, g13_ranked, g15_roam, g15_fallback, g16_random, g16_starts, g17_pool, g20_common, g21_similar, g21_similar_all, g22_potential, g23_suggest, g24_path, g25_relation, g26_evidence, g27_node,
+        g28_communities, g28_check, g28_modularity, g29_trimmed, g29_check, g30_hot, g31_types, x_texts,
     )
 }
 
@@ -312,6 +351,9 @@ SQL: dict[str, str] = {
     "g27_node": f"""WITH {_GRAPH} SELECT d.id, d.title, d.type, path, array_to_string(aliases, '|') AS aliases, array_to_string(tags, '|') AS tags, CASE WHEN length(text) > 200 THEN text[1:200] || '…' ELSE text END AS summary, CAST(length(text) AS INTEGER) AS text_len, length(text) > 200 AS truncated, deg,
  (SELECT string_agg(n.id, '|' ORDER BY n.title, n.id) FROM edges JOIN nodes n ON n.id = dst WHERE src = '{START}') AS neighbours, (SELECT string_agg(id, '|' ORDER BY title, id) FROM d WHERE list_contains(refs, '{START}')) AS backlinks
  FROM d JOIN nodes USING (id) WHERE d.id = '{START}'""",
+    "g28_check": f"WITH {_GRAPH} SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS unheld, CAST(0 AS BIGINT) AS split, false AS types_better FROM nodes WHERE deg > 0",
+    "g29_check": "SELECT true AS at_most_ten, CAST(0 AS BIGINT) AS rising, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS titles",
+    "g16_starts": f"""WITH {_GRAPH}, pool AS (SELECT id, pow(deg, 0.5) AS w FROM shown), run AS (SELECT id, sum(w) OVER (ORDER BY id) AS run, sum(w) OVER () AS total FROM pool), u AS (SELECT unnest({STARTS}) AS u) SELECT CAST(u AS DOUBLE) AS u, (SELECT min(id) FROM run WHERE run >= u * total) AS id FROM u""",
     "g28_modularity": f"""WITH {_GRAPH}, e AS (SELECT x.type AS c, y.type AS k FROM edges JOIN nodes x ON x.id = src JOIN nodes y ON y.id = dst), m AS (SELECT count(*) AS m FROM e)
  SELECT round(sum(i / m - pow(n / m, 2)), 9) AS modularity FROM (SELECT c, count(*) AS n, count(*) FILTER (c = k) AS i FROM e GROUP BY c), m""",
     "g30_hot": f"WITH {_GRAPH} SELECT * FROM nodes WHERE deg < (SELECT n // 2 FROM size) AND type <> '目录' ORDER BY deg DESC, id LIMIT 20",

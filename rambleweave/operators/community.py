@@ -13,11 +13,11 @@ from collections import deque
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_or_id
-from ..plans.durable import cut
+from ..plans.durable import cut, shuffle_partitions
 from .graph import LinkGraph
 
 KERNEL_EDGES = 2_000_000
@@ -125,7 +125,7 @@ def _leiden(g: _Level, label: list[int], total: float, resolution: float, rng: r
 
 @dataclass
 class Communities:
-    """membership: id, community (numbered from 0 by size, then smallest id). communities: community, size, nodes, top_titles. modularity: one row."""
+    """membership: id, community (numbered from 0 by size, then smallest id). communities: community, size, nodes, top_titles; its nodes are whole lists, as the result asks for, so membership is the form for large ones. modularity: one row."""
 
     membership: DataFrame
     communities: DataFrame
@@ -150,13 +150,17 @@ def communities(graph: LinkGraph, resolution: float = 1.0, seed: int = 1, kernel
         labels = _parallel(graph, m, resolution, seed, kernel_edges)
     labels = cut(labels)
     sized = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    # The place of a community is the number of those before it; equal sizes are told apart by the smallest id.
-    places = sized.orderBy(F.desc("size"), "first").select("label")
-    numbered = places.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("label string, community long") if not sized.isEmpty() else places.withColumn("community", F.lit(0).cast("long"))
-    member = cut(labels.join(numbered, "label").select("id", F.col("community").cast("int").alias("community")))
+    # The place of a community is the number of those before it; equal sizes are told apart by the smallest id. Ranges of communities are numbered by themselves, after those of the ranges before.
+    ranges = cut(sized.repartitionByRange(shuffle_partitions(sized.sparkSession), F.desc("size"), "first").withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("start"))  # one row per partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("size"), "first")) + F.col("start") - 1
+    numbered = ranges.join(F.broadcast(starts), "part").select("label", place.cast("int").alias("community"))
+    member = cut(labels.join(numbered, "label").select("id", "community"))
     named = member.join(graph.nodes, "id").select("community", "id", "deg", title_or_id(F.col("title"), F.col("id")).alias("name"))
-    tops = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("deg")).alias("k"), "id", "name"))), 1, TOP_TITLES), lambda x: x["name"])
-    listed = named.groupBy("community").agg(F.count("*").cast("int").alias("size"), F.array_sort(F.collect_list("id")).alias("nodes"), tops.alias("top_titles"))
+    best = named.withColumn("rn", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("deg"), "id"))).where(F.col("rn") <= TOP_TITLES)
+    tops = best.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"]).alias("top_titles"))
+    listed = member.groupBy("community").agg(F.count("*").cast("int").alias("size"), F.array_sort(F.collect_list("id")).alias("nodes")).join(tops, "community")
     return Communities(member, listed, modularity(graph, member, resolution))
 
 

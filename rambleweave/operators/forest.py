@@ -173,15 +173,15 @@ def _solve(level: DataFrame, with_path: bool, depth: int, fragment_rows: int, so
     if not size:
         return settled
     if size <= solve_rows:
-        placed = quotient.coalesce(1)
+        # one task holds all nodes that any chain of the quotient leads to: nothing leaves it
+        solved = cut(_contract(quotient.coalesce(1), with_path).select("id", "state", "root", "depth", "on", "seg"))
     else:
         # One child per parent may move to its parent's partition, by the toss of a coin: chains shrink, hot parents stay spread.
         coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(depth)), F.lit(2))
         moving = quotient.where(F.col("parent").isNotNull() & (coin("id") == 0) & (coin("parent") == 1)).groupBy("parent").agg(F.min("id").alias("id")).select("id", F.col("parent").alias("home"))
         keyed = quotient.join(moving, "id", "left").withColumn("home", F.coalesce("home", "id"))
         placed = keyed.repartition(-(-size // fragment_rows), "home").drop("home")
-    solved = _solve(placed, with_path, depth + 1, fragment_rows, solve_rows)
-    solved = cut(solved)
+        solved = cut(_solve(placed, with_path, depth + 1, fragment_rows, solve_rows))
     known = solved.select(F.col("id").alias("exit"), F.col("state").alias("e_state"), F.col("root").alias("e_root"), F.col("depth").alias("e_depth"), F.col("seg").alias("e_seg"))
     need = leaving.select("pid", "exit").distinct().join(known, "exit")
     opened = leaving.drop("state", "root", "depth", "on").join(need, ["pid", "exit"]).select(

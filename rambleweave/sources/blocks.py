@@ -1,8 +1,8 @@
 """Outliner blocks as documents: a SQLite file, or tables of the same shape.
 
 A document is a page (a block without content) or the top block of a chain without a page. Everything below that is
-no page belongs to it. Owners and the order of texts come from the paths of the blocks, which the hierarchy operator
-gives without a loop over levels.
+no page belongs to it. Owners are the roots that the hierarchy operator finds where pages end the chains of parents, and
+the order of texts comes from its paths, which reach no further than that.
 """
 
 from __future__ import annotations
@@ -125,16 +125,21 @@ def block_documents(blocks: DataFrame, aliases: DataFrame, refs: DataFrame) -> D
     """
     b = blocks.select("id", "content", "text", F.col("modified").cast("long").alias("modified"), "parent", F.coalesce("left_id", F.lit(0)).cast("long").alias("left")).where("id is not null")
     b = b.groupBy("id").agg(F.max(F.struct("content", "text", "modified", "parent", "left")).alias("r")).select("id", "r.*").withColumn("page", F.col("content").isNull())
-    placed = hierarchy(b, with_path=True).where("kind = 'tree'").select("id", "path")
-    # Of each block the ids above it, with what they are; the nearest page, else the top, owns it.
-    each = placed.select("id", F.posexplode("path").alias("depth", "up"))
-    known = each.join(b.select(F.col("id").alias("up"), F.col("page").alias("up_page"), F.col("left").alias("up_left")), "up")
-    last_page = F.max(F.when(F.col("up_page"), F.col("depth")))
-    owned = known.groupBy("id").agg(
-        F.coalesce(last_page, F.lit(0)).alias("start"),
-        F.array_sort(F.collect_list(F.struct("depth", F.col("up_left").alias("left"), F.col("up").alias("up")))).alias("way"),
-    )
-    owned = owned.select("id", F.col("way")[F.col("start")]["up"].alias("owner"), F.expr("transform(slice(way, start + 2, greatest(size(way) - start - 1, 0)), x -> struct(x.left as left, x.up as up))").alias("place"))
+    # Pages end the chains: the root of a block is then its owner, and the way from there needs no page above it.
+    inner = hierarchy(b.select("id", F.when(~F.col("page"), F.col("parent")).alias("parent")), with_path=True).where("kind = 'tree'").select("id", F.col("root_id").alias("owner"), "path")
+    inner = cut(inner)
+    # Owners hang on each other by their parents' owners; what is on or below a cycle of pages falls out, as does what hangs below a cycle of blocks.
+    roots = inner.where("id = owner").select("id").join(b.select("id", "parent"), "id")
+    above = inner.select(F.col("id").alias("parent"), F.col("owner").alias("up"))
+    known = b.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
+    hung = roots.join(above, "parent", "left").join(known, "parent", "left").select("id", F.coalesce("up", F.when(F.col("there"), F.col("id"))).alias("parent"))
+    sound = hierarchy(hung).where("kind = 'tree'").select(F.col("id").alias("owner"))
+    inner = inner.join(sound, "owner", "left_semi")
+    # The place of a block in its document: left and id of every block on the way from the owner, which itself is left out.
+    each = inner.where("id <> owner").select("id", F.posexplode(F.slice("path", 2, F.size("path"))).alias("depth", "up"))
+    placed = each.join(b.select(F.col("id").alias("up"), "left"), "up").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("depth", "left", "up"))).alias("way"))
+    place = F.coalesce(F.transform("way", lambda x: F.struct(x["left"].alias("left"), x["up"].alias("up"))), F.array().cast("array<struct<left: bigint, up: bigint>>"))
+    owned = cut(inner.select("id", "owner").join(placed, "id", "left").select("id", "owner", place.alias("place")))
     rows = owned.join(b, "id")
     blank = lambda c: F.coalesce(trimmed(c), F.lit("")) == ""
     own = F.when(~blank(F.col("text")), F.col("text")).otherwise("")
