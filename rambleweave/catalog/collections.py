@@ -15,7 +15,8 @@ from ..plans.durable import cut, ensure_checkpoint_dir
 from ..plans.ship import ship
 from ..schema import TOUCH
 from ..sources.blocks import block_documents
-from ..streaming.digests import OUTPUT, digest_stream
+from ..sources.store import Store
+from ..streaming.digests import OUTPUT, TouchLog, digest_stream
 from .common import Query, table
 from .notes import SQL as NOTES_SQL
 from .notes import _renames, graph
@@ -147,13 +148,44 @@ def s8_block_graph(spark: SparkSession, sf: str) -> DataFrame:
     return LinkGraph(cut(documents(found))).stats()
 
 
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+def s10_store(spark: SparkSession, sf: str) -> DataFrame:
+    """All notes, saved and loaded again; then saved as they are, which changes nothing."""
+    store = _store(spark)
+    store.save(graph(spark, sf).docs)
+    again = store.save(store.load())
+    j = lambda c: F.array_join(c, "|").alias(c)
+    return store.load().select("id", "title", j("aliases"), "type", "path", F.unix_seconds("mtime").alias("mtime"), "size", j("refs"), j("tags"), F.md5("text").alias("text"), F.lit(sum(again.values())).alias("again"))
+
+
+def s14_renames(spark: SparkSession, sf: str) -> DataFrame:
+    store = _store(spark)
+    store.save_renames(r3_renames(spark, sf).where(F.col("snap_no") == 2))
+    return store.renames()
+
+
+def t7_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """A digest over all touches, kept: what another process finds before and after it is acknowledged."""
+    path, docs = f"{ensure_checkpoint_dir(spark)}/touches-{uuid.uuid4().hex}", graph(spark, sf).docs
+    log = TouchLog(spark, path, docs)
+    log.book.maybe(touches(spark, sf), docs, 1_704_067_200)
+    before = TouchLog(spark, path, docs).book
+    log.book.acknowledge()
+    after = TouchLog(spark, path, docs).book
+    made = before.latest()
+    return spark.createDataFrame([(made["id"], made["total"], "|".join(f"{t['id']}={t['count']}" for t in made["targets"]), before.available(), after.available())], "id string, total long, targets string, fresh boolean, still boolean")
+
+
 def x_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """What the parser of Markdown finds in the texts of documents: links, first heading, size without code and front matter."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     return d.select("doc_id", F.array_join(links(F.col("text")), "|").alias("links"), F.coalesce(heading(F.col("text")), F.lit("")).alias("heading"), F.char_length(strip_code(F.col("text"))).alias("plain"), F.char_length(strip_frontmatter(F.col("text"))).alias("body"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (r1_changes, r1_summary, r3_renames, r4_merged, r5_collapsed, r6_touches, t1_appended, t2_last, t3_stats, t3_targets, t3_sources, t4_count, t5_digest, t5_stream, t5_stream_whole, t9_accepted, s8_block_documents, s8_block_graph, x_markdown)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (r1_changes, r1_summary, r3_renames, r4_merged, r5_collapsed, r6_touches, t1_appended, t2_last, t3_stats, t3_targets, t3_sources, t4_count, t5_digest, t5_stream, t5_stream_whole, t9_accepted, t7_latest, s8_block_documents, s8_block_graph, s10_store, s14_renames, x_markdown)}
 
 _FIELDS = ("title", "type", "path", "text", "tags", "aliases", "refs")
 _DIR = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir, hex(encode(regexp_replace(path, '^.*/', ''))) AS h"
@@ -229,6 +261,11 @@ SQL: dict[str, str] = {
     "s8_block_graph": NOTES_SQL["g5_stats"].replace("WITH RECURSIVE ", f"WITH RECURSIVE {_BLOCKS}, rows AS ({_BLOCK_ROWS}), ", 1).replace(
         "(SELECT * FROM notes UNION ALL SELECT * FROM shared_note)", "(SELECT * REPLACE (CASE WHEN refs = '' THEN [] ELSE string_split(refs, '|') END AS refs, CASE WHEN aliases = '' THEN [] ELSE string_split(aliases, '|') END AS aliases), CAST([] AS VARCHAR[]) AS tags FROM rows)"
     ),
+    "s10_store": """WITH d AS (SELECT DISTINCT id, title, aliases, type, path, mtime, size, refs, tags, text FROM (SELECT * FROM notes UNION ALL SELECT * FROM shared_note) WHERE id IS NOT NULL)
+ SELECT id, coalesce(title, '') AS title, array_to_string([x FOR x IN coalesce(aliases, []) IF x <> ''], '|') AS aliases, coalesce(type, '') AS type, coalesce(path, '') AS path, CAST(epoch(date_trunc('second', mtime)) AS BIGINT) AS mtime, size,
+ array_to_string(list_sort(list_distinct([x FOR x IN coalesce(refs, []) IF x <> '' AND x <> id])), '|') AS refs, array_to_string([x FOR x IN coalesce(tags, []) IF x <> ''], '|') AS tags, md5(coalesce(text, '')) AS text, CAST(0 AS INTEGER) AS again FROM d""",
+    "s14_renames": f"WITH RECURSIVE {_ALL} SELECT old_id, new_id FROM ren WHERE now = 2",
+    "t7_latest": f"""WITH {_TOPS.format(since=0)} SELECT '1704067200-' || (SELECT max(seq) FROM t) AS id, (SELECT count(*) FROM t WHERE seq > 0) AS total, (SELECT string_agg(id || '=' || count, '|' ORDER BY count DESC, id) FROM tg) AS targets, true AS fresh, false AS still""",
     "x_markdown": r"""WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?s)```.*?```|~~~.*?~~~', ' ', 'g'), '`[^`]*`', ' ', 'g') AS code FROM documents),
  f AS (SELECT doc_id, list_concat([regexp_replace(regexp_replace(§regexp_replace(x, '(?s)[|#].*$', '')¤, '\\+$', ''), '\.md$', '') FOR x IN regexp_extract_all(coalesce(code, ''), '\[\[([^\]]+)\]\]', 1)],
   [string_split(regexp_replace(x, '\.md$', ''), '/')[-1] FOR x IN [regexp_replace(regexp_replace(y, '(?s)[#?].*$', ''), '/+$', '') FOR y IN regexp_extract_all(coalesce(code, ''), '\[[^\]]*\]\(([^)\s]+)\)', 1)] IF lower(x) LIKE '%.md' AND NOT regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.\-]*:')]) AS l FROM c)
