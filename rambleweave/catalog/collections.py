@@ -206,7 +206,7 @@ upd AS (SELECT n.now, n.id, [f FOR f IN [{", ".join(f"CASE WHEN o.{f} <> n.{f} T
 _DOCS = "d AS (SELECT DISTINCT id, coalesce(title, '') AS title FROM (SELECT * FROM notes UNION ALL SELECT * FROM shared_note) WHERE id IS NOT NULL), t AS (SELECT DISTINCT * FROM touch)"
 _TOPS = f"""{_DOCS}, tg AS (SELECT target AS id, CASE WHEN title = '' THEN target ELSE title END AS title, count(*) AS count FROM t JOIN d ON target = id WHERE seq > {{since}} GROUP BY ALL ORDER BY count DESC, id LIMIT 10),
 sr AS (SELECT src AS id, count(*) AS count FROM t WHERE src <> '' AND seq > {{since}} GROUP BY src ORDER BY count DESC, id LIMIT 10)"""
-_OLD = "first AS (SELECT {c}[1] AS old_id, id AS new_id FROM {t}), ali AS (SELECT old_id, max(new_id) AS new_id FROM first WHERE old_id <> new_id GROUP BY old_id)"
+_OLD = "first AS (SELECT unnest({c}) AS old_id, id AS new_id FROM {t}), ali AS (SELECT old_id, max(new_id) AS new_id FROM first WHERE old_id <> new_id GROUP BY old_id)"
 _CHASE = """chase(old_id, new_id, k) AS (SELECT old_id, new_id, 0 FROM m UNION ALL SELECT c.old_id, r.new_id, k + 1 FROM chase c JOIN m r ON c.new_id = r.old_id WHERE k < 50),
 col AS (SELECT old_id, new_id FROM chase WHERE new_id NOT IN (SELECT old_id FROM m) AND old_id NOT IN (SELECT new_id FROM m))"""
 #: The table has six snapshots (TESTDATA), so the merged renames are written out for five transitions.

@@ -45,8 +45,8 @@ def g2_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _renames(docs: DataFrame) -> DataFrame:
-    """For tests: an alias is an old id of its note."""
-    return docs.where(F.size("aliases") > 0).select(F.col("aliases")[0].alias("old_id"), F.col("id").alias("new_id")).where("old_id <> new_id")
+    """For tests: every alias is an old id of its note; of several notes the greatest id holds."""
+    return docs.select(F.explode("aliases").alias("old_id"), F.col("id").alias("new_id")).where("old_id <> new_id").groupBy("old_id").agg(F.max("new_id").alias("new_id"))
 
 
 def g3_final_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,7 +305,7 @@ def _ppr_of(seed: str, name: str) -> str:
 
 
 _SEEDS = f"{_ANCHORS.format(q=ANCHOR)}, seeds AS (SELECT id FROM anchors)"
-_RENAMES = "ren AS (SELECT old_id, max(new_id) AS new_id FROM (SELECT aliases[1] AS old_id, id AS new_id FROM d WHERE len(aliases) > 0) WHERE old_id <> new_id GROUP BY old_id)"
+_RENAMES = "ren AS (SELECT old_id, max(new_id) AS new_id FROM (SELECT unnest(aliases) AS old_id, id AS new_id FROM d) WHERE old_id <> new_id GROUP BY old_id)"
 _FINAL = "chase(old_id, new_id, n) AS (SELECT old_id, new_id, 0 FROM ren UNION ALL SELECT c.old_id, r.new_id, n + 1 FROM chase c JOIN ren r ON c.new_id = r.old_id WHERE n < 50), fin AS (SELECT old_id, new_id FROM chase WHERE new_id NOT IN (SELECT old_id FROM ren))"
 
 SQL: dict[str, str] = {

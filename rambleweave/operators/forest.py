@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import cut
+from ..plans.durable import cut, shuffle_partitions
 
 #: States of a node within a fragment.
 EXIT, TREE, MISSING, CYCLIC = 0, 1, 2, 3
@@ -228,6 +228,10 @@ def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent", with_path:
     """
     spark = df.sparkSession
     nodes = df.select(F.col(key).cast("long").alias("id"), F.col(parent).cast("long").alias("parent")).where("id is not null")
+    # A partition is a fragment and is held by its task: more partitions than usual where the rows ask for them.
+    parts = -(-nodes.count() // fragment_rows)
+    if parts > shuffle_partitions(spark):
+        nodes = nodes.repartition(parts, "id")
     nodes = nodes.groupBy("id").agg(F.min("parent").alias("parent"))
 
     def level(rows: DataFrame, end: str, root: str) -> DataFrame:

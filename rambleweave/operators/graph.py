@@ -20,7 +20,7 @@ from .components import components
 
 
 def documents(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows in the shape of documents: columns that are missing are added as null, null strings and lists become empty, lists lose null and empty elements, rows without id are dropped, and of several rows of an id each column keeps its greatest value (repeated rows are equal anyway; column by column, so that columns nobody asks for are never read). by: columns, such as a snapshot's number, that are kept and within whose values each id counts once."""
+    """Rows in the shape of documents: columns that are missing are added as null, null strings and lists become empty, lists lose null and empty elements, rows without id are dropped, and of several rows of an id the one of the greatest path, time and size holds (column by column, so that columns nobody asks for are never read). by: columns, such as a snapshot's number, that are kept and within whose values each id counts once."""
     kinds = {f.name: f.dataType for f in DOCUMENTS.fields}
     have = set(df.columns)
     column = lambda c: F.col(c) if c in have else F.lit(None)
@@ -34,7 +34,8 @@ def documents(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     rows = df.where(F.col("id").isNotNull()).select(*by, *[value(c) for c in COLUMNS])
     rest = [c for c in COLUMNS if c != "id"]
-    return rows.groupBy(*by, "id").agg(*[F.max(c).alias(c) for c in rest]).select(*by, *COLUMNS)
+    order = F.struct("path", "mtime", "size")
+    return rows.groupBy(*by, "id").agg(*[F.max_by(c, order).alias(c) for c in rest]).select(*by, *COLUMNS)
 
 
 def name_index(docs: DataFrame) -> DataFrame:

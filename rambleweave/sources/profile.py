@@ -87,6 +87,7 @@ class Profile:
         return F.coalesce(*[F.when(c, t) for c, t in rules], F.lit(self.default_type))
 
 
+#: The built-in profiles must sort the same files as other programs do.
 #: A wiki written beside its raw material: only the wiki's own pages count.
 LLM_WIKI = Profile(
     name="llm-wiki", excluded_dirs=("raw", "audit", "output", "outputs"), excluded_files=("index.md", "log.md", "CLAUDE.md", "AGENTS.md"), structural_types=(),
