@@ -207,19 +207,38 @@ def needs(threshold: float) -> np.ndarray:
 
 
 def meet_hot(hot: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Like meet, for postings of hot signatures with a group g: only sets of different groups are a pair. The sets of a signature are dealt into blocks, and any two blocks meet in a task."""
-    size = hot.groupBy("sig").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = hot.select("sig", "l", "s", "n", "g").hint("merge").join(size, "sig").withColumn("b", F.pmod(F.xxhash64("l"), F.col("blocks")).cast("int"))
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = each.select("sig", F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"), "b", "l", "s", "n", "g")
+    """Like meet, for postings of hot signatures with a group g: only sets of different groups are a pair.
+
+    A signature whose sets are all of one group has none. Of the others, the largest group and the rest are dealt into
+    blocks; a block of the one meets a block of the other, or two blocks of the rest each other, in a task. So the
+    largest group, which may hold most of the sets, is sent on as often as the rest has blocks.
+    """
+    sizes = hot.groupBy("sig", "g").count().groupBy("sig").agg(F.sum("count").alias("m"), F.max(F.struct("count", "g")).alias("top")).where(F.col("m") > F.col("top.count"))
+    sizes = sizes.select("sig", F.col("top.g").alias("main"), F.ceil(F.col("top.count") / block).cast("int").alias("main_blocks"), F.ceil((F.col("m") - F.col("top.count")) / block).cast("int").alias("blocks"))
+    dealt = hot.select("sig", "l", "s", "n", "g").hint("merge").join(sizes, "sig")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("l"), F.col(n)).cast("int")
+    # a cell: whether it has the largest group, and two blocks
+    cell = lambda main, x, y: F.struct(F.lit(main).alias("main"), x.alias("x"), y.alias("y"))
+    of_main = F.transform(every("blocks"), lambda y: cell(True, own("main_blocks"), y))
+    with_main = F.transform(every("main_blocks"), lambda x: cell(True, x, own("blocks")))
+    of_rest = F.transform(every("blocks"), lambda y: cell(False, F.least(own("blocks"), y), F.greatest(own("blocks"), y)))
+    is_main = F.col("g") == F.col("main")
+    cells = dealt.select("sig", "l", "s", "n", "g", is_main.alias("first"), own("blocks").alias("b"), F.explode(F.when(is_main, of_main).otherwise(F.concat(with_main, of_rest))).alias("cell"))
+    cells = cells.select("sig", "l", "s", "n", "g", "first", "b", "cell.*")
     classes = needs(threshold)
 
     def cross(table: pa.Table) -> pa.Table:
-        x, y, b, d, size, far, g = (table.column(c).to_numpy() for c in ("x", "y", "b", "l", "s", "n", "g"))
+        main, x, y, first, b, d, size, far, g = (table.column(c).to_numpy() for c in ("main", "x", "y", "first", "b", "l", "s", "n", "g"))
         order = np.argsort(g, kind="stable")
-        b, d, size, far, g = b[order], d[order], size[order], far[order], g[order]
-        within = x[0] == y[0]
-        one, two = (np.arange(len(d)), np.arange(len(d))) if within else (np.flatnonzero(b == x[0]), np.flatnonzero(b == y[0]))
+        first, b, d, size, far, g = first[order], b[order], d[order], size[order], far[order], g[order]
+        within = not main[0] and x[0] == y[0]
+        if within:
+            one = two = np.arange(len(d))
+        elif main[0]:
+            one, two = np.flatnonzero(first), np.flatnonzero(~first)
+        else:
+            one, two = np.flatnonzero(b == x[0]), np.flatnonzero(b == y[0])
         # of two, what follows the own group; of another block also what is before it
         low, high = np.searchsorted(g[two], g[one], "left"), np.searchsorted(g[two], g[one], "right")
         larger, smaller = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # a cell may lack rows of one block
@@ -237,4 +256,4 @@ def meet_hot(hot: DataFrame, threshold: float, block: int) -> DataFrame:
         need = classes[np.floor(np.log2(np.maximum(size[l], 1))).astype(np.int64)]
         return pa.table({"l": d[l], "s": d[s], "n": np.ones(len(l), np.int64), "need": need})
 
-    return cell.groupBy("sig", "x", "y").applyInArrow(cross, "l long, s long, n long, need long")
+    return cells.groupBy("sig", "main", "x", "y").applyInArrow(cross, "l long, s long, n long, need long")
