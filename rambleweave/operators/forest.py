@@ -217,7 +217,7 @@ def _solve(level: DataFrame, with_path: bool, depth: int, fragment_rows: int, so
     return settled.unionByName(opened)
 
 
-def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent", with_path: bool = False, fragment_rows: int = FRAGMENT_ROWS, solve_rows: int = SOLVE_ROWS, below_cycles: bool = False) -> DataFrame:
+def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent", with_path: bool = False, fragment_rows: int = FRAGMENT_ROWS, solve_rows: int = SOLVE_ROWS, below_cycles: bool = False, one_task: int = 0) -> DataFrame:
     """One row per distinct id: id, root_id, depth, kind and, if asked for, path (ids from the root to the node).
 
     A root is a row whose parent is null or no id of the table. kind is 'tree' (depth: steps to the root), 'cycle' (the
@@ -225,14 +225,23 @@ def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent", with_path:
     a cycle; depth: steps to it). path is null for the latter two,
     unless below_cycles asks for it: then it leads from the cycle's node to the node, and is the node alone on a cycle. Null ids are no nodes; repeated rows count once; of
     several parents of an id the smallest holds; an empty table gives no rows; other columns are not read.
+    one_task: up to so many rows all are one fragment, for callers whose tables are small beside what jobs cost.
     """
     spark = df.sparkSession
     nodes = df.select(F.col(key).cast("long").alias("id"), F.col(parent).cast("long").alias("parent")).where("id is not null")
     # A partition is a fragment and is held by its task: more partitions than usual where the rows ask for them.
-    parts = -(-nodes.count() // fragment_rows)
-    if parts > shuffle_partitions(spark):
-        nodes = nodes.repartition(parts, "id")
+    size = nodes.count()
+    if -(-size // fragment_rows) > shuffle_partitions(spark):
+        nodes = nodes.repartition(-(-size // fragment_rows), "id")
     nodes = nodes.groupBy("id").agg(F.min("parent").alias("parent"))
+    if size <= one_task:
+        known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
+        nodes = cut(nodes.join(known, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("parent")))
+
+    def solve(rows: DataFrame, paths: bool) -> DataFrame:
+        if size <= one_task:
+            return _contract(rows.coalesce(1), paths).select("id", "state", "root", "depth", "on", "seg")
+        return _solve(rows, paths, 0, fragment_rows, solve_rows)
 
     def level(rows: DataFrame, end: str, root: str) -> DataFrame:
         return rows.select(
@@ -249,7 +258,7 @@ def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent", with_path:
         )
 
     # depth stands in the way of null: terminals of a level have it, others don't read it
-    solved = cut(_solve(level(nodes, "parent is null", "id"), with_path, 0, fragment_rows, solve_rows))
+    solved = cut(solve(level(nodes, "parent is null", "id"), with_path))
     trees = solved.where(F.col("state") == TREE).select("id", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.lit("tree").alias("kind"), F.reverse("seg").alias("path"))
     cyclic = solved.where(F.col("state") == CYCLIC)
     if not cyclic.isEmpty():
@@ -258,7 +267,7 @@ def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent", with_path:
         paths = with_path and below_cycles
         again = level(ends, "`on`", "cycle")
         again = again if paths else again.withColumn("seg", F.lit(None).cast("array<long>"))
-        again = _solve(again.repartition("id"), paths, 0, fragment_rows, solve_rows)
+        again = solve(again.repartition("id"), paths)
         again = again.select("id", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.when(F.col("depth") == 0, "cycle").otherwise("below_cycle").alias("kind"), F.reverse("seg").alias("path"))
         trees = trees.unionByName(again)
     return trees if with_path else trees.drop("path")

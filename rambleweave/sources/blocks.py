@@ -31,6 +31,8 @@ _TABLES = {
     "BlockRef": ("rowid, f, t", BLOCK_REF),
 }
 ROWS_PER_PARTITION = 200_000
+#: Up to so many blocks the hierarchy is one fragment.
+ONE_TASK = 100_000
 
 
 def is_block_db(path: str) -> bool:
@@ -126,14 +128,14 @@ def block_documents(blocks: DataFrame, aliases: DataFrame, refs: DataFrame) -> D
     b = blocks.select("id", "content", "text", F.col("modified").cast("long").alias("modified"), "parent", F.coalesce("left_id", F.lit(0)).cast("long").alias("left")).where("id is not null")
     b = b.groupBy("id").agg(F.max(F.struct("content", "text", "modified", "parent", "left")).alias("r")).select("id", "r.*").withColumn("page", F.col("content").isNull())
     # Pages end the chains: the root of a block is then its owner, and the way from there needs no page above it.
-    inner = hierarchy(b.select("id", F.when(~F.col("page"), F.col("parent")).alias("parent")), with_path=True).where("kind = 'tree'").select("id", F.col("root_id").alias("owner"), "path")
+    inner = hierarchy(b.select("id", F.when(~F.col("page"), F.col("parent")).alias("parent")), with_path=True, one_task=ONE_TASK).where("kind = 'tree'").select("id", F.col("root_id").alias("owner"), "path")
     inner = cut(inner)
     # Owners hang on each other by their parents' owners; what is on or below a cycle of pages falls out, as does what hangs below a cycle of blocks.
     roots = inner.where("id = owner").select("id").join(b.select("id", "parent"), "id")
     above = inner.select(F.col("id").alias("parent"), F.col("owner").alias("up"))
     known = b.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
     hung = roots.join(above, "parent", "left").join(known, "parent", "left").select("id", F.coalesce("up", F.when(F.col("there"), F.col("id"))).alias("parent"))
-    sound = hierarchy(hung).where("kind = 'tree'").select(F.col("id").alias("owner"))
+    sound = hierarchy(hung, one_task=ONE_TASK).where("kind = 'tree'").select(F.col("id").alias("owner"))
     inner = inner.join(sound, "owner", "left_semi")
     # The place of a block in its document: left and id of every block on the way from the owner, which itself is left out.
     each = inner.where("id <> owner").select("id", F.posexplode(F.slice("path", 2, F.size("path"))).alias("depth", "up"))

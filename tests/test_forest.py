@@ -45,6 +45,8 @@ def test_random_forests(spark, seed, limits):
     rows += [(4000 + i, 4000) for i in range(1, 60)] + [(4000, None), (None, 3), (5000, 5000)] + rows[:15]
     r.shuffle(rows)
     assert run(spark, rows, fragment_rows=limits[0], solve_rows=limits[1]) == brute(rows)
+    if seed == 1:
+        assert run(spark, rows, one_task=10**6) == brute(rows)
 
 
 def test_hot_parent_and_lost_parents(spark):
