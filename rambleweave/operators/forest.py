@@ -236,7 +236,7 @@ def hierarchy(df: DataFrame, key: str = "id", parent: str = "parent", with_path:
     nodes = nodes.groupBy("id").agg(F.min("parent").alias("parent"))
     if size <= one_task:
         known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
-        nodes = cut(nodes.join(known, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("parent")))
+        nodes = nodes.join(known, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("parent"))
 
     def solve(rows: DataFrame, paths: bool) -> DataFrame:
         if size <= one_task:

@@ -129,7 +129,6 @@ def block_documents(blocks: DataFrame, aliases: DataFrame, refs: DataFrame) -> D
     b = b.groupBy("id").agg(F.max(F.struct("content", "text", "modified", "parent", "left")).alias("r")).select("id", "r.*").withColumn("page", F.col("content").isNull())
     # Pages end the chains: the root of a block is then its owner, and the way from there needs no page above it.
     inner = hierarchy(b.select("id", F.when(~F.col("page"), F.col("parent")).alias("parent")), with_path=True, one_task=ONE_TASK).where("kind = 'tree'").select("id", F.col("root_id").alias("owner"), "path")
-    inner = cut(inner)
     # Owners hang on each other by their parents' owners; what is on or below a cycle of pages falls out, as does what hangs below a cycle of blocks.
     roots = inner.where("id = owner").select("id").join(b.select("id", "parent"), "id")
     above = inner.select(F.col("id").alias("parent"), F.col("owner").alias("up"))
