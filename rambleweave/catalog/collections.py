@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+import re
+import sqlite3
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +21,9 @@ from ..operators.touches import TouchConfig, accepted, append, digest, last_by_k
 from ..plans.durable import cut, ensure_checkpoint_dir
 from ..plans.ship import ship
 from ..schema import TOUCH
-from ..sources.blocks import block_documents
+from ..sources.blocks import block_documents, read_block_db
+from ..sources.markdown import read_vault, read_vault_incremental
+from ..sources.profile import Profile
 from ..sources.store import Store
 from ..streaming.digests import OUTPUT, TouchLog, digest_stream
 from .common import Query, table
@@ -138,16 +147,65 @@ def t9_accepted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def s8_block_documents(spark: SparkSession, sf: str) -> DataFrame:
-    found = block_documents(table(spark, sf, "block"), table(spark, sf, "block_alias"), table(spark, sf, "block_ref"))
+    return _shown_blocks(block_documents(table(spark, sf, "block"), table(spark, sf, "block_alias"), table(spark, sf, "block_ref")))
+
+
+def _shown_blocks(found: DataFrame) -> DataFrame:
     return found.select("id", "title", F.array_join("aliases", "|").alias("aliases"), "type", "path", "size", F.array_join("refs", "|").alias("refs"), F.md5("text").alias("text"))
 
 
+def s5_block_db(spark: SparkSession, sf: str) -> DataFrame:
+    """The block tables as a database file in the checkpoint folder, read from a snapshot of it. The file is one writer's, so its rows pass through the driver, part by part."""
+    root = re.sub("^file:/*", "/", f"{ensure_checkpoint_dir(spark)}/blocks-{uuid.uuid4().hex}")
+    os.makedirs(root)
+    with sqlite3.connect(f"{root}/source.db") as db:
+        for name, source, columns in (("Block", "block", "id, content, text, modified, parent, left_id"), ("BlockAlias", "block_alias", "name, block, pos"), ("BlockRef", "block_ref", "f, t")):
+            names = columns.replace("left_id", '"left"')
+            db.execute(f"CREATE TABLE {name}({names})")
+            rows = table(spark, sf, source).selectExpr(*columns.split(", ")).toLocalIterator(prefetchPartitions=True)
+            db.executemany(f"INSERT INTO {name} VALUES({', '.join('?' * len(columns.split(', ')))})", map(tuple, rows))
+    db.close()
+    return _shown_blocks(read_block_db(spark, f"{root}/source.db", root))
+
+
 def s8_block_graph(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics of the graph of block documents."""
     found = block_documents(table(spark, sf, "block"), table(spark, sf, "block_alias"), table(spark, sf, "block_ref"))
     return LinkGraph(cut(documents(found))).stats()
 
 
+def _write_notes(root: str):  # noqa: ANN202
+    """Writes rows (id, title, type, aliases, tags, text) as Markdown files with front matter, in folders and under names by a hash of the id, so that some names come twice."""
+
+    def quoted(value: object) -> str:
+        out = json.dumps(value, ensure_ascii=False)
+        return re.sub("[\x7f-\xa0\u2028\u2029\ufeff]", lambda m: f"\\u{ord(m[0]):04x}", out)  # line ends of YAML, and what it does not print
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples():
+                h = hashlib.md5(r.id.encode()).hexdigest()
+                os.makedirs(f"{root}/{h[3:11]}", exist_ok=True)
+                front = "".join(f"{k}: {quoted(v if isinstance(v, str) else list(v))}\n" for k, v in (("title", r.title), ("type", r.type), ("aliases", r.aliases), ("tags", r.tags)))
+                with open(f"{root}/{h[3:11]}/{h[:2]}.md", "w", encoding="utf-8", newline="") as f:
+                    f.write(f"---\n{front}---\n{r.text}")
+            yield pd.DataFrame({"n": [len(rows)]})
+
+    return run
+
+
+def s1_vault(spark: SparkSession, sf: str) -> DataFrame:
+    """All notes as a folder of Markdown files in the checkpoint folder (which must be one that executors open as files), and what a scan finds there; reused is what a second scan takes over."""
+    root = re.sub("^file:/*", "/", f"{ensure_checkpoint_dir(spark)}/vault-{uuid.uuid4().hex}")
+    docs = graph(spark, sf).docs.select("id", "title", "type", "aliases", "tags", "text")
+    docs.mapInPandas(_write_notes(root), "n long").agg(F.sum("n")).first()
+    found = cut(read_vault(spark, root))
+    again, taken = read_vault_incremental(spark, root, Profile(), found)
+    j = lambda c: F.array_join(c, "|").alias(c)
+    shown = lambda df: df.select("id", "path", "title", "type", j("aliases"), j("tags"), F.md5("text").alias("text"))
+    return shown(found).exceptAll(shown(found).exceptAll(shown(again))).withColumn("reused", F.lit(taken.first()["reused"]))
+
+
 def _store(spark: SparkSession) -> Store:
     return Store(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
 
@@ -185,7 +243,7 @@ def x_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.array_join(links(F.col("text")), "|").alias("links"), F.coalesce(heading(F.col("text")), F.lit("")).alias("heading"), F.char_length(strip_code(F.col("text"))).alias("plain"), F.char_length(strip_frontmatter(F.col("text"))).alias("body"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (r1_changes, r1_summary, r3_renames, r4_merged, r5_collapsed, r6_touches, t1_appended, t2_last, t3_stats, t3_targets, t3_sources, t4_count, t5_digest, t5_stream, t5_stream_whole, t9_accepted, t7_latest, s8_block_documents, s8_block_graph, s10_store, s14_renames, x_markdown)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (r1_changes, r1_summary, r3_renames, r4_merged, r5_collapsed, r6_touches, t1_appended, t2_last, t3_stats, t3_targets, t3_sources, t4_count, t5_digest, t5_stream, t5_stream_whole, t9_accepted, t7_latest, s1_vault, s5_block_db, s8_block_documents, s8_block_graph, s10_store, s14_renames, x_markdown)}
 
 _FIELDS = ("title", "type", "path", "text", "tags", "aliases", "refs")
 _DIR = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir, hex(encode(regexp_replace(path, '^.*/', ''))) AS h"
@@ -229,6 +287,8 @@ lk AS (SELECT DISTINCT x, y FROM (SELECT p.owner AS x, q.owner AS y FROM block_r
 al AS (SELECT block AS id, list(name ORDER BY pos, name) AS aliases FROM (SELECT DISTINCT * FROM block_alias) GROUP BY block),
 doc AS (SELECT b.id, page, bare, kid, {_TRIM.format("joined")} AS text, coalesce(aliases, []) AS aliases, EXISTS (SELECT 1 FROM lk WHERE x = b.id) AS linked FROM b JOIN tree ON tree.id = b.id AND tree.owner = b.id JOIN own ON own.id = b.id LEFT JOIN al ON al.id = b.id),
 shell AS (SELECT id FROM doc WHERE text = '' AND len(aliases) = 0 AND NOT linked)"""
+_DOCS_WHOLE = """d AS (SELECT DISTINCT id, coalesce(title, '') AS title, coalesce(type, '') AS type, coalesce(text, '') AS text, array_to_string([x FOR x IN coalesce(aliases, []) IF x <> ''], '|') AS aliases, array_to_string([x FOR x IN coalesce(tags, []) IF x <> ''], '|') AS tags
+ FROM (SELECT * FROM notes UNION ALL SELECT * FROM shared_note) WHERE id IS NOT NULL)"""
 _BLOCK_ROWS = f"""SELECT CAST(id AS VARCHAR) AS id, CASE WHEN text = '' AND len(aliases) = 0 THEN '容器#' || id ELSE coalesce(nullif({_TRIM.format('aliases[1]')}, ''), {_TITLE.format("bare")}, kid, CASE WHEN page THEN '页面#' ELSE '块#' END || id) END AS title,
  array_to_string(aliases, '|') AS aliases, CASE WHEN text = '' AND len(aliases) = 0 THEN 'container' WHEN page THEN 'doc' ELSE 'block' END AS type, 'block/' || id AS path, CAST(strlen(text) AS BIGINT) AS size,
  coalesce((SELECT array_to_string(list_sort(list(CAST(y AS VARCHAR))), '|') FROM lk WHERE x = doc.id AND y NOT IN (SELECT id FROM shell)), '') AS refs, md5(text) AS text FROM doc WHERE id NOT IN (SELECT id FROM shell)"""
@@ -256,11 +316,15 @@ SQL: dict[str, str] = {
     "t5_stream": "SELECT i AS digest_no, CAST(500 AS BIGINT) AS total FROM range(1, (SELECT count(*) FROM touch) // 500 + 1) r(i)",
     "t5_stream_whole": " ".join(["SELECT CAST(1 AS BIGINT) AS digest_no, (SELECT count(*) FROM touch) AS total", *(f", (SELECT string_agg(id || '=' || n, '|' ORDER BY n DESC, id) FROM (SELECT {c} AS id, count(*) AS n FROM touch WHERE {c} <> '' GROUP BY {c} ORDER BY n DESC, id LIMIT 10)) AS {name}" for c, name in (("target", "targets"), ("src", "sources")))]),
     "t9_accepted": "SELECT DISTINCT * FROM touch WHERE target <> '' AND lower(regexp_replace(target, '(\\.md|\\.MD)$', '')) <> 'shared_inbox' AND NOT starts_with(target, 'archive/')",
+    "s5_block_db": f"WITH RECURSIVE {_BLOCKS} {_BLOCK_ROWS}",
     "s8_block_documents": f"WITH RECURSIVE {_BLOCKS} {_BLOCK_ROWS}",
     # the statistics of notes, with block documents in their place
     "s8_block_graph": NOTES_SQL["g5_stats"].replace("WITH RECURSIVE ", f"WITH RECURSIVE {_BLOCKS}, rows AS ({_BLOCK_ROWS}), ", 1).replace(
         "(SELECT * FROM notes UNION ALL SELECT * FROM shared_note)", "(SELECT * REPLACE (CASE WHEN refs = '' THEN [] ELSE string_split(refs, '|') END AS refs, CASE WHEN aliases = '' THEN [] ELSE string_split(aliases, '|') END AS aliases), CAST([] AS VARCHAR[]) AS tags FROM rows)"
     ),
+    "s1_vault": f"""WITH {_DOCS_WHOLE}, f AS (SELECT *, h[4:11] AS dir, h[1:2] AS stem FROM (SELECT *, md5(id) AS h FROM d)), n AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY stem ORDER BY dir) = 1 THEN stem ELSE dir || '/' || stem END AS key FROM f)
+ SELECT key AS id, dir || '/' || stem || '.md' AS path, coalesce(nullif(title, ''), nullif({_TRIM.format("regexp_extract(text, '(?m)^#[ ]+(.+?)[ ]*$', 1)")}, ''), key) AS title, coalesce(nullif(trim(type), ''), 'note') AS type, aliases, tags, md5(chr(10) || text) AS text,
+ (SELECT count(*) FROM d) AS reused FROM n""",
     "s10_store": """WITH d AS (SELECT DISTINCT id, title, aliases, type, path, mtime, size, refs, tags, text FROM (SELECT * FROM notes UNION ALL SELECT * FROM shared_note) WHERE id IS NOT NULL)
  SELECT id, coalesce(title, '') AS title, array_to_string([x FOR x IN coalesce(aliases, []) IF x <> ''], '|') AS aliases, coalesce(type, '') AS type, coalesce(path, '') AS path, CAST(epoch(date_trunc('second', mtime)) AS BIGINT) AS mtime, size,
  array_to_string(list_sort(list_distinct([x FOR x IN coalesce(refs, []) IF x <> '' AND x <> id])), '|') AS refs, array_to_string([x FOR x IN coalesce(tags, []) IF x <> ''], '|') AS tags, md5(coalesce(text, '')) AS text, CAST(0 AS INTEGER) AS again FROM d""",
