@@ -133,8 +133,7 @@ def g17_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 def g20_common(spark: SparkSession, sf: str) -> DataFrame:
     """Common neighbours of all pairs of nodes that may be presented."""
-    g = graph(spark, sf)
-    found = similarity.common_neighbours(g, g.nodes.where(g.presentable()))
+    found = similarity.common_neighbours(graph(spark, sf))
     return found.select("a", "b", F.round("aa", 6).alias("aa"), F.round("ra", 6).alias("ra"), "n", _joined("shared"))
 
 
@@ -144,8 +143,7 @@ def g21_similar(spark: SparkSession, sf: str) -> DataFrame:
 
 def g21_similar_all(spark: SparkSession, sf: str) -> DataFrame:
     """The five most similar nodes of every node."""
-    g = graph(spark, sf)
-    return similarity.similar_to(g, g.nodes, 5).select("key", "id", F.round("score", 6).alias("score"), _joined("shared"))
+    return similarity.similar_to(graph(spark, sf), k=5).select("key", "id", F.round("score", 6).alias("score"), _joined("shared"))
 
 
 def g22_potential(spark: SparkSession, sf: str) -> DataFrame:

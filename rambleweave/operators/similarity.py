@@ -1,7 +1,8 @@
 """Structural similarity of nodes and links that might be missing.
 
-Common neighbours are an equi-join of the edges with themselves on the shared neighbour. A neighbour of degree d takes
-part in d * d pairs, which is the work the result asks for; rows of a hub are split by the adaptive skew join.
+Over all nodes, pairs are found in tasks that hold the graph (wedges), up to a checked size. Beyond it, and for a few nodes,
+common neighbours are an equi-join of the edges with themselves on the shared neighbour. A neighbour of degree d takes
+part in d * d pairs, which is the work all pairs ask for; rows of a hub are split by the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import cut
+from . import wedges
 from .graph import LinkGraph
 
 ADAMIC_ADAR, JACCARD, ALLOCATION = 1.0, 0.5, 1.0
@@ -17,8 +19,11 @@ PER_ANCHOR = 2
 ALGORITHMS = ["aa", "jaccard", "ra"]
 
 
-def common_neighbours(graph: LinkGraph, left: DataFrame) -> DataFrame:
-    """a, b, aa, ra, n, shared for each node a of left (column id) and each other node b with neighbours in common. shared is sorted."""
+def common_neighbours(graph: LinkGraph, left: DataFrame | None = None, kernel_edges: int = wedges.KERNEL_EDGES) -> DataFrame:
+    """a, b, aa, ra, n, shared for each node a of left (column id; else of all that may be presented) and each other node b with neighbours in common. shared is sorted."""
+    if left is None and wedges.fits(graph, kernel_edges):
+        return wedges.common(graph)
+    left = graph.nodes.where(graph.presentable()) if left is None else left
     mid = graph.edges.join(graph.nodes.select(F.col("id").alias("src"), F.greatest("deg", F.lit(2)).alias("d")), "src").select(F.col("src").alias("mid"), F.col("dst").alias("b"), "d")
     own = graph.edges.join(left.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("mid"))
     pairs = own.join(mid, "mid").where("a <> b")
@@ -32,8 +37,9 @@ def shared_neighbours(graph: LinkGraph, pairs: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.array_sort(F.collect_list("mid")).alias("shared"))
 
 
-def similar_to(graph: LinkGraph, keys: DataFrame, k: int = 10) -> DataFrame:
-    """key, id, title, type, score, shared: for each node of keys (column id) the k nodes with the highest Adamic-Adar score that aren't linked to it and may be presented. Scores first; what is shared only of the best."""
+def similar_to(graph: LinkGraph, keys: DataFrame | None = None, k: int = 10, kernel_edges: int = wedges.KERNEL_EDGES) -> DataFrame:
+    """key, id, title, type, score, shared: for each node of keys (column id; else of all) the k nodes with the highest Adamic-Adar score that aren't linked to it and may be presented. By joins, scores first; what is shared only of the best."""
+    keys = graph.nodes if keys is None else keys
     shown = graph.nodes.where(graph.presentable()).select(F.col("id").alias("b"), "title", "type")
     weight = graph.nodes.select(F.col("id").alias("src"), (1 / F.log(F.greatest("deg", F.lit(2)))).alias("aa"))
     mid = graph.edges.join(weight, "src").select(F.col("src").alias("mid"), F.col("dst").alias("b"), "aa").join(shown.select("b"), "b", "left_semi")
@@ -51,8 +57,8 @@ def similar(graph: LinkGraph, key: str, k: int = 10) -> DataFrame:
     return found.drop("key").orderBy(F.desc("score"), "id")
 
 
-def potential_links(graph: LinkGraph, per_anchor: int = PER_ANCHOR) -> DataFrame:
-    """a, b (a < b), score, algorithms, shared: of every presentable node the best unlinked ones two steps away. Suggestions are never added to the graph. Each pair is scored once; what is shared comes of the best only."""
+def potential_links(graph: LinkGraph, per_anchor: int = PER_ANCHOR, kernel_edges: int = wedges.KERNEL_EDGES) -> DataFrame:
+    """a, b (a < b), score, algorithms, shared: of every presentable node the best unlinked ones two steps away. Suggestions are never added to the graph. By joins, each pair is scored once; what is shared comes of the best only."""
     shown = graph.nodes.where(graph.presentable()).select("id", "deg")
     weight = graph.nodes.select(F.col("id").alias("src"), F.greatest("deg", F.lit(2)).alias("d"))
     own = graph.edges.join(shown.select(F.col("id").alias("dst"), F.col("deg").alias("da")), "dst").select(F.col("src").alias("mid"), F.col("dst").alias("a"), "da")
