@@ -59,6 +59,9 @@ def similar(graph: LinkGraph, key: str, k: int = 10) -> DataFrame:
 
 def potential_links(graph: LinkGraph, per_anchor: int = PER_ANCHOR, kernel_edges: int = wedges.KERNEL_EDGES) -> DataFrame:
     """a, b (a < b), score, algorithms, shared: of every presentable node the best unlinked ones two steps away. Suggestions are never added to the graph. By joins, each pair is scored once; what is shared comes of the best only."""
+    if wedges.fits(graph, kernel_edges):
+        found = wedges.best(graph, per_anchor, potential=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score", "shared")
+        return found.groupBy("a", "b").agg(F.max("score").alias("score"), F.max("shared").alias("shared")).select("a", "b", "score", F.array(*map(F.lit, ALGORITHMS)).alias("algorithms"), "shared")
     shown = graph.nodes.where(graph.presentable()).select("id", "deg")
     weight = graph.nodes.select(F.col("id").alias("src"), F.greatest("deg", F.lit(2)).alias("d"))
     own = graph.edges.join(shown.select(F.col("id").alias("dst"), F.col("deg").alias("da")), "dst").select(F.col("src").alias("mid"), F.col("dst").alias("a"), "da")
