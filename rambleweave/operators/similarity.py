@@ -39,6 +39,9 @@ def shared_neighbours(graph: LinkGraph, pairs: DataFrame) -> DataFrame:
 
 def similar_to(graph: LinkGraph, keys: DataFrame | None = None, k: int = 10, kernel_edges: int = wedges.KERNEL_EDGES) -> DataFrame:
     """key, id, title, type, score, shared: for each node of keys (column id; else of all) the k nodes with the highest Adamic-Adar score that aren't linked to it and may be presented. By joins, scores first; what is shared only of the best."""
+    if keys is None and wedges.fits(graph, kernel_edges):
+        found = wedges.best(graph, k, potential=False).select(F.col("a").alias("key"), F.col("b").alias("id"), "score", "shared")
+        return found.join(graph.nodes.select("id", "title", "type"), "id").select("key", "id", "title", "type", "score", "shared")
     keys = graph.nodes if keys is None else keys
     shown = graph.nodes.where(graph.presentable()).select(F.col("id").alias("b"), "title", "type")
     weight = graph.nodes.select(F.col("id").alias("src"), (1 / F.log(F.greatest("deg", F.lit(2)))).alias("aa"))
