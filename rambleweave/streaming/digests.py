@@ -9,7 +9,7 @@ from __future__ import annotations
 import heapq
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -51,17 +51,20 @@ class _Digests(StatefulProcessor):
             had = state.getValue(key)[0] if state.containsKey(key) else 0
             state.updateValue(key, (int(had + n),))
 
-    def _top(self, state: object) -> str:
-        rows = heapq.nsmallest(TOP, ((-v[0], k[0]) for k, v in state.iterator()))
+    def _top(self, counts: Iterable[tuple[str, int]]) -> str:
+        rows = heapq.nsmallest(TOP, ((-n, k) for k, n in counts))
         return json.dumps([{"id": k, "count": -n} for n, k in rows], ensure_ascii=False)
 
-    def _digest(self, key: tuple, now: int, meta: tuple) -> tuple[tuple, tuple]:
-        """A digest's row, and what is kept after it."""
+    def _digest(self, key: tuple, now: int, meta: tuple, held: tuple[dict, dict] | None = None) -> tuple[tuple, tuple]:
+        """A digest's row, and what is kept after it. held: all counts of targets and sources, if none are in state."""
         seq, last_seq, last_ts, digests = meta
-        row = (key[0], digests + 1, now, last_ts or now, seq - last_seq, self._top(self.targets), self._top(self.sources))
-        self.targets.clear()
-        self.sources.clear()
-        return row, (seq, seq, now, digests + 1)
+        if held is not None:
+            tops = [self._top(c.items()) for c in held]
+        else:
+            tops = [self._top((k[0], v[0]) for k, v in state.iterator()) for state in (self.targets, self.sources)]
+            self.targets.clear()
+            self.sources.clear()
+        return (key[0], digests + 1, now, last_ts or now, seq - last_seq, *tops), (seq, seq, now, digests + 1)
 
     def _rows(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
         if out:
@@ -79,6 +82,8 @@ class _Digests(StatefulProcessor):
         meta = tuple(self.meta.get()) if self.meta.exists() else (0, 0, 0, 0)
         before, out = meta[3], []
         held: tuple[dict, dict] = ({}, {})
+        # State costs a call for each name; it is only needed for what a batch leaves to the next.
+        kept = meta[0] > meta[1]
 
         def store() -> None:
             for state, counts in zip((self.targets, self.sources), held):
@@ -96,9 +101,13 @@ class _Digests(StatefulProcessor):
                         if name:
                             counts[name] = counts.get(name, 0) + part
                     if digest_due(now, last_seq, last_ts or None, meta[0], self.config):
-                        store()
-                        row, meta = self._digest(key, now, meta)
+                        if kept:
+                            store()
+                        row, meta = self._digest(key, now, meta, None if kept else held)
                         out.append(row)
+                        kept = False
+                        for counts in held:
+                            counts.clear()
         store()
         self.meta.update(meta)
         if meta[3] > before:
