@@ -10,9 +10,14 @@ from __future__ import annotations
 
 import random
 from collections import deque
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +25,35 @@ from ..functions.text import title_or_id
 from ..plans.durable import cut, shuffle_partitions
 from .graph import LinkGraph
 
-KERNEL_EDGES = 2_000_000
+KERNEL_EDGES = 5_000_000
 TOP_TITLES = 8
 
 
 class _Level:
-    """A weighted graph of one level: neighbours' weights, and twice the weight inside of each node."""
-
-    def __init__(self, near: list[dict[int, float]], inner: list[float]):
-        self.near, self.inner = near, inner
-        self.degree = [sum(d.values()) + s for d, s in zip(near, inner)]
+    """A weighted graph of one level: neighbours' weights, and twice the weight inside of each node. Node v's neighbours are near[starts[v]:starts[v + 1]], in arrays, as lists of dictionaries take tens of times the memory; weight is None where all are 1."""
+
+    def __init__(self, starts: np.ndarray, near: np.ndarray, weight: np.ndarray | None, inner: np.ndarray):
+        self.starts, self.near, self.weight, self.inner = starts.tolist(), near, weight, inner
+        sums = np.diff(starts).astype(float) if weight is None else np.bincount(np.repeat(np.arange(len(inner)), np.diff(starts)), weight, len(inner))
+        self.degree = (sums + inner).tolist()
+
+    @staticmethod
+    def of(src: np.ndarray, dst: np.ndarray, weight: np.ndarray | None, inner: np.ndarray) -> _Level:
+        """From edges in both directions, in any order; those of the same ends add up."""
+        n = len(inner)
+        keys = src.astype(np.int64) * n + dst
+        if weight is None:
+            keys.sort()
+        else:
+            order = np.argsort(keys, kind="stable")
+            keys, weight = keys[order], weight[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            keys, weight = keys[first], np.add.reduceat(weight, first) if len(first) else weight
+        return _Level(np.searchsorted(keys, np.arange(n + 1, dtype=np.int64) * n), (keys % max(n, 1)).astype(np.int32), weight, inner)
+
+    def around(self, v: int) -> Iterable[tuple[int, float]]:
+        a, b = self.starts[v], self.starts[v + 1]
+        return zip(self.near[a:b].tolist(), repeat(1.0) if self.weight is None else self.weight[a:b].tolist())
 
 
 def _move(g: _Level, label: list[int], total: float, resolution: float, rng: random.Random) -> None:
@@ -45,18 +69,20 @@ def _move(g: _Level, label: list[int], total: float, resolution: float, rng: ran
         waiting.discard(v)
         own, d = label[v], g.degree[v]
         to: dict[int, float] = {own: 0.0}
-        for u, w in g.near[v].items():
-            to[label[u]] = to.get(label[u], 0.0) + w
+        for u, w in g.around(v):
+            c = label[u]
+            to[c] = to.get(c, 0.0) + w
         weight[own] -= d
-        gain = lambda c: to[c] - resolution * d * weight[c] / total  # noqa: B023, E731
-        best = own
+        pull = resolution * d
+        best, most = own, to[own] - pull * weight[own] / total + 1e-12
         for c in sorted(to):
-            if gain(c) > gain(best) + 1e-12:
-                best = c
+            gain = to[c] - pull * weight[c] / total
+            if gain > most:
+                best, most = c, gain + 1e-12
         weight[best] += d
         if best != own:
             label[v] = best
-            for u in g.near[v]:
+            for u, _ in g.around(v):
                 if label[u] != best and u not in waiting:
                     waiting.add(u)
                     queue.append(u)
@@ -72,7 +98,7 @@ def _refine(g: _Level, label: list[int], total: float, resolution: float, rng: r
         if size[part[v]] > 1:
             continue
         to: dict[int, float] = {}
-        for u, w in g.near[v].items():
+        for u, w in g.around(v):
             if label[u] == label[v]:
                 to[part[u]] = to.get(part[u], 0.0) + w
         gains = [(w - resolution * g.degree[v] * weight[c] / total, -c) for c, w in to.items() if c != part[v]]
@@ -84,13 +110,11 @@ def _refine(g: _Level, label: list[int], total: float, resolution: float, rng: r
     return part
 
 
-def leiden(edges: list[tuple[int, int]], n: int, resolution: float, seed: int) -> list[int]:
+def leiden(edges: list[tuple[int, int]] | np.ndarray, n: int, resolution: float, seed: int) -> list[int]:
     """Community of each of n nodes for undirected edges (each once)."""
     rng = random.Random(seed)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b in edges:
-        near[a][b] = near[b][a] = 1.0
-    g = _Level(near, [0.0] * n)
+    e = np.asarray(edges, np.int64).reshape(-1, 2)
+    g = _Level.of(np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]]), None, np.zeros(n))
     return _leiden(g, list(range(n)), sum(g.degree) or 1.0, resolution, rng)
 
 
@@ -105,21 +129,17 @@ def _leiden(g: _Level, label: list[int], total: float, resolution: float, rng: r
         number = {c: k for k, c in enumerate(sorted(set(part)))}
         if len(number) == len(part):  # nothing to aggregate by parts: aggregate by communities
             part, number = label, {c: k for k, c in enumerate(sorted(set(label)))}
-        near, inner = [{} for _ in number], [0.0] * len(number)
-        outer = [0] * len(number)
-        for v, d in enumerate(g.near):
-            a = number[part[v]]
-            outer[a] = label[v]
-            inner[a] += g.inner[v]
-            for u, w in d.items():
-                b = number[part[u]]
-                if a == b:
-                    inner[a] += w
-                else:
-                    near[a][b] = near[a].get(b, 0.0) + w
+        to, outer = np.array([number[c] for c in part]), [0] * len(number)
+        for v, c in enumerate(to.tolist()):
+            outer[c] = label[v]
+        src, dst = np.repeat(to, np.diff(g.starts)), to[g.near]
+        weight = np.ones(len(dst)) if g.weight is None else g.weight
+        inside = src == dst
+        inner = np.bincount(to, g.inner, len(number)) + np.bincount(src[inside], weight[inside], len(number))
+        src, dst, weight = src[~inside], dst[~inside], weight[~inside]
         where = [number[part[v]] for v in where]
         again = {c: k for k, c in enumerate(sorted(set(outer)))}
-        g, label = _Level(near, inner), [again[c] for c in outer]
+        g, label = _Level.of(src, dst, weight, inner), [again[c] for c in outer]
     return [label[v] for v in where]
 
 
@@ -139,13 +159,13 @@ def communities(graph: LinkGraph, resolution: float = 1.0, seed: int = 1, kernel
     m = once.count()
     if m <= kernel_edges:
 
-        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["src", "dst"])
-            ids = sorted({*pdf["src"], *pdf["dst"]})
-            number = {x: k for k, x in enumerate(ids)}
-            return pd.DataFrame({"id": ids, "label": leiden([(number[a], number[b]) for a, b in zip(pdf["src"], pdf["dst"])], len(ids), resolution, seed)})
+        def kernel(rows: pa.Table) -> pa.Table:
+            ids = pc.unique(pa.chunked_array([*rows["src"].chunks, *rows["dst"].chunks], pa.string())).sort()
+            number = lambda c: pc.index_in(rows[c], value_set=ids).to_numpy()
+            found = leiden(np.column_stack([number("src"), number("dst")]), len(ids), resolution, seed)
+            return pa.table({"id": ids, "label": pa.array(found, pa.int64())})
 
-        labels = once.groupBy().applyInPandas(kernel, "id string, label long").withColumn("label", F.col("label").cast("string"))
+        labels = once.groupBy().applyInArrow(kernel, "id string, label long").withColumn("label", F.col("label").cast("string"))
     else:
         labels = _parallel(graph, m, resolution, seed, kernel_edges)
     labels = cut(labels)
@@ -248,10 +268,10 @@ def _solved(edges: DataFrame, state: DataFrame, two_m: float, resolution: float,
         ids = list(nodes["src"])
         number = {x: k for k, x in enumerate(ids)}
         called = {x: k for k, x in enumerate(sorted(set(nodes["dst"])))}
-        near: list[dict[int, float]] = [{} for _ in ids]
-        for a, b, w in zip(links["src"], links["dst"], links["w"]):
-            near[number[a]][number[b]] = near[number[b]][number[a]] = w
-        g = _Level(near, [w - sum(d.values()) for w, d in zip(nodes["w"], near)])
+        a, b, w = links["src"].map(number).to_numpy(np.int64), links["dst"].map(number).to_numpy(np.int64), links["w"].to_numpy(float)
+        g = _Level.of(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]), np.zeros(len(ids)))
+        own = nodes["w"].to_numpy(float)
+        g.inner, g.degree = own - np.array(g.degree), own.tolist()
         found = _leiden(g, [called[x] for x in nodes["dst"]], two_m, resolution, random.Random(seed))
         least: dict[int, str] = {}
         for x, c in zip(ids, found):
