@@ -56,31 +56,41 @@ class LinkGraph:
         self.renames = renames
 
     @cached_property
-    def ledger(self) -> DataFrame:
-        """src, pos, ref, target, kind of every reference."""
+    def _named(self) -> DataFrame:
+        """The columns of docs that the graph is made of, kept: its steps ask for different ones, for each of which rows of equal ids would be put together anew."""
+        return self.docs.select("id", "title", "type", "aliases", "refs").persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def _kinds(self) -> DataFrame:
+        """src, pos, ref, target, kind of every reference, where a kind of null is an edge, be it the first of its pair or not."""
         from .reconcile import redirected
 
-        docs = redirected(self.docs, self.renames) if self.renames is not None else self.docs
+        docs = redirected(self.docs, self.renames) if self.renames is not None else self._named
         refs = docs.select(F.col("id").alias("src"), F.posexplode("refs").alias("pos", "ref"))
-        met = refs.join(name_index(self.docs), refs["ref"] == F.col("name"), "left").drop("name")
+        met = refs.join(name_index(self._named), refs["ref"] == F.col("name"), "left").drop("name")
         plain = F.when(F.col("ref") == F.col("src"), "self").when(F.col("target").isNull(), "dangling").when(F.col("target") == F.col("src"), "redirect_self")
-        kinds = met.withColumn("kind", plain)
+        return met.withColumn("kind", plain)
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """src, pos, ref, target, kind of every reference."""
+        kinds = self._kinds
         pair = Window.partitionBy(F.least("src", "target"), F.greatest("src", "target")).orderBy("src", "pos")
         linked = kinds.where("kind is null").withColumn("kind", F.when(F.row_number().over(pair) == 1, "edge").otherwise("multi"))
         return kinds.where("kind is not null").unionByName(linked)
 
     @cached_property
     def edges(self) -> DataFrame:
-        """src, dst in both directions, each once; kept partitioned by src, so steps along edges only move what is at their ends."""
-        e = self.ledger.where("kind = 'edge'").select("src", F.col("target").alias("dst"))
+        """src, dst in both directions, each once; kept partitioned by src, so steps along edges only move what is at their ends. Which reference of a pair came first is not asked: the pairs of the ledger's edges are all pairs, found by one shuffle."""
+        e = self._kinds.where("kind is null").select("src", F.col("target").alias("dst"))
         both = e.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.src", "e.dst")
-        return both.repartition(shuffle_partitions(both.sparkSession), "src").persist(StorageLevel.MEMORY_AND_DISK)
+        return both.repartition(shuffle_partitions(both.sparkSession), "src").distinct().persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def nodes(self) -> DataFrame:
         """id, title, type, deg of every document."""
         deg = self.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").cast("int").alias("deg"))
-        return self.docs.select("id", "title", "type").join(deg, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0))).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._named.select("id", "title", "type").join(deg, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0))).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def size(self) -> int:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import shuffle_partitions
@@ -39,14 +39,22 @@ def fits(graph: LinkGraph, kernel_edges: int = KERNEL_EDGES) -> bool:
     return most.deg <= KERNEL_DEGREE and most.names <= KERNEL_NAMES
 
 
+def _key(c: str, salt: int) -> Column:
+    """The number by which the packing task knows an id."""
+    return F.xxhash64(c, F.lit(salt))
+
+
 def _pack(rows: pa.Table) -> pa.Table:
-    """One row of arrays from rows (a, b) of edges in one direction and rows (a, null, shown) of nodes."""
-    node = pc.is_null(rows["b"])
-    own, links = rows.filter(node), rows.filter(pc.invert(node))
-    own = own.take(pc.sort_indices(own, [("a", "ascending")]))
-    names = own["a"].cast(pa.string()).combine_chunks()
-    number = lambda c: pc.index_in(links[c].cast(pa.string()), value_set=names).to_numpy().astype(np.int64)
-    a, b = number("a"), number("b")
+    """One row of arrays from rows (null, a, b, null) of edges in one direction and rows (id, a, null, shown) of nodes, a and b keys of ids. If two nodes have one key, a row of nulls."""
+    node = pc.is_valid(rows["id"])
+    own, links = rows.filter(node).select(["id", "a", "shown"]), rows.filter(pc.invert(node)).select(["a", "b"])
+    own = own.take(pc.sort_indices(own, [("id", "ascending")]))
+    names, hashes = own["id"].cast(pa.string()).combine_chunks(), own["a"].to_numpy()
+    place = np.argsort(hashes)
+    ordered = hashes[place]
+    if (ordered[1:] == ordered[:-1]).any():
+        return pa.table({k: pa.nulls(1, pa.binary()) for k in ("starts", "near", "offsets", "names", "shown")})
+    a, b = (place[np.searchsorted(ordered, links[c].to_numpy())] for c in ("a", "b"))
     n = len(names)
     keys = np.concatenate([a * n + b, b * n + a])
     keys.sort()
@@ -57,6 +65,20 @@ def _pack(rows: pa.Table) -> pa.Table:
     return pa.table({k: pa.array([v], pa.binary()) for k, v in parts.items()})
 
 
+def _packed(graph: LinkGraph) -> dict[str, bytes]:
+    """The graph as arrays, made by one task from numbers for ids; with others if two ids should have the same."""
+    salt = 0
+    while True:
+        none = lambda kind: F.lit(None).cast(kind)
+        edges = graph.edges.where("src < dst").select(none("string").alias("id"), _key("src", salt).alias("a"), _key("dst", salt).alias("b"), none("boolean").alias("shown"))
+        nodes = graph.nodes.where("deg > 0").select("id", _key("id", salt).alias("a"), none("long").alias("b"), F.coalesce(graph.presentable(), F.lit(False)).alias("shown"))
+        # one row, whose size fits() has checked
+        found = edges.unionByName(nodes).groupBy().applyInArrow(_pack, PARTS).first().asDict()
+        if found["starts"] is not None:
+            return {k: bytes(v) for k, v in found.items()}
+        salt += 1
+
+
 class Near:
     """A graph as arrays: the neighbours of node x, in order, are near[starts[x]:starts[x + 1]]."""
 
@@ -120,6 +142,33 @@ def _within(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
 
 
+def _scores(g: Near, x: np.ndarray, keys: np.ndarray, aa: np.ndarray, ra: np.ndarray, n: np.ndarray, potential: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The score of each key from the sums over its light neighbours, and the set of heavy ones that both ends share."""
+    own, y = x[keys // g.n], keys % g.n
+    both = g.mask[own] & g.mask[y]
+    hit = np.flatnonzero(both)
+    if len(hit):
+        aa, ra, n, met = aa.astype(float), ra.astype(float), n.astype(float), both[hit]
+        for j, h in enumerate(g.heavies):
+            at = hit[(met >> j) & 1 > 0]
+            aa[at] += g.aa[h]
+            ra[at] += g.ra[h]
+            n[at] += 1
+    # Sums differ in their last digits by the order of their terms; equal scores must stay equal.
+    return np.round(aa + 0.5 * n / (g.degree[own] + g.degree[y] - n) + ra if potential else aa, 12), both
+
+
+def _near_best(score: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Whether a score is one of the k greatest values of its node; nodes follow one another. So few are left to be sorted."""
+    begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    size = np.diff(np.append(begin, len(own)))
+    least = np.maximum.reduceat(score, begin)
+    for _ in range(k - 1):
+        below = np.maximum.reduceat(np.where(score < np.repeat(least, size), score, -np.inf), begin)
+        least = np.where(below > -np.inf, below, least)
+    return score >= np.repeat(least, size)
+
+
 def best_partners(g: Near, x: np.ndarray, k: int, potential: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each of the nodes x its k best partners that may be shown and aren't linked to it: node, partner, score, number of shared neighbours, shared neighbours one after the other."""
     keys, begin, mids, linked = g.pairs(x, light=True, shown=True)
@@ -139,18 +188,17 @@ def best_partners(g: Near, x: np.ndarray, k: int, potential: bool) -> tuple[np.n
                 more.append(found[done][(good & (place <= k))[done]])
                 rows, many = rows[~done], many * 4
     extra = np.concatenate(more) if more else np.zeros(0, np.int64)
-    none = np.zeros(len(extra))
     part = np.flatnonzero(apart)
-    keys = np.concatenate([keys[part], extra])
-    aa, ra, n = np.concatenate([aa[part], none]), np.concatenate([ra[part], none]), np.concatenate([(end - begin)[part], none])
-    begin, end = np.concatenate([begin[part], none.astype(np.int64)]), np.concatenate([end[part], none.astype(np.int64)])
+    keys, begin, end = keys[part], begin[part], end[part]
+    score, both = _scores(g, x, keys, aa[part], ra[part], end - begin, potential)
+    if len(keys):
+        part = np.flatnonzero(_near_best(score, keys // g.n, k))
+        keys, begin, end, score, both = keys[part], begin[part], end[part], score[part], both[part]
+    none = np.zeros(len(extra))
+    extra_score, extra_both = _scores(g, x, extra, none, none, none, potential)
+    keys, score, both = np.concatenate([keys, extra]), np.concatenate([score, extra_score]), np.concatenate([both, extra_both])
+    begin, end = np.concatenate([begin, none.astype(np.int64)]), np.concatenate([end, none.astype(np.int64)])
     own, y = keys // g.n, keys % g.n
-    both = mask[own] & g.mask[y]
-    for j, h in enumerate(g.heavies):
-        at = (both >> j) & 1
-        aa, ra, n = aa + at * g.aa[h], ra + at * g.ra[h], n + at
-    # Sums differ in their last digits by the order of their terms; equal scores must stay equal.
-    score = np.round(aa + 0.5 * n / (g.degree[x[own]] + g.degree[y] - n) + ra if potential else aa, 12)
     order = np.lexsort((y, -score, own))
     first = np.concatenate([[True], own[order][1:] != own[order][:-1]]) if len(order) else np.zeros(0, bool)
     at = np.arange(len(order))
@@ -175,10 +223,7 @@ def _named(g: Near, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, shared: np.
 def _over_nodes(graph: LinkGraph, order: str, schema: str, rows, only_shown: bool) -> DataFrame:  # noqa: ANN001
     """What rows(graph as arrays, nodes) makes of all nodes with edges, or of those that may be shown."""
     spark = graph.edges.sparkSession
-    edges = graph.edges.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(None).cast("boolean").alias("shown"))
-    nodes = graph.nodes.where("deg > 0").select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.coalesce(graph.presentable(), F.lit(False)).alias("shown"))
-    # one row, whose size fits() has checked
-    parts = {k: bytes(v) for k, v in edges.unionByName(nodes).groupBy().applyInArrow(_pack, PARTS).first().asDict().items()}
+    parts = _packed(graph)
     held = spark.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

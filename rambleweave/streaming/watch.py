@@ -95,7 +95,7 @@ class GraphHolder:
             old, self.graph = self.graph, graph
             self.revision += 1
         if old is not None:
-            for name in ("edges", "nodes"):
+            for name in ("edges", "nodes", "_named"):
                 if name in old.__dict__:
                     old.__dict__[name].unpersist()
         return self.revision

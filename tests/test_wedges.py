@@ -56,3 +56,26 @@ def test_star_without_its_pairs(spark):
     got = similarity.potential_links(LinkGraph(documents(docs)))
     assert got.count() == 2 * n - 3
     assert got.where("a not in ('n00000', 'n00001')").count() == 0
+
+
+def test_edges_without_an_order_of_references(spark):
+    """All pairs by one shuffle and no window over references, from rows of documents put together once; a pair counts once, whichever end refers."""
+    given = [("a", "A", ["b", "b", "c", "B", "a", "x"]), ("b", "B", ["a", "A"]), ("b", "B", ["a", "A"]), ("c", "", ["a", "C"])]
+    g = LinkGraph(documents(spark.createDataFrame(given, "id string, title string, refs array<string>")))
+    assert sorted(map(tuple, g.edges.collect())) == [("a", "b"), ("a", "c"), ("b", "a"), ("c", "a")] and g.ledger.where("kind = 'edge'").count() == 2
+    assert "Window" not in g.edges._jdf.queryExecution().analyzed().toString() and g.nodes.count() == 3 and g._named.storageLevel.useMemory
+
+
+def test_keys_of_ids_that_meet(spark, monkeypatch):
+    """Two ids with one key would be one node; then other keys are taken."""
+    g = LinkGraph(documents(spark.createDataFrame([(k, k, v) for k, v in refs(40, 1, 5).items()], "id string, title string, refs array<string>")))
+    found, tried, key = rows(similarity.potential_links(g)), [], wedges._key
+    monkeypatch.setattr(wedges, "_key", lambda c, salt: tried.append(salt) or (key(c, salt) if salt else key(c, salt) % 7))
+    assert rows(similarity.potential_links(g)) == found != [] and set(tried) == {0, 1}
+
+
+def test_near_best_keeps_ties():
+    own = np.array([0, 0, 0, 0, 1, 2, 2, 2])
+    score = np.array([1.0, 3.0, 2.0, 3.0, 5.0, 4.0, 4.0, 4.0])
+    assert wedges._near_best(score, own, 1).tolist() == [False, True, False, True, True, True, True, True]
+    assert wedges._near_best(score, own, 2).tolist() == [False, True, True, True, True, True, True, True]
