@@ -1,28 +1,57 @@
 """A folder of Markdown files as documents.
 
 The listing reads no contents; names are filtered on it. Contents of what is left are read and parsed by column
-expressions; only the YAML front matter, which no built-in function reads, goes through Arrow to Python.
+expressions; only the YAML front matter, which no built-in function reads, goes through Arrow to Python. Folders of a
+local file system are listed and read by tasks of our own: Spark's file source takes a task for every few files, lists
+them on each use and passes over names that begin with a dot or an underscore.
 """
 
 from __future__ import annotations
 
-
 import dataclasses
+import json
 import os
+import random
 import re
+import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import INLINE_LIST, frontmatter_block, heading, links, none, strip_frontmatter
+from ..plans.durable import cut, shuffle_partitions
 from ..schema import COLUMNS
 from .profile import Profile
 
 _META = T.StructType([T.StructField("meta", T.MapType(T.StringType(), T.StringType())), T.StructField("lists", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])
 _PLAIN_KEY = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
+#: A line that YAML and JSON read alike: a key with a quoted string or a list of them, of printable characters, no escapes but these. A key on a line ends within 1,024 characters.
+_QUOTED = r'"(?:[ !#-\[\]-~\xa0-\u2027\u202a-\ud7ff\ue000-\ufefe\uff00-\ufffd\U00010000-\U0010ffff]|\\["\\/bfnrt])*"'
+_SIMPLE = re.compile(rf"([A-Za-z_][A-Za-z0-9_]{{0,99}}): ({_QUOTED}|\[(?:{_QUOTED}(?:, {_QUOTED})*)?\])")
+#: Keys that YAML takes for something else than strings.
+_NO_STRINGS = {"yes", "no", "true", "false", "on", "off", "null"}
+#: Entries of the upper folders, which every task lists, for each task; folders that are enough for a task; bytes of contents in a batch.
+ENTRIES, FOLDERS, BATCH = 64, 4, 16_000_000
+
+
+def _simple_yaml(block: str) -> tuple[dict[str, str], dict[str, list[str]]] | None:
+    """What parse_yaml gives for front matter of simple lines only, without the parser of YAML, which takes most of a scan's time; else None."""
+    meta: dict[str, str] = {}
+    lists: dict[str, list[str]] = {}
+    for line in block.strip("\n").split("\n"):
+        m = _SIMPLE.fullmatch(line)
+        if not m or m[1].lower() in _NO_STRINGS:
+            return None
+        value = json.loads(m[2])
+        meta[m[1]] = value if isinstance(value, str) else ""
+        if items := [x for x in value if x] if isinstance(value, list) else []:
+            lists[m[1]] = lists.get(m[1], []) + items
+    return meta, lists
 
 
 def parse_yaml(block: str | None) -> tuple[dict[str, str], dict[str, list[str]]]:
@@ -31,6 +60,8 @@ def parse_yaml(block: str | None) -> tuple[dict[str, str], dict[str, list[str]]]
     lists: dict[str, list[str]] = {}
     if block is None:
         return meta, lists
+    if (simple := _simple_yaml(block)) is not None:
+        return simple
     try:
         root = yaml.compose(block, Loader=yaml.SafeLoader)
     except yaml.YAMLError:
@@ -76,20 +107,99 @@ def title_of(meta: Column, body: Column, key: Column, profile: Profile) -> Colum
     return F.coalesce(*given, F.try_element_at(named, F.lit(1))["value"], heading(body), key)
 
 
+def _local(spark: SparkSession, root: str) -> str | None:
+    """The folder's path if it is one of a local file system, which driver and executors open as files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(at).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
+def _entries(folder: str, excluded: tuple[str, ...]) -> tuple[list[str], list[os.DirEntry]]:
+    """The folders in a folder, but for excluded ones and links, and its Markdown files. One that is gone has none."""
+    folders, files = [], []
+    try:
+        with os.scandir(folder) as found:
+            for e in found:
+                if e.is_dir(follow_symlinks=False):
+                    if e.name not in excluded:
+                        folders.append(e.path)
+                elif e.name[-3:].lower() == ".md" and e.is_file():
+                    files.append(e)
+    except FileNotFoundError:
+        pass
+    return folders, files
+
+
+def _walker(root: str, excluded: tuple[str, ...], depth: int, parts: int, salt: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lists the share of each task: folders of a depth, with all below, and files above, by hashes of their paths. salt: another one for each scan, as Spark would take a scan for an earlier one of equal plan that is cached."""
+
+    def mine(path: str, part: int) -> bool:
+        return zlib.crc32(os.fsencode(path), salt) % parts == part
+
+    def files_of(part: int) -> Iterator[os.DirEntry]:
+        level = [root]
+        for _ in range(depth):
+            below = []
+            for folder in level:
+                folders, files = _entries(folder, excluded)
+                yield from (f for f in files if mine(f.path, part))
+                below += folders
+            level = below
+        left = [f for f in level if mine(f, part)]
+        while left:
+            folders, files = _entries(left.pop(), excluded)
+            yield from files
+            left += folders
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        path, t, size = zip(*rows)
+        return pa.RecordBatch.from_pydict({"uri": pa.array(path, pa.string()), "t": pa.array(t, pa.int64()), "size": pa.array(size, pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for given in batches:
+            for part in given.column(0).to_pylist():
+                for f in files_of(part):
+                    try:
+                        at = f.stat()
+                    except FileNotFoundError:
+                        continue
+                    rows.append((f.path, at.st_mtime_ns // 1000, at.st_size))
+                    if len(rows) >= 10_000:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
+
+    return run
+
+
+def _local_files(spark: SparkSession, home: str, excluded: tuple[str, ...]) -> DataFrame:
+    """path, modificationTime, length of the Markdown files below a folder, each listed by one task. The driver lists upper folders only, to see from which depth on they are many."""
+    if not os.path.isdir(home):
+        raise FileNotFoundError(home)
+    # every task lists the upper folders, so not more tasks than keep all cores busy
+    most, level, depth, seen = min(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism), [home], 0, 0
+    while level and len(level) < FOLDERS * most:
+        below = []
+        for folder in level:
+            folders, files = _entries(folder, excluded)
+            below += folders
+            seen += len(folders) + len(files)
+        level, depth = below, depth + 1
+    parts = min(most, 1 + seen // ENTRIES)
+    # made of an RDD, whose size is not known beforehand: that of a few numbers would have Spark broadcast what they name
+    shares = spark.createDataFrame(spark.sparkContext.parallelize([(k,) for k in range(parts)], parts), "part long")
+    rows = shares.mapInArrow(_walker(home, excluded, depth, parts, random.getrandbits(32)), "uri string, t long, size long")
+    return rows.select(F.col("uri").alias("path"), F.timestamp_micros("t").alias("modificationTime"), F.col("size").alias("length"))
+
+
 def _empty_files(spark: SparkSession, root: str) -> DataFrame:
     """path, modificationTime, length of the Markdown files without a byte, which Spark's listing passes over. They are found by a walk on the driver, as listings are."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(root)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = []
-    if fs.getUri().getScheme() == "file":
-        home = at.toUri().getPath()
-        for folder, _, names in os.walk(home):
-            for name in names:
-                full = os.path.join(folder, name)
-                if name.lower().endswith(".md") and os.path.getsize(full) == 0:
-                    found.append(("file://" + full, int(os.stat(full).st_mtime * 1e6)))
-    elif fs.exists(at):
+    if fs.exists(at):
         each = fs.listFiles(at, True)
         while each.hasNext():
             s = each.next()
@@ -100,14 +210,15 @@ def _empty_files(spark: SparkSession, root: str) -> DataFrame:
 
 def vault_files(spark: SparkSession, root: str, profile: Profile) -> DataFrame:
     """path (relative), uri, mtime, size of the Markdown files that the profile doesn't leave out; contents are not read."""
-    spark_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    at = spark_path(root)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = fs.makeQualified(at).toString().rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)
-    files = files.select("path", "modificationTime", "length").unionByName(_empty_files(spark, root))
-    plain = F.regexp_replace(F.col("path"), "^file:/+", "file:/")
-    rel = F.substring(plain, len(base.replace("file:///", "file:/")) + 2, 100_000)
+    if home := _local(spark, root):
+        base = home.rstrip("/")
+        files = _local_files(spark, base or "/", tuple(profile.excluded_dirs))
+    else:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)
+        files = files.select("path", "modificationTime", "length").unionByName(_empty_files(spark, root))
+    rel = F.substring("path", len(base) + 2, 100_000)
     listed = files.select(F.col("path").alias("uri"), rel.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
     dirs = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     hidden = F.arrays_overlap(dirs, F.array(*map(F.lit, profile.excluded_dirs))) if profile.excluded_dirs else F.lit(False)
@@ -142,7 +253,26 @@ def parse(files: DataFrame, profile: Profile) -> DataFrame:
     ).select(*COLUMNS)
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds content, the bytes of the file uri (none if it is gone), in batches of about BATCH bytes."""
+    for given in batches:
+        begin, held, contents = 0, 0, []
+        for k, uri in enumerate(given.column("uri").to_pylist()):
+            try:
+                with open(uri, "rb") as f:
+                    contents.append(f.read())
+            except FileNotFoundError:
+                contents.append(b"")
+            held += len(contents[-1])
+            if held >= BATCH or k + 1 == given.num_rows:
+                yield pa.RecordBatch.from_arrays([*given.slice(begin, k + 1 - begin).columns, pa.array(contents, pa.binary())], names=[*given.schema.names, "content"])
+                begin, held, contents = k + 1, 0, []
+
+
 def _contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    if _local(spark, root):
+        spread = files.repartition(shuffle_partitions(spark), "uri")  # rows are small, what they name is not
+        return spread.mapInArrow(_read, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])).withColumn("raw", F.decode("content", "UTF-8")).drop("content")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)
     return files.join(raw.select(F.col("path").alias("uri"), F.decode("content", "UTF-8").alias("raw")), "uri", "left").withColumn("raw", F.coalesce("raw", F.lit("")))
 
@@ -154,7 +284,7 @@ def read_vault(spark: SparkSession, root: str, profile: Profile = Profile()) ->
 
 def read_vault_incremental(spark: SparkSession, root: str, profile: Profile, old: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same documents, and one row with the number of those taken over from old: same path, size and time to the second. Ids are given anew, so a later file of a name gets its path as ever."""
-    files = with_ids(vault_files(spark, root, profile))
+    files = cut(with_ids(vault_files(spark, root, profile)))  # one listing, whatever is asked of it
     second = lambda c: F.date_trunc("second", c)
     known = old.select(F.col("path").alias("p"), second("mtime").alias("t"), F.col("size").alias("s"), F.struct(*[c for c in COLUMNS if c != "id"]).alias("row"))
     met = files.join(known, (F.col("path") == F.col("p")) & (second(F.col("mtime")) == F.col("t")) & (F.col("size") == F.col("s")), "left")

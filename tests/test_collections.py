@@ -9,7 +9,8 @@ from rambleweave.functions.text import note_uri
 from rambleweave.operators import reconcile, touches
 from rambleweave.schema import DOCUMENTS
 from rambleweave.sources.blocks import block_documents, is_block_db, read_block_db, title_from
-from rambleweave.sources.markdown import detect_profile, parse_yaml, read_vault, read_vault_incremental
+from rambleweave.sources import markdown
+from rambleweave.sources.markdown import detect_profile, parse_yaml, read_vault, read_vault_incremental, vault_files
 from rambleweave.sources.profile import BUILT_IN, Profile, is_llm_wiki, resolve_profile
 from rambleweave.sources.store import Store, store_path
 from rambleweave.streaming.digests import DigestBook, TouchLog, digest_stream, existing_targets, keep_log, read_log
@@ -172,6 +173,33 @@ def test_vault(spark, tmp_path):
     assert strip(again) == strip(read_vault(spark, str(tmp_path), profile))
 
 
+def test_vault_of_many_folders(spark, tmp_path):
+    """Files of many folders are found once each, with few tasks; names with a dot or an underscore in front are files like others; a scan is not taken for an earlier one."""
+    files = {f"d{i}/e/n{i}.md": f"text {i}" for i in range(300)} | {".dot.md": "a", "_under/_b.MD": "b", ".git/no.md": "x", "d1/.obsidian/no.md": "x", "d2/empty.md": ""}
+    write_vault(tmp_path, files)
+    (tmp_path / "link").symlink_to(tmp_path / "d3")
+    (tmp_path / "linked.md").symlink_to(tmp_path / "d3/e/n3.md")
+    found = read_vault(spark, str(tmp_path)).cache()
+    want = {k: v for k, v in files.items() if "no.md" not in k} | {"linked.md": "text 3"}
+    assert sorted((r.path, r.text, r.size) for r in found.collect()) == sorted((k, v, len(v)) for k, v in want.items())
+    listed = vault_files(spark, str(tmp_path), Profile())
+    assert listed.rdd.getNumPartitions() <= 9 and {r.path for r in listed.collect()} == set(want)
+    assert listed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 1 << 40  # not taken for small, or joins would send all texts to the driver
+    write_vault(tmp_path, {"d4/e/n4.md": "TEXT 4", "new/x.md": "new"})
+    assert {r.path: r.text for r in read_vault(spark, str(tmp_path)).collect()} == want | {"d4/e/n4.md": "TEXT 4", "new/x.md": "new"}
+    assert {r.path: r.text for r in read_vault(spark, f"file://{tmp_path}/").collect()} == want | {"d4/e/n4.md": "TEXT 4", "new/x.md": "new"}
+
+
+def test_simple_front_matter(monkeypatch):
+    """Simple lines are read without the parser of YAML, as that reads them."""
+    blocks = ['\ntitle: "a \\" b \\\\ \\n 目 😀"\ntags: ["x", "", "y: z"]\ntags: ["w"]\naliases: []\ntitle: "last"', 'a: ""\n', 'no: "x"', 'a: "\\u0041"', 'a: "x" # c', 'a: [x]', 'a: "\u2028"', 'a: "\x7f"', 'a: "b"\n\nc: "d"', '"a": "b"', 'a: "b']
+    simple = [markdown._simple_yaml(b) for b in blocks]
+    assert [x is not None for x in simple] == [True, True, *[False] * 9]
+    fast = [parse_yaml(b) for b in blocks]
+    monkeypatch.setattr(markdown, "_simple_yaml", lambda b: None)
+    assert fast == [parse_yaml(b) for b in blocks] and fast[0] == ({"title": "last", "tags": "", "aliases": ""}, {"tags": ["x", "y: z", "w"]})
+
+
 @pytest.mark.parametrize(
     "block,meta,lists",
     [
